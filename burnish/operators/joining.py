@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 from burnish.errors import CleaningError
 
 SALTS = 64
+# Bytes to reckon with for a value of fixed size, or besides the bytes of a text.
+FIXED_WIDTH = 16
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 @dataclass(frozen=True)
@@ -31,18 +34,25 @@ class JoinLimits:
 LIMITS = JoinLimits()
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """The bytes of all values, added up in one pass over ``df``."""
-    return df.agg(F.sum(sum((_width(f) for f in df.schema.fields), F.lit(16)))).first()[0] or 0
+def is_small(df: DataFrame, limit: int) -> bool:
+    """Whether all values of ``df`` take at most ``limit`` bytes: counted, not estimated.
+
+    The number of rows settles it for large tables; only for few rows is the length of their text added up.
+    """
+    rows = df.count()
+    if rows * FIXED_WIDTH * max(1, len(df.columns)) > limit:
+        return False
+    sized = [f for f in df.schema.fields if not isinstance(f.dataType, _FIXED)]
+    if not sized or not rows:
+        return True
+    fixed = F.lit(FIXED_WIDTH * (len(df.columns) - len(sized)))
+    return df.agg(F.sum(sum((_width(f) for f in sized), fixed))).first()[0] <= limit
 
 
 def _width(field: T.StructField) -> Column:
     value = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.coalesce(F.octet_length(F.to_json(F.struct(value))) * 2, F.lit(0)) + 16
-    return F.lit(16)
+    text = value if isinstance(field.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(value))
+    return F.coalesce(F.octet_length(text), F.lit(0)) + FIXED_WIDTH
 
 
 def hot_keys(df: DataFrame, key: str, limits: JoinLimits = LIMITS) -> list[object]:
@@ -74,7 +84,7 @@ def equi_join(
 ) -> DataFrame:
     """Join on one key; ``how`` is inner, left, right or outer. No column name may occur on both sides."""
     on = _match(left_key, right_key, null_safe)
-    if size_in_bytes(right) <= limits.broadcast_bytes:
+    if is_small(right, limits.broadcast_bytes):
         core = left.join(F.broadcast(right), on, "left" if how in ("left", "outer") else "inner")
         return core if how in ("inner", "left") else _append_unmatched(core, right, right_key, left, left_key, null_safe, limits)
 
@@ -107,7 +117,7 @@ def lookup(
     The size is taken before the values are made distinct: an upper bound that needs no shuffle.
     """
     on = _match(df_key, key, null_safe)
-    small, keys = size_in_bytes(keys) <= limits.broadcast_bytes, keys.distinct()
+    small, keys = is_small(keys, limits.broadcast_bytes), keys.distinct()
     if small:
         return df.join(F.broadcast(keys), on, how)
     hot = hot_keys(df, df_key, limits)

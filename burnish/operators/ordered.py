@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from burnish.errors import CleaningError, need_column
 from burnish.operators.scratch import settle
-from burnish.operators.stats import ACCURACY
+from burnish.operators.stats import ACCURACY, GUIDE_ROWS
 
 # Rows one task may sort as a single group, and the most ranges an order is cut into.
 MAX_GROUP_ROWS = 1_000_000
@@ -89,7 +89,9 @@ def with_ranges(df: DataFrame, order: Sequence[str], total: int, rows_per_range:
     place = _position(df, order[0])
     if place is not None:
         shares = [i / parts for i in range(1, parts)]
-        splits = df.agg(F.percentile_approx(place, shares, max(ACCURACY, 10 * parts))).first()[0] or []
+        guide = df.select(place.alias("place"))
+        guide = guide.sample(GUIDE_ROWS / total, seed=total) if total > GUIDE_ROWS else guide
+        splits = guide.agg(F.percentile_approx("place", shares, max(ACCURACY, 10 * parts))).first()[0] or []
         if splits and max(Counter(splits).values()) <= 2:
             bounds = [-math.inf, *sorted(set(splits)), math.inf]
             cutter = Bucketizer(splits=bounds, inputCol="__place", outputCol=_RANGE, handleInvalid="keep")
@@ -136,7 +138,7 @@ def head_rows(df: DataFrame, order_by: Sequence[str] | None, n: int = 3) -> Data
     return df.orderBy(*_columns(need_order(df, order_by, "taking the first rows"))).limit(n)
 
 
-def sample_values(df: DataFrame, order_by: Sequence[str] | None, n: int = 5, look_at: int = 1000) -> DataFrame:
+def sample_values(df: DataFrame, order_by: Sequence[str] | None, n: int = 5, look_at: int = 20) -> DataFrame:
     """Rows (column_name, sample_values): the first ``n`` non-null values of every column, in the order, as text.
 
     The first ``look_at`` rows nearly always hold them; only columns with fewer values there are looked up

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burnish.errors import CleaningError, need_choice, need_column
 from burnish.functions.numbers import clip, numeric
@@ -64,4 +66,6 @@ def clip_outliers(
         return df.withColumn(column, clip(number, low, high))
     if low is None or high is None:
         return df.where("false")
-    return df.where(number.between(float(low), float(high)))
+    # NaN is above every bound, so numbers can be compared as they are and the scan can filter them.
+    plain = F.col(f"`{column}`") if isinstance(df.schema[column].dataType, T.NumericType) else number
+    return df.where(plain.between(float(low), float(high)))

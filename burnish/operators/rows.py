@@ -6,19 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burnish.errors import CleaningError, need_choice, need_column
 from burnish.functions.numbers import numeric
 from burnish.functions.patterns import pattern
 from burnish.operators.ordered import need_order
 
-COMPARISONS = {
-    ">": lambda x, v: x > v,
-    "<": lambda x, v: x < v,
-    ">=": lambda x, v: x >= v,
-    "<=": lambda x, v: x <= v,
+# What remains when the rows that satisfy a comparison are dropped.
+REMAINS = {
+    ">": lambda x, v: x <= v,
+    "<": lambda x, v: x >= v,
+    ">=": lambda x, v: x < v,
+    "<=": lambda x, v: x > v,
 }
-OPERATORS = ("==", "!=", *COMPARISONS, "isnull", "notnull", "contains")
+OPERATORS = ("==", "!=", *REMAINS, "isnull", "notnull", "contains")
 
 
 def drop_rows_by_condition(df: DataFrame, column: str, operator: str, value: object = None) -> DataFrame:
@@ -35,22 +37,23 @@ def drop_rows_by_condition(df: DataFrame, column: str, operator: str, value: obj
         return df.where(cell.isNull())
     if value is None:
         raise CleaningError(f"operator {operator!r} needs a value")
-    if operator == "!=":
-        return df.where(_equals(df, column, value))
-    if operator == "==":
-        return df.where(~F.coalesce(_equals(df, column, value), F.lit(False)))
     if operator == "contains":
         return df.where(~F.coalesce(cell.cast("string").rlike(pattern(str(value))), F.lit(False)))
-    return df.where(~F.coalesce(COMPARISONS[operator](numeric(df, column), _as_float(value)), F.lit(False)))
-
-
-def _equals(df: DataFrame, column: str, value: object) -> Column:
-    """Equality without conversions: text never equals a number."""
-    cell = F.col(f"`{column}`")
-    is_text = df.schema[column].dataType.typeName() == "string"
-    if is_text != isinstance(value, str) and df.schema[column].dataType.typeName() not in ("date", "timestamp", "timestamp_ntz"):
-        return F.when(cell.isNotNull(), F.lit(False))
-    return cell == F.lit(value)
+    if operator in REMAINS:
+        number = numeric(df, column)
+        return df.where(REMAINS[operator](number, _as_float(value)) | number.isNull())
+    if not _comparable(df, column, value):
+        return df.where("false") if operator == "!=" else df
+    # Plain comparisons and null tests are what a scan can filter by itself.
+    return df.where(cell == F.lit(value)) if operator == "!=" else df.where((cell != F.lit(value)) | cell.isNull())
+
+
+def _comparable(df: DataFrame, column: str, value: object) -> bool:
+    """Text never equals a number; dates may be given as text."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return True
+    return isinstance(kind, T.StringType) == isinstance(value, str)
 
 
 def _as_float(value: object) -> Column:

@@ -15,8 +15,11 @@ from burnish.functions.numbers import nan_to_null, numeric
 
 # Up to this many different values, Spark's exact percentile fits well into one task's memory.
 MAX_DISTINCT = 200_000
-# Rank error of the approximate percentile used to bracket an exact one is n / ACCURACY.
+# Rank error of an approximate percentile is n / ACCURACY.
 ACCURACY = 10_000
+# Rows that guide the search for a rank, and how far around it the search looks, as a share of the rows.
+GUIDE_ROWS = 1_000_000
+MARGIN = 0.004
 
 MEAN, STD, MIN, MAX, MEDIAN, QUARTILES, MODE, WHOLE = (
     "mean", "std", "min", "max", "median", "quartiles", "mode", "whole",
@@ -106,8 +109,7 @@ def quantiles(
     out: dict[str, dict[float, float | None]] = {c: dict.fromkeys(asked[c]) for c in cols if not rows[c]}
     narrow = [c for c in cols if rows[c] and distinct[c] <= MAX_DISTINCT]
     if narrow:
-        row = df.agg(*[F.percentile(x[c], F.array(*map(F.lit, asked[c]))) for c in narrow]).first()
-        out.update({c: dict(zip(asked[c], row[i])) for i, c in enumerate(narrow)})
+        out.update(_by_counting(df.select(*[x[c].alias(c) for c in narrow]), {c: asked[c] for c in narrow}))
     for c in cols:
         if c not in out:
             values = df.select(x[c].alias("x")).where("x IS NOT NULL")
@@ -115,6 +117,17 @@ def quantiles(
     return out, list(head[2 * len(cols) :])
 
 
+def _by_counting(df: DataFrame, asked: Mapping[str, Sequence[float]]) -> dict[str, dict[float, float]]:
+    """Quantiles of columns with few different values, from how often each value occurs.
+
+    Values are counted by many tasks, so that the final one per column gets each value once.
+    """
+    shares = sorted({p for ps in asked.values() for p in ps})
+    counted = unpivot(df, "x").where("x IS NOT NULL").groupBy("column_name", "x").agg(F.count("*").alias("n"))
+    rows = counted.groupBy("column_name").agg(F.percentile("x", F.array(*map(F.lit, shares)), F.col("n")).alias("q")).collect()
+    return {r["column_name"]: {p: v for p, v in zip(shares, r["q"]) if p in asked[r["column_name"]]} for r in rows}
+
+
 def _interpolate(x: DataFrame, n: int, p: float) -> float:
     """The value at position p * (n - 1) of column ``x`` in ascending order."""
     position = p * (n - 1)
@@ -126,11 +139,13 @@ def _interpolate(x: DataFrame, n: int, p: float) -> float:
 
 def _at_ranks(x: DataFrame, n: int, ranks: list[int]) -> list[float]:
     """The values at the given zero-based ranks (neighbours), found by narrowing the interval they lie in."""
-    offset, inside, window, margin = 0, n, x, 2 / ACCURACY
+    offset, inside, window, margin = 0, n, x, MARGIN
     while True:
         first = max(0.0, (ranks[0] - offset) / inside - margin)
         last = min(1.0, (ranks[-1] - offset + 1) / inside + margin)
-        low, high = window.agg(F.percentile_approx("x", [first, last], ACCURACY)).first()[0]
+        # A few rows say where to look; whether the ranks are there is then counted over all rows.
+        guide = window.sample(GUIDE_ROWS / inside, seed=inside) if inside > GUIDE_ROWS else window
+        low, high = guide.agg(F.percentile_approx("x", [first, last], ACCURACY)).first()[0]
         bracket = F.col("x").between(low, high)
         below, within, distinct = window.agg(
             F.count_if(F.col("x") < low),
@@ -138,7 +153,7 @@ def _at_ranks(x: DataFrame, n: int, ranks: list[int]) -> list[float]:
             F.approx_count_distinct(F.when(bracket, F.col("x"))),
         ).first()
         if ranks[0] < offset + below or ranks[-1] >= offset + below + within:
-            margin *= 2  # the approximation missed a rank: look again in a wider interval
+            margin = 1.0 if margin > 0.2 else margin * 4  # missed: look again in a wider interval
             continue
         if low == high:
             return [low] * len(ranks)

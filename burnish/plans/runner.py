@@ -74,12 +74,14 @@ def run_plan(
     score: Score | None = None,
     max_loss: float = MAX_LOSS,
     on_loss: str = "flag",
+    exact: bool = True,
 ) -> PlanResult:
     """Apply the steps one after the other.
 
     ``order_by`` serves the steps that depend on row order and name none. ``audit`` counts rows: only steps
     that can change their number cost a pass, which also writes their result. ``score`` rates the table after
-    each step. With ``on_loss='abort'`` a step that removes too many rows is undone and ends the run.
+    each step. With ``on_loss='abort'`` a step that removes too many rows is undone and ends the run. Without
+    ``exact`` quartiles and medians are approximate, which saves passes over very large tables.
     """
     need_choice("on_loss", on_loss, ("flag", "abort"))
     counting = audit or score is not None or on_loss == "abort"
@@ -102,7 +104,8 @@ def run_plan(
             if needs:
                 if shuffled:
                     result.df, shuffled = settle(result.df), False
-                found = measure(result.df, needs + _ahead(result.df, steps[number:], _writes(parameters), known))
+                ahead = _ahead(result.df, steps[number:], _writes(parameters), known)
+                found = measure(result.df, needs + ahead, exact)
                 known.update(found)
                 result.stats.update(found)
             new = action.apply(result.df, **parameters, **_supplied(action, tables, known))

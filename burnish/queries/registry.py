@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the test tables."""
-    return load_tables(spark, {name: f"{sf_dir}/{name}.parquet"})[name]
+    """One of the test tables, none of which holds NaN."""
+    return load_tables(spark, {name: f"{sf_dir}/{name}.parquet"}, nan_as_null=False)[name]

@@ -22,8 +22,13 @@ def load_tables(
     format: str = "parquet",
     schemas: Mapping[str, T.StructType | str] | None = None,
     options: Mapping[str, str] | None = None,
+    nan_as_null: bool = True,
 ) -> dict[str, DataFrame]:
-    """Tables by name, with NaN turned into null. CSV and JSON need a schema, as guessing one reads all data."""
+    """Tables by name. CSV and JSON need a schema, as guessing one reads all data.
+
+    NaN becomes null, which keeps scans from filtering on floating-point columns; for tables known to hold
+    no NaN it can be left out.
+    """
     need_choice("format", format, FORMATS)
     loaded = {}
     for name, path in paths.items():
@@ -31,7 +36,8 @@ def load_tables(
         schema = (schemas or {}).get(name)
         if schema is None and format in ("csv", "json"):
             raise CleaningError(f"table {name!r}: pass a schema for {format}")
-        loaded[name] = without_nan((reader.schema(schema) if schema else reader).load(path))
+        df = (reader.schema(schema) if schema else reader).load(path)
+        loaded[name] = without_nan(df) if nan_as_null else df
     return loaded
 
 
