@@ -160,7 +160,7 @@ def gen_people(keys: DataFrame, key: str, seed: int = SEED, dirty: bool = True)
     """A table of people, one per key, with gaps, currency text, padding, wrong case and copies."""
     u = lambda purpose: _u(key, seed, purpose)
     first, last = pick(u("first"), FIRST_NAMES), pick(u("last"), LAST_NAMES)
-    mailbox = F.lower(F.concat(first, F.lit("."), last, whole(u("mailbox"), 1, 99).cast("string")))
+    mailbox = F.lower(F.concat(first, F.lit("."), F.replace(last, F.lit("'")), whole(u("mailbox"), 1, 99).cast("string")))
     df = keys.select(
         F.col(f"`{key}`").cast("bigint").alias("id"),
         F.concat_ws(" ", first, last).alias("name"),
@@ -184,7 +184,7 @@ def gen_contacts(keys: DataFrame, key: str, seed: int = SEED, dirty: bool = True
     u = lambda purpose: _u(key, seed, purpose)
     first, last = pick(u("first"), FIRST_NAMES), pick(u("last"), LAST_NAMES)
     digits = [whole(u("area"), 200, 999), whole(u("prefix"), 200, 999), whole(u("line"), 1000, 9999)]
-    mailbox = F.lower(F.concat(first, F.lit("."), last, whole(u("mailbox"), 1, 99).cast("string")))
+    mailbox = F.lower(F.concat(first, F.lit("."), F.replace(last, F.lit("'")), whole(u("mailbox"), 1, 99).cast("string")))
     born = F.make_date(
         whole(u("year"), 1950, 2003).cast("int"), whole(u("month"), 1, 12).cast("int"), whole(u("day"), 1, 28).cast("int")
     )

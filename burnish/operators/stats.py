@@ -232,4 +232,4 @@ def fraction(condition: Column, among: Column | None = None, weight: Column | No
     base = weight if among is None else F.when(among, weight)
     hits = condition if among is None else condition & among
     share = F.sum(F.when(hits, weight)) / F.nullif(F.sum(base), F.lit(0))
-    return F.when(F.sum(base) > 0, F.coalesce(share, F.lit(0.0))).otherwise(F.lit(0.0))
+    return F.coalesce(share, F.lit(0.0))

@@ -80,13 +80,13 @@ def run_plan(
 
     ``order_by`` serves the steps that depend on row order and name none. ``audit`` counts rows: only steps
     that can change their number cost a pass, which also writes their result. ``score`` rates the table after
-    each step. With ``on_loss='abort'`` a step that removes too many rows is undone and ends the run. Without
+    each step. ``stats`` are used as they are, others are taken when needed. With ``on_loss='abort'`` a step that removes too many rows is undone and ends the run. Without
     ``exact`` quartiles and medians are approximate, which saves passes over very large tables.
     """
     need_choice("on_loss", on_loss, ("flag", "abort"))
     counting = audit or score is not None or on_loss == "abort"
     result = PlanResult(df)
-    known: dict[Need, object] = dict(stats or {})
+    given, known = dict(stats or {}), {}
     rows = df.count() if counting else None
     rating = round(score(df), 4) if score else None
     shuffled = False
@@ -100,6 +100,7 @@ def run_plan(
             name, action, parameters = checked(step)
             if action.accepts("order_by") and order_by and not parameters.get("order_by"):
                 parameters["order_by"] = list(order_by)
+            known = {**known, **given}
             needs = [n for n in action.needs(result.df, parameters) if n not in known]
             if needs:
                 if shuffled:

@@ -87,7 +87,7 @@ def _issues(df: DataFrame, facts: DataFrame, found: list[Column]) -> DataFrame:
 
 
 def _missing_issue(i: int, column: str) -> Column:
-    n, total = F.col(f"null{i}"), F.col("total")
+    n, total = F.col(f"null{i}"), F.nullif(F.col("total"), F.lit(0))
     text = F.format_string("%d missing values (%.1f%%)", n, F.lit(100.0) * n / total)
     return _issue("missing_values", column, F.when(n / total > HIGH_MISSING, "high").otherwise("medium"), text, n)
 
@@ -154,7 +154,8 @@ def format_holds(df: DataFrame, column: str, rule: str) -> Column:
         return text == F.upper(text)
     if "%" in rule and not rule.startswith("^"):
         shape = date_pattern(rule)
-        return F.coalesce(F.date_format(F.try_to_timestamp(text, F.lit(shape)), shape) == text, F.lit(False))
+        again = F.date_format(F.try_to_timestamp(text, F.lit(shape)), shape)
+        return F.when(text.isNotNull(), F.coalesce(again == text, F.lit(False)))
     return text.rlike(spark_pattern(rule))
 
 
@@ -234,7 +235,7 @@ def column_profile(
     rows = []
     for i, c in enumerate(df.columns):
         n, total = F.col(f"null{i}"), F.col("total")
-        share = F.when(total > 0, F.round(F.lit(100.0) * n / total, 2)).otherwise(F.lit(0.0))
+        share = F.coalesce(F.round(F.lit(100.0) * n / F.nullif(total, F.lit(0)), 2), F.lit(0.0))
         notes = [F.when(n > 0, F.format_string("missing_values (%d nulls, %.1f%%)", n, share))]
         if _is_text(df, c):
             notes.append(F.when(F.col(f"money{i}") > 0, F.lit("currency_string — should be numeric")))
@@ -274,7 +275,7 @@ def dataset_stats(
         F.col("total").alias("total_rows"),
         F.lit(len(df.columns)).cast("bigint").alias("total_cols"),
         missing.cast("bigint").alias("missing_cells"),
-        F.when(cells > 0, F.round(F.lit(100.0) * missing / cells, 2)).otherwise(F.lit(0.0)).alias("missing_pct"),
+        F.coalesce(F.round(F.lit(100.0) * missing / F.nullif(cells, F.lit(0)), 2), F.lit(0.0)).alias("missing_pct"),
         F.col("copies").alias("duplicate_rows"),
         wrong.alias("dtype_issues"),
         wrong.alias("format_violations"),

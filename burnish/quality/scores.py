@@ -95,7 +95,7 @@ def score(df: DataFrame, name: str, aggregate: Column) -> DataFrame:
 def score_dedup(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """One row: 1 minus the share of rows that repeat an earlier one; 0 for an empty table."""
     counts = duplicate_count(df, subset)
-    share = F.when(F.col("total_rows") > 0, 1 - F.col("duplicate_rows") / F.col("total_rows")).otherwise(F.lit(0.0))
+    share = F.coalesce(1 - F.col("duplicate_rows") / F.nullif(F.col("total_rows"), F.lit(0)), F.lit(0.0))
     return counts.select(F.round(share, DECIMALS).alias("deduplication"))
 
 
@@ -104,7 +104,7 @@ def score_fk(
 ) -> DataFrame:
     """One row: the share of rows whose key the parent table has; 0 for an empty table."""
     counts = fk_counts(df, child_column, parent_table, parent_column, tables)
-    share = F.when(F.col("total_rows") > 0, F.col("valid_rows") / F.col("total_rows")).otherwise(F.lit(0.0))
+    share = F.coalesce(F.col("valid_rows") / F.nullif(F.col("total_rows"), F.lit(0)), F.lit(0.0))
     return counts.select(F.round(share, DECIMALS).alias("referential_integrity"))
 
 
@@ -162,13 +162,12 @@ def scorecard_customers(df: DataFrame) -> DataFrame:
     """One row: completeness, types, duplicates and format of a table of people, and their weighted sum."""
     rows = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("__n"))
     n = F.col("__n")
-    total = F.coalesce(F.sum(n), F.lit(0))
     names = [title_case(df, "name", n)] if "name" in df.columns else []
     formats = names + ([stripped(df, "department", n)] if "department" in df.columns else [])
     row = rows.agg(
         completeness(df, ("age", "salary", "email"), n).alias("completeness"),
         type_correctness(df, weight=n).alias("type_correctness"),
-        F.when(total > 0, F.count("*") / total).otherwise(F.lit(0.0)).alias("deduplication"),
+        F.coalesce(F.count("*") / F.nullif(F.sum(n), F.lit(0)), F.lit(0.0)).alias("deduplication"),
         mean_of(formats).alias("format_consistency"),
     )
     return _card(row, CUSTOMER_WEIGHTS)

@@ -195,6 +195,30 @@ _deduplicated("dedup_keep_last", "last", "down = 1")
 _deduplicated("dedup_keep_none", "none", "up = 1 AND down = 1")
 
 
+LINE = (
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+)
+
+
+@query(
+    "dedup_lineitem",
+    "SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber "
+    f"ORDER BY {', '.join(LINE[2:])}) AS place FROM lineitem) WHERE place = 1",
+)
+def _(spark, sf):
+    return drop_duplicates(read(spark, sf, "lineitem"), LINE[:2], "first", LINE[2:])
+
+
+@query(
+    "dedup_documents",
+    "SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) AS place "
+    "FROM documents) WHERE place = 1",
+)
+def _(spark, sf):
+    return drop_duplicates(read(spark, sf, "documents"), ["text"], "last", ["doc_id"])
+
+
 @query("dedup_rows", people("SELECT DISTINCT * FROM dirty_people"))
 def _(spark, sf):
     return drop_duplicates(dirty(spark, sf, "dirty_people"))

@@ -208,6 +208,30 @@ def _(spark, sf):
     )
 
 
+LINE = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+    "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string",
+    "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
+}
+
+
+def _line(position: int, column: str) -> str:
+    order = ", ".join(LINE)
+    return (
+        f"SELECT {position} AS position, '{column}' AS column_name, '{LINE[column]}' AS dtype, "
+        f"count(*) - count({column}) AS null_count, 0.0::DOUBLE AS null_pct, count(DISTINCT {column}) AS unique_count, "
+        f"(SELECT string_agg(CAST({column} AS VARCHAR), '|' ORDER BY {order}) FROM "
+        f"(SELECT * FROM lineitem ORDER BY {order} LIMIT 5)) AS sample_values, '' AS detected_issues FROM lineitem"
+    )
+
+
+@query("column_profile_lineitem", " UNION ALL ".join(_line(i, c) for i, c in enumerate(LINE)))
+def _(spark, sf):
+    return column_profile(read(spark, sf, "lineitem"), list(LINE)).withColumns(
+        {c: F.array_join(c, s) for c, s in (("sample_values", "|"), ("detected_issues", "; "))}
+    )
+
+
 @query(
     "dataset_stats",
     people(

@@ -16,7 +16,8 @@ def spark(tmp_path_factory):
     builder = (
         SparkSession.builder.master("local[8]")
         .appName("burnish-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.default.parallelism", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
