@@ -29,7 +29,7 @@ STRFTIME_LETTERS = {
 
 def phone(text: Column) -> Column:
     """``(XXX) XXX-XXXX`` for ten digits, or eleven that start with 1; other values are left alone."""
-    digits = F.regexp_replace(text, r"(?U)\D", "")
+    digits = F.regexp_replace(text, r"\P{Nd}+", "")
     local = F.when(F.length(digits) == 10, digits).when(
         (F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)
     )
@@ -46,7 +46,7 @@ def email(text: Column) -> Column:
 
 def zip_code(text: Column) -> Column:
     """The first five digits in a row; null where there are none."""
-    return F.nullif(F.regexp_extract(text, r"(?U)(\d{5})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, r"(\p{Nd}{5})", 1), F.lit(""))
 
 
 def parse_date(text: Column, layouts: Sequence[str] = DATE_LAYOUTS) -> Column:

@@ -8,14 +8,15 @@ from pyspark.sql import types as T
 
 from burnish.functions.text import strip
 
-# What counts as a number in text, and the characters that mark an amount of money.
-NUMBER_PATTERN = r"(?U)^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# What counts as a number in stripped text, and the characters that mark an amount of money.
+NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 CURRENCY_PATTERN = r"[\$,€£]"
 
 
 def to_number(text: Column) -> Column:
     """Parse text as a double; anything that is not a plain number becomes null."""
-    return F.when(text.rlike(NUMBER_PATTERN), strip(text).try_cast("double"))
+    bare = strip(text)
+    return F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))
 
 
 def nan_to_null(number: Column) -> Column:

@@ -6,7 +6,8 @@ import re
 
 from burnish.errors import CleaningError
 
-_UNICODE = "(?U)"
+# Classes and flags that mean more than ASCII in Python; other patterns match faster without the Unicode switch.
+_UNICODE, _CLASSES = "(?U)", re.compile(r"\\[wWdDsSbB]|\(\?[a-z]*i")
 
 
 def _group_name(name: str) -> str:
@@ -22,7 +23,8 @@ def pattern(source: str) -> str:
         raise CleaningError(f"invalid pattern {source!r}: {bad}") from bad
     named = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{_group_name(m[1])}>", source)
     named = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{_group_name(m[1])}>", named)
-    return _UNICODE + re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", named)
+    ended = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", named)
+    return (_UNICODE if _CLASSES.search(source) else "") + ended
 
 
 def replacement(source: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from pyspark.sql import types as T
 from burnish.errors import need_column
 from burnish.functions.numbers import nan_to_null, numeric
 
-# Up to this many different values, Spark's exact percentile fits well into one task's memory.
+# Up to this many different values, Spark's exact percentile fits well into one task's memory. Few rows in
+# total need no counting by value beforehand.
 MAX_DISTINCT = 200_000
+FEW_ROWS = 1_000_000
 # Rank error of an approximate percentile is n / ACCURACY.
 ACCURACY = 10_000
 # Rows that guide the search for a rank, and how far around it the search looks, as a share of the rows.
@@ -109,7 +112,11 @@ def quantiles(
     out: dict[str, dict[float, float | None]] = {c: dict.fromkeys(asked[c]) for c in cols if not rows[c]}
     narrow = [c for c in cols if rows[c] and distinct[c] <= MAX_DISTINCT]
     if narrow:
-        out.update(_by_counting(df.select(*[x[c].alias(c) for c in narrow]), {c: asked[c] for c in narrow}))
+        if max(rows[c] for c in narrow) <= FEW_ROWS:
+            row = df.agg(*[F.percentile(x[c], F.array(*map(F.lit, asked[c]))) for c in narrow]).first()
+            out.update({c: dict(zip(asked[c], row[i])) for i, c in enumerate(narrow)})
+        else:
+            out.update(_by_counting(df.select(*[x[c].alias(c) for c in narrow]), {c: asked[c] for c in narrow}))
     for c in cols:
         if c not in out:
             values = df.select(x[c].alias("x")).where("x IS NOT NULL")
@@ -189,21 +196,28 @@ def null_counts(df: DataFrame) -> DataFrame:
 def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     """Rows (column_name, unique_count): how many different non-null values each column has.
 
-    The exact form spreads (column, value) pairs over all tasks, instead of one wide expand per column.
+    Each column is read and counted on its own, so no row is multiplied and values keep their type. Settle a
+    table first if it is costly to compute. The approximate form reads all columns in one pass.
     """
     if approx:
-        row = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(c) for c in df.columns])
+        row = df.agg(*[F.approx_count_distinct(_known(df, c)).alias(c) for c in df.columns])
         return unpivot(row, "unique_count")
-    pairs = unpivot(df.select(*[_cell(df, c).alias(c) for c in df.columns]), "value")
-    return pairs.distinct().groupBy("column_name").agg(F.count("value").alias("unique_count"))
-
-
-def _cell(df: DataFrame, name: str) -> Column:
-    """A column as text, NaN being no value."""
-    value = F.col(f"`{name}`")
-    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        value = nan_to_null(value)
-    return value.cast("string")
+    counts = [
+        df.select(_known(df, c).alias("value"))
+        .groupBy("value")
+        .agg(F.lit(1).alias("one"))
+        .agg(F.lit(c).alias("column_name"), F.count("value").alias("unique_count"))
+        for c in df.columns
+    ]
+    return reduce(DataFrame.union, counts)
+
+
+def _known(df: DataFrame, name: str) -> Column:
+    """A column with NaN being no value; maps, which cannot be grouped, as text."""
+    kind, value = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return nan_to_null(value)
+    return F.to_json(value) if isinstance(kind, T.MapType) else value
 
 
 def unpivot(df: DataFrame, value: str) -> DataFrame:

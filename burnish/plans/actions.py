@@ -43,12 +43,16 @@ def _clip_needs(df: DataFrame, p: Parameters) -> list[Need]:
 
 @dataclass(frozen=True)
 class Action:
-    """How to apply an action, whether it can change the number of rows, and what it must know first."""
+    """How to apply an action, whether it can change the number of rows, and what it must know first.
+
+    The result of a ``heavy`` action is worth keeping before the table is read more than once.
+    """
 
     apply: Callable[..., DataFrame]
     keeps_rows: Callable[[Parameters], bool] = lambda p: True
     needs: Callable[[DataFrame, Parameters], list[Need]] = _nothing
     streams: Callable[[Parameters], bool] = lambda p: True
+    heavy: bool = False
 
     def accepts(self, name: str) -> bool:
         return name in inspect.signature(self.apply).parameters
@@ -61,7 +65,7 @@ ACTIONS: dict[str, Action] = {
         needs=_fill_needs,
         streams=lambda p: p.get("strategy") not in ("forward_fill", "backward_fill"),
     ),
-    "drop_duplicates": Action(drop_duplicates, keeps_rows=lambda p: False, streams=lambda p: False),
+    "drop_duplicates": Action(drop_duplicates, keeps_rows=lambda p: False, streams=lambda p: False, heavy=True),
     "cast_column": Action(cast_column, needs=_cast_needs),
     "rename_column": Action(rename_column),
     "normalize_format": Action(normalize_format),
@@ -70,9 +74,11 @@ ACTIONS: dict[str, Action] = {
     "drop_rows_by_condition": Action(drop_rows_by_condition, keeps_rows=lambda p: False),
     "clip_outliers": Action(clip_outliers, keeps_rows=lambda p: p.get("method") != "drop", needs=_clip_needs),
     "standardize_text": Action(standardize_text),
-    "fix_referential_integrity": Action(fix_referential_integrity, keeps_rows=lambda p: p.get("action") == "flag"),
+    "fix_referential_integrity": Action(
+        fix_referential_integrity, keeps_rows=lambda p: p.get("action") == "flag", heavy=True
+    ),
     "merge_tables": Action(
-        merge_tables, keeps_rows=lambda p: False, streams=lambda p: p.get("how", "left") in ("left", "inner")
+        merge_tables, keeps_rows=lambda p: False, streams=lambda p: p.get("how", "left") in ("left", "inner"), heavy=True
     ),
 }
 

@@ -20,14 +20,11 @@ def parse_actions(df: DataFrame, text: str) -> DataFrame:
     """
     need_column(df, text)
     whole = strip(F.col(f"`{text}`"))
-    fenced = strip(F.regexp_extract(whole, FENCE_PATTERN, 1))
-    body = F.when(whole.rlike(FENCE_PATTERN), fenced).otherwise(whole)
+    fenced = whole.contains("```") & whole.rlike(FENCE_PATTERN)
+    body = F.when(fenced, strip(F.regexp_extract(whole, FENCE_PATTERN, 1))).otherwise(whole)
     # As the only element of an array an object must be followed by nothing else.
     listed = F.concat(F.lit("["), body, F.lit("]"))
-    options = {"allowSingleQuotes": "false"}
-    parsed = F.when(
-        body.startswith("{") & F.try_parse_json(listed).isNotNull(), F.from_json(listed, STEP_SCHEMA, options)
-    )
+    parsed = F.when(body.startswith("{"), F.from_json(listed, STEP_SCHEMA, {"allowSingleQuotes": "false"}))
     held = df.withColumn("__step", F.when(F.size(parsed) == 1, parsed[0]))
     return (
         held.withColumn("action_type", F.when(F.col("__step").isNotNull(), F.coalesce("__step.action_type", F.lit(""))))

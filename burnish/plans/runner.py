@@ -89,7 +89,7 @@ def run_plan(
     given, known = dict(stats or {}), {}
     rows = df.count() if counting else None
     rating = round(score(df), 4) if score else None
-    shuffled = False
+    heavy = False
     for number, step in enumerate(steps, 1):
         record = StepRecord(
             number, str(step.get("action_type")), json.dumps(step.get("parameters") or {}, default=str), False, "",
@@ -103,8 +103,8 @@ def run_plan(
             known = {**known, **given}
             needs = [n for n in action.needs(result.df, parameters) if n not in known]
             if needs:
-                if shuffled:
-                    result.df, shuffled = settle(result.df), False
+                if heavy:
+                    result.df, heavy = settle(result.df), False
                 ahead = _ahead(result.df, steps[number:], _writes(parameters), known)
                 found = measure(result.df, needs + ahead, exact)
                 known.update(found)
@@ -113,9 +113,9 @@ def run_plan(
             keeps = action.keeps_rows(parameters)
             if counting and not keeps:
                 new, record.rows_after = _counted(new)
-                shuffled = False
+                heavy = False
             else:
-                shuffled = shuffled or not keeps
+                heavy = heavy or action.heavy
         except (CleaningError, AnalysisException, TypeError, KeyError) as failure:
             record.message = f"{type(failure).__name__}: {failure}"
             continue
@@ -130,8 +130,8 @@ def run_plan(
         result.df, rows = new, record.rows_after
         known = {n: v for n, v in known.items() if keeps and n.column not in _writes(parameters)}
         if score:
-            if shuffled:
-                result.df, shuffled = settle(result.df), False
+            if heavy:
+                result.df, heavy = settle(result.df), False
             record.score_after = round(score(result.df), 4)
             record.score_delta = round(record.score_after - rating, 4)
             rating = record.score_after

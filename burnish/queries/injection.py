@@ -195,7 +195,7 @@ def _name(key: str) -> tuple[str, str]:
 
 def _mail(key: str) -> str:
     first, last = _name(key)
-    return f"lower({first} || '.' || replace({last},  , ) || {whole_sql(u_sql(key, 'mailbox'), 1, 99)}) || '@example.com'"
+    return f"lower({first} || '.' || replace({last}, chr(39), '') || {whole_sql(u_sql(key, 'mailbox'), 1, 99)}) || '@example.com'"
 
 
 _K = "c_custkey"

@@ -44,7 +44,7 @@ def test_title_equals_python(spark, values):
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text("ab \t\n  　", max_size=10), min_size=20, max_size=60))
+@given(st.lists(st.text("ab \t\n\x1c\x85\xa0\u2003\u3000", max_size=10), min_size=20, max_size=60))
 def test_strip_and_squeeze_equal_python(spark, values):
     assert apply(spark, values, strip) == [v.strip() for v in values]
     assert apply(spark, values, squeeze) == [re.sub(r"\s+", " ", v).strip() for v in values]

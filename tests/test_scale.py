@@ -122,7 +122,7 @@ def test_exact_quantiles_by_narrowing(spark, monkeypatch, shape):
     }[shape]
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(5)
     want = np.quantile(values, [0.25, 0.5, 0.75])
-    for limits in ({}, {"MAX_DISTINCT": 50}, {"MAX_DISTINCT": 50, "GUIDE_ROWS": 500}):
+    for limits in ({}, {"FEW_ROWS": 10}, {"MAX_DISTINCT": 50}, {"MAX_DISTINCT": 50, "GUIDE_ROWS": 500}):
         for name, value in limits.items():
             monkeypatch.setattr(stats, name, value)
         got = measure(df, [Need("x", QUARTILES), Need("x", MEDIAN)])
