@@ -152,8 +152,13 @@ def inject_fk_violations(
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int = SEED) -> DataFrame:
-    """Put all rows into a random order that depends on key and seed only."""
-    return df.orderBy(_u(key, seed, "shuffle"), F.col(f"`{key}`"))
+    """Put all rows into a random order that depends on key and seed only; rows that share a key stay together.
+
+    The last sort keys only matter for such rows: they let a key with very many rows be sorted by several tasks.
+    """
+    need_column(df, key)
+    cells = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return df.orderBy(_u(key, seed, "shuffle"), F.col(f"`{key}`"), F.xxhash64(*cells), F.spark_partition_id())
 
 
 def gen_people(keys: DataFrame, key: str, seed: int = SEED, dirty: bool = True) -> DataFrame:

@@ -117,7 +117,10 @@ def lookup(
     The size is taken before the values are made distinct: an upper bound that needs no shuffle.
     """
     on = _match(df_key, key, null_safe)
-    small, keys = is_small(keys, limits.broadcast_bytes), keys.distinct()
+    small = is_small(keys, limits.broadcast_bytes)
+    if small and how != "left":
+        return df.join(F.broadcast(keys), on, how)  # a repeated key makes no difference here
+    keys = keys.distinct()
     if small:
         return df.join(F.broadcast(keys), on, how)
     hot = hot_keys(df, df_key, limits)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -161,10 +162,26 @@ def sample_values(df: DataFrame, order_by: Sequence[str] | None, n: int = 5, loo
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "value"))), lambda s: s["value"]).alias("sample_values"))
     ).collect()
     found = {r["column_name"]: r["sample_values"] for r in kept}
-    for c in df.columns:
-        if len(found.get(c, [])) < n:
-            tail = df.where(F.col(f"`{c}`").isNotNull()).orderBy(*_columns(order)).limit(n)
-            found[c] = [r[0] for r in tail.select(F.col(f"`{c}`").cast("string")).collect()]
+    sparse = [c for c in df.columns if len(found.get(c, [])) < n]
+    if sparse:
+        found.update(_first_values(df, sparse, order, n))
     return df.sparkSession.createDataFrame(
-        [(c, found[c]) for c in df.columns], "column_name string, sample_values array<string>"
+        [(c, found.get(c, [])) for c in df.columns], "column_name string, sample_values array<string>"
     )
+
+
+def _first_values(df: DataFrame, names: list[str], order: list[str], n: int) -> dict[str, list[str]]:
+    """The first non-null values of some columns, each looked for in the whole table, all in one job."""
+    tails = [
+        df.where(F.col(f"`{c}`").isNotNull())
+        .orderBy(*_columns(order))
+        .limit(n)
+        .agg(F.lit(c).alias("column_name"), F.array_sort(F.collect_list(_placed(c, order))).alias("values"))
+        for c in names
+    ]
+    rows = reduce(DataFrame.union, tails).select("column_name", F.transform("values", lambda v: v["value"])).collect()
+    return {r[0]: r[1] for r in rows}
+
+
+def _placed(name: str, order: list[str]) -> Column:
+    return F.struct(F.struct(*_columns(order)).alias("place"), F.col(f"`{name}`").cast("string").alias("value"))

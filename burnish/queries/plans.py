@@ -16,7 +16,7 @@ from burnish.plans.recipes import (
 from burnish.plans.recommend import recommend_actions
 from burnish.plans.runner import run_plan
 from burnish.quality.profile import detect_issues
-from burnish.quality.scores import outlier_reference, scorecard_orders
+from burnish.quality.scores import ORDER_WEIGHTS, outlier_reference, scorecard_orders
 from burnish.queries.dirty import (
     contacts,
     date_sql,
@@ -31,6 +31,7 @@ from burnish.queries.dirty import (
 )
 from burnish.queries.quality import COPIES, MISSING, MONEY
 from burnish.queries.registry import query
+from burnish.queries.scores import features_sql, fit_sql, order_parts_sql
 
 CONTENT = ", ".join(ORDER_CONTENT)
 
@@ -167,7 +168,38 @@ def _(spark, sf):
     return record.select("step", "action_type", "success", "rows_before", "rows_after", "row_loss")
 
 
-@query("plan_audit_scores")
+# The table after each step of the plan for orders.
+STATES = {
+    "dirty_orders": None,
+    "linked": None,
+    "clean": None,
+    "priced": "SELECT * REPLACE (least(greatest(price, pl), ph) AS price) FROM clean, fences",
+    "clipped": "SELECT * REPLACE (least(greatest(CAST(quantity AS DOUBLE), ql), qh) AS quantity) FROM priced",
+    "final": "SELECT o.*, c.segment FROM clipped o LEFT JOIN dirty_customers c ON o.customer_id = c.customer_id",
+}
+
+
+def _rated(number: int, table: str) -> str:
+    overall = "round(" + " + ".join(f"{w}::DOUBLE * {c}" for c, w in ORDER_WEIGHTS.items()) + ", 4)"
+    return f"SELECT {number} AS step, {overall} AS rating FROM (SELECT {order_parts_sql(table, f'fit{number}_')})"
+
+
+_FITS = ", ".join(
+    fit_sql(features_sql(t, "dense_rank() OVER (ORDER BY coalesce(segment, 'nan')) - 1" if t == "final" else "0"), f"fit{i}_")
+    for i, t in enumerate(STATES)
+)
+
+
+@query(
+    "plan_audit_scores",
+    orders(
+        "SELECT a.step, b.rating AS score_before, a.rating AS score_after, round(a.rating - b.rating, 4) AS score_delta "
+        "FROM ratings a JOIN ratings b ON a.step = b.step + 1",
+        more=f"{CLEAN}, "
+        + ", ".join(f"{t} AS ({sql})" for t, sql in STATES.items() if sql)
+        + f", {_FITS}, ratings AS ({' UNION ALL '.join(_rated(i, t) for i, t in enumerate(STATES))})",
+    ),
+)
 def _(spark, sf):
     customers = dirty(spark, sf, "dirty_customers")
     reference = outlier_reference(dirty(spark, sf, "dirty_orders"))
@@ -175,7 +207,8 @@ def _(spark, sf):
     def overall(df):
         return scorecard_orders(df, customers, reference).first()["overall"]
 
-    return clean_orders(spark, sf, score=overall).audit()
+    record = clean_orders(spark, sf, score=overall).audit()
+    return record.select("step", "score_before", "score_after", "score_delta")
 
 
 @query(

@@ -133,20 +133,26 @@ def _(spark, sf):
     return score_fk(dirty(spark, sf, "dirty_orders"), "customer_id", "customers", "customer_id", tables(spark, sf))
 
 
-def _tamed_sql(column: str) -> str:
-    """The outlier measure of a column, the orders below a limit being the clean ones."""
+def _tamed_sql(column: str, table: str = "tamed") -> str:
+    """The outlier measure of a column of a table, compared with the dirty orders."""
     low, high = fences_sql(f"CAST({column} AS DOUBLE)")
     bounds = f"SELECT {low} AS lo, {high} AS hi, min({column}) AS a, max({column}) AS z FROM dirty_orders"
     side = (
         "CASE WHEN {o} <= 0 THEN 1.0::DOUBLE ELSE least(greatest(1 - greatest({c}, 0) / CAST({o} AS DOUBLE), 0), 1) END"
     )
     above, below = side.format(o="z - hi", c="cz - hi"), side.format(o="lo - a", c="lo - ca")
-    clean = f"SELECT min({column}) AS ca, max({column}) AS cz FROM tamed"
+    clean = f"SELECT min({column}) AS ca, max({column}) AS cz FROM {table}"
     return f"(SELECT ({above} + {below}) / 2 FROM ({bounds}), ({clean}))"
 
 
 TAMED = "tamed AS (SELECT * FROM dirty_orders WHERE price < 2000000 AND quantity < 200)"
-OUTLIERS = f"round(({_tamed_sql('price')} + {_tamed_sql('quantity')}) / 2, 4)"
+
+
+def outliers_sql(table: str = "tamed") -> str:
+    return f"round(({_tamed_sql('price', table)} + {_tamed_sql('quantity', table)}) / 2, 4)"
+
+
+OUTLIERS = outliers_sql()
 
 
 def tamed(spark, sf):
@@ -159,13 +165,13 @@ def _(spark, sf):
     return score_outlier_removal(tamed(spark, sf), dirty(spark, sf, "dirty_orders"))
 
 
-def fit_sql(source: str) -> str:
+def fit_sql(source: str, name: str = "fit") -> str:
     """R² by taking one regressor after the other out of the remaining ones.
 
     What the rest of a regressor explains on its own adds up to what all regressors explain together.
     """
     names = ("x1", "x2", "x3", "x4")
-    parts, previous = [f"f0 AS ({source})"], "f0"
+    parts, previous = [f"{name}0 AS ({source})"], f"{name}0"
     for i in range(1, 4):
         base = names[i - 1]
         rest = ", ".join(
@@ -173,10 +179,10 @@ def fit_sql(source: str) -> str:
             f"- (SELECT regr_slope({n}, {base}) FROM {previous}) * {base} AS {n}"
             for n in names[i:]
         )
-        parts.append(f"f{i} AS (SELECT y, {', '.join(names[:i])}, {rest} FROM {previous})")
-        previous = f"f{i}"
+        parts.append(f"{name}{i} AS (SELECT y, {', '.join(names[:i])}, {rest} FROM {previous})")
+        previous = f"{name}{i}"
     terms = " + ".join(f"coalesce(power(CASE WHEN var_pop({n}) > 1e-12 THEN corr(y, {n}) END, 2), 0)" for n in names)
-    return f"{', '.join(parts)}, fit AS (SELECT {terms} AS r2 FROM {previous})"
+    return f"{', '.join(parts)}, {name} AS (SELECT {terms} AS r2 FROM {previous})"
 
 
 SEGMENTED = (
@@ -214,19 +220,34 @@ def _(spark, sf):
     return spark.createDataFrame([(round(downstream_r2(merged(spark, sf)), 6),)], "r2 double")
 
 
+@query("score_downstream_r2", orders("SELECT round(r2, 4) AS downstream_ml FROM fit", more=f"{SEGMENTED}, {fit_sql(ENCODED)}"))
+def _(spark, sf):
+    return spark.createDataFrame([(round(downstream_r2(merged(spark, sf)), 4),)], "downstream_ml double")
+
+
+def features_sql(table: str, segment: str = "0") -> str:
+    """What the model for a table of orders is fitted on."""
+    return (
+        "SELECT price * CAST(quantity AS DOUBLE) AS y, price AS x1, CAST(quantity AS DOUBLE) AS x2, "
+        f"CAST(dense_rank() OVER (ORDER BY product) - 1 AS DOUBLE) AS x3, CAST({segment} AS DOUBLE) AS x4 FROM {table}"
+    )
+
+
+def order_parts_sql(table: str, fit: str) -> str:
+    """The components of the scorecard of a table of orders."""
+    return (
+        f"(SELECT {FK} FROM {table}) AS referential_integrity, "
+        f"(SELECT round((SELECT count(*) FROM (SELECT DISTINCT {CONTENT} FROM {table})) / CAST(count(*) AS DOUBLE), 4) "
+        f"FROM {table}) AS deduplication, {outliers_sql(table)} AS outlier_removal, "
+        f"(SELECT round(r2, 4) FROM {fit}) AS downstream_ml"
+    )
+
+
 @query(
     "scorecard_orders",
     orders(
-        f"SELECT *, {weighted_sql(ORDER_WEIGHTS)} AS overall FROM (SELECT "
-        f"(SELECT {FK} FROM tamed) AS referential_integrity, "
-        f"(SELECT round((SELECT count(*) FROM (SELECT DISTINCT {CONTENT} FROM tamed)) / CAST(count(*) AS DOUBLE), 4) "
-        f"FROM tamed) AS deduplication, {OUTLIERS} AS outlier_removal, "
-        f"(SELECT round(r2, 4) FROM fit) AS downstream_ml)",
-        more=f"{TAMED}, "
-        + fit_sql(
-            "SELECT price * quantity AS y, price AS x1, CAST(quantity AS DOUBLE) AS x2, "
-            "CAST(dense_rank() OVER (ORDER BY product) - 1 AS DOUBLE) AS x3, CAST(0 AS DOUBLE) AS x4 FROM tamed"
-        ),
+        f"SELECT *, {weighted_sql(ORDER_WEIGHTS)} AS overall FROM (SELECT {order_parts_sql('tamed', 'fit')})",
+        more=f"{TAMED}, {fit_sql(features_sql('tamed'))}",
     ),
 )
 def _(spark, sf):

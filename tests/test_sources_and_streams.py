@@ -58,6 +58,21 @@ def test_shared_folder_is_the_sessions(spark):
     assert new_folder(spark) != new_folder(spark)
 
 
+class Session:
+    """A session with some settings only."""
+
+    def __init__(self, **settings):
+        self.conf = settings
+
+
+def test_only_a_local_session_makes_its_own_folder():
+    assert shared_folder(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:/x"})) == "hdfs:/x"
+    assert shared_folder(Session(**{"spark.master": "local[2]"})) == shared_folder(Session(**{"spark.master": "local"}))
+    for settings in ({"spark.master": "yarn"}, {}):
+        with pytest.raises(CleaningError):
+            shared_folder(Session(**settings))
+
+
 # --- streams --------------------------------------------------------------------------------------------------
 
 
