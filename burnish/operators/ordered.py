@@ -25,6 +25,8 @@ MAX_GROUP_ROWS = 1_000_000
 MAX_RANGES = 10_000
 
 _RANGE, _REAL = "__range", "__real"
+# The range of rows whose group is not cut. (-1 is the range of rows without a place in the order.)
+WHOLE_GROUP = -2
 
 
 def need_order(df: DataFrame, order_by: Sequence[str] | None, what: str) -> list[str]:
@@ -60,6 +62,8 @@ def fill_from_neighbour(
         return df.withColumn(column, F.coalesce(value, nearest))
 
     cut = with_ranges(df, order, total, max_group_rows)
+    if groups:
+        cut = _only_large_groups(cut, sizes.where(F.col("count") > max_group_rows), groups)
     carry = _carried(cut, column, groups, order, forward)
     rows = cut.withColumn(_REAL, F.lit(1)).unionByName(carry.withColumn(_REAL, F.lit(0)), allowMissingColumns=True)
     inside = Window.partitionBy(_RANGE, *_columns(groups)).orderBy(F.col(_REAL).asc(), *sort)
@@ -67,12 +71,25 @@ def fill_from_neighbour(
     return filled.where(F.col(_REAL) == 1).select(*_columns(df.columns))
 
 
+def _only_large_groups(cut: DataFrame, large: DataFrame, groups: list[str]) -> DataFrame:
+    """Give all rows of a group that is small enough the same range, ``WHOLE_GROUP``.
+
+    The list of large groups can be broadcast: each stands for more than ``max_group_rows`` rows.
+    """
+    names = [f"__g{i}" for i in range(len(groups))]
+    listed = large.select(*[F.col(f"`{g}`").alias(n) for g, n in zip(groups, names)], F.lit(True).alias("__large"))
+    same = reduce(Column.__and__, [F.col(f"`{g}`").eqNullSafe(F.col(n)) for g, n in zip(groups, names)])
+    marked = cut.join(F.broadcast(listed), same, "left")
+    kept = F.when(F.col("__large"), F.col(_RANGE)).otherwise(F.lit(WHOLE_GROUP))
+    return marked.withColumn(_RANGE, kept).drop("__large", *names)
+
+
 def _carried(cut: DataFrame, column: str, groups: list[str], order: list[str], forward: bool) -> DataFrame:
     """Per range and group, the value that reaches it from the ranges before; at most one row per range and group."""
     value = F.col(f"`{column}`")
     position = F.when(value.isNotNull(), F.struct(*_columns(order)))
     edge = F.max_by(value, position) if forward else F.min_by(value, position)
-    edges = cut.groupBy(_RANGE, *_columns(groups)).agg(edge.alias("__edge"))
+    edges = cut.where(F.col(_RANGE) != WHOLE_GROUP).groupBy(_RANGE, *_columns(groups)).agg(edge.alias("__edge"))
     step = F.col(_RANGE).asc() if forward else F.col(_RANGE).desc()
     before = Window.partitionBy(*_columns(groups)).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     carry = edges.withColumn(column, F.last("__edge", ignorenulls=True).over(before))

@@ -117,10 +117,9 @@ def quantiles(
             out.update({c: dict(zip(asked[c], row[i])) for i, c in enumerate(narrow)})
         else:
             out.update(_by_counting(df.select(*[x[c].alias(c) for c in narrow]), {c: asked[c] for c in narrow}))
-    for c in cols:
-        if c not in out:
-            values = df.select(x[c].alias("x")).where("x IS NOT NULL")
-            out[c] = {p: _interpolate(values, rows[c], p) for p in asked[c]}
+    wide = [c for c in cols if c not in out]
+    if wide:
+        out.update(_by_narrowing(df.select(*[x[c].alias(c) for c in wide]), rows, {c: asked[c] for c in wide}))
     return out, list(head[2 * len(cols) :])
 
 
@@ -135,42 +134,90 @@ def _by_counting(df: DataFrame, asked: Mapping[str, Sequence[float]]) -> dict[st
     return {r["column_name"]: {p: v for p, v in zip(shares, r["q"]) if p in asked[r["column_name"]]} for r in rows}
 
 
-def _interpolate(x: DataFrame, n: int, p: float) -> float:
-    """The value at position p * (n - 1) of column ``x`` in ascending order."""
-    position = p * (n - 1)
-    low = math.floor(position)
-    wanted = [low, min(low + 1, n - 1)]
-    below_value, above_value = _at_ranks(x, n, wanted)
-    return below_value + (position - low) * (above_value - below_value)
+@dataclass
+class _Search:
+    """The interval of a column's values in which two neighbouring ranks are known to lie."""
 
-
-def _at_ranks(x: DataFrame, n: int, ranks: list[int]) -> list[float]:
-    """The values at the given zero-based ranks (neighbours), found by narrowing the interval they lie in."""
-    offset, inside, window, margin = 0, n, x, MARGIN
-    while True:
-        first = max(0.0, (ranks[0] - offset) / inside - margin)
-        last = min(1.0, (ranks[-1] - offset + 1) / inside + margin)
+    column: str
+    position: float
+    ranks: tuple[int, int]
+    inside: int
+    offset: int = 0
+    low: float | None = None
+    high: float | None = None
+    margin: float = MARGIN
+    found: tuple[float, float] | None = None
+    done: bool = False
+
+    def holds(self) -> Column:
+        x = F.col(f"`{self.column}`")
+        return x.isNotNull() if self.low is None else x.between(self.low, self.high)
+
+    def shares(self) -> list[float]:
+        """Where the ranks should be among the values inside, with some room on both sides."""
+        first, last = ((r - self.offset) / self.inside for r in self.ranks)
+        return [max(0.0, first - self.margin), min(1.0, last + 1 / self.inside + self.margin)]
+
+    def narrow(self, low: float, high: float, below: int, within: int, distinct: int) -> None:
+        if self.ranks[0] < self.offset + below or self.ranks[1] >= self.offset + below + within:
+            self.margin = 1.0 if self.margin > 0.2 else self.margin * 4  # missed: look in a wider interval
+            return
+        self.done = low == high or distinct <= MAX_DISTINCT or within == self.inside
+        self.found = (low, low) if low == high else None
+        self.offset, self.inside, self.low, self.high = self.offset + below, within, low, high
+
+
+def _by_narrowing(
+    df: DataFrame, rows: Mapping[str, int], asked: Mapping[str, Sequence[float]]
+) -> dict[str, dict[float, float]]:
+    """Quantiles of columns with many different values; all of them are searched for in the same passes."""
+    searches = []
+    for c, shares in asked.items():
+        for p in shares:
+            place = p * (rows[c] - 1)
+            ranks = (math.floor(place), min(math.floor(place) + 1, rows[c] - 1))
+            searches.append(_Search(c, place, ranks, rows[c]))
+    while active := [s for s in searches if not s.done]:
         # A few rows say where to look; whether the ranks are there is then counted over all rows.
-        guide = window.sample(GUIDE_ROWS / inside, seed=inside) if inside > GUIDE_ROWS else window
-        low, high = guide.agg(F.percentile_approx("x", [first, last], ACCURACY)).first()[0]
-        bracket = F.col("x").between(low, high)
-        below, within, distinct = window.agg(
-            F.count_if(F.col("x") < low),
-            F.count_if(bracket),
-            F.approx_count_distinct(F.when(bracket, F.col("x"))),
+        scope = df.where(reduce(Column.__or__, [s.holds() for s in active])).withColumn("__u", F.rand(len(active)))
+        guides = scope.agg(
+            *[
+                F.percentile_approx(
+                    F.when(s.holds() & (F.col("__u") <= GUIDE_ROWS / s.inside), F.col(f"`{s.column}`")), s.shares(), ACCURACY
+                )
+                for s in active
+            ]
         ).first()
-        if ranks[0] < offset + below or ranks[-1] >= offset + below + within:
-            margin = 1.0 if margin > 0.2 else margin * 4  # missed: look again in a wider interval
-            continue
-        if low == high:
-            return [low] * len(ranks)
-        shrunk = within < inside
-        offset, inside, window = offset + below, within, window.where(bracket)
-        if distinct <= MAX_DISTINCT or not shrunk:
-            break
-    upto = F.sum("count").over(Window.orderBy("x")) + offset
-    steps = window.groupBy("x").count().withColumn("upto", upto)
-    return list(steps.agg(*[F.min(F.when(F.col("upto") > r, F.col("x"))) for r in ranks]).first())
+        ends = [tuple(g) if g else (s.low, s.high) for g, s in zip(guides, active)]
+        counted = []
+        for s, (low, high) in zip(active, ends):
+            x = F.when(s.holds(), F.col(f"`{s.column}`"))
+            bracket = x.between(low, high)
+            counted += [F.count_if(x < low), F.count_if(bracket), F.approx_count_distinct(F.when(bracket, x))]
+        counts = scope.agg(*counted).first()
+        for i, (s, (low, high)) in enumerate(zip(active, ends)):
+            s.narrow(low, high, *counts[3 * i : 3 * i + 3])
+    _read_off(df, [s for s in searches if not s.found])
+    out: dict[str, dict[float, float]] = {c: {} for c in asked}
+    for s, p in zip(searches, [p for ps in asked.values() for p in ps]):
+        above = s.position - s.ranks[0]
+        out[s.column][p] = (1 - above) * s.found[0] + above * s.found[1]
+    return out
+
+
+def _read_off(df: DataFrame, searches: list[_Search]) -> None:
+    """Set what is at the ranks, from the few values left in each interval."""
+    if not searches:
+        return
+    cells = [F.when(s.holds(), F.struct(F.lit(i).alias("i"), F.col(f"`{s.column}`").alias("x"))) for i, s in enumerate(searches)]
+    counted = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("i", "x").agg(F.count("*").alias("n"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("x")))
+    wanted = [
+        F.min(F.when((F.col("i") == i) & (F.col("upto") + s.offset > r), F.col("x"))) for i, s in enumerate(searches) for r in s.ranks
+    ]
+    row = upto.agg(*wanted).first()
+    for i, s in enumerate(searches):
+        s.found = (row[2 * i], row[2 * i + 1])
 
 
 def summary(df: DataFrame, column: str) -> dict[str, Column]:

@@ -95,7 +95,7 @@ def test_small_is_counted(spark):
 @pytest.mark.parametrize("order", [["t"], ["name", "t"], ["tie", "t"], ["ts"]])
 def test_fill_over_ranges(spark, forward, groups, order):
     rng = random.Random(5)
-    rows = [(t, f"n{t:04d}", 1, rng.choice("aaab"), rng.randint(1, 9) if rng.random() < 0.1 else None) for t in range(500)]
+    rows = [(t, f"n{t:04d}", 1, "d" if t % 50 == 0 else None if t % 40 == 0 else rng.choice("aaab"), rng.randint(1, 9) if rng.random() < 0.1 else None) for t in range(500)]
     df = spark.createDataFrame(rows, "t int, name string, tie int, g string, x int").repartition(7)
     df = df.withColumn("ts", F.expr("TIMESTAMP_NTZ '2024-01-01' + make_interval(0, 0, 0, 0, 0, t, 0)"))
     key = lambda d: sorted((r["t"], r["x"]) for r in d.collect())
