@@ -55,7 +55,9 @@ def merge_tables(
         df, right.withColumnsRenamed(hidden), left_on, hidden[right_on], how, match_nulls, limits
     )
     # A row that only the right side has brings its key along.
-    key = F.coalesce(F.col(f"`{left_on}`"), F.col(hidden[right_on])) if shared and how in ("right", "outer") else F.col(f"`{left_on}`")
+    key = F.col(f"`{left_on}`")
+    if shared and how in ("right", "outer"):
+        key = F.coalesce(key, F.col(hidden[right_on]))
     return joined.select(
         *[key.alias(c) if c == left_on else F.col(f"`{c}`") for c in df.columns],
         *[F.col(hidden[c]).alias(n) for c, n in names.items()],

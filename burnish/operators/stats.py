@@ -213,7 +213,9 @@ def _read_off(df: DataFrame, searches: list[_Search]) -> None:
     counted = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("i", "x").agg(F.count("*").alias("n"))
     upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("x")))
     wanted = [
-        F.min(F.when((F.col("i") == i) & (F.col("upto") + s.offset > r), F.col("x"))) for i, s in enumerate(searches) for r in s.ranks
+        F.min(F.when((F.col("i") == i) & (F.col("upto") + s.offset > r), F.col("x")))
+        for i, s in enumerate(searches)
+        for r in s.ranks
     ]
     row = upto.agg(*wanted).first()
     for i, s in enumerate(searches):

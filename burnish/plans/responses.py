@@ -23,17 +23,18 @@ def parse_actions(df: DataFrame, text: str) -> DataFrame:
     fenced = whole.contains("```") & whole.rlike(FENCE_PATTERN)
     body = F.when(fenced, strip(F.regexp_extract(whole, FENCE_PATTERN, 1))).otherwise(whole)
     # As the only element of an array an object must be followed by nothing else.
-    listed = F.concat(F.lit("["), body, F.lit("]"))
-    parsed = F.when(body.startswith("{"), F.from_json(listed, STEP_SCHEMA, {"allowSingleQuotes": "false"}))
-    held = df.withColumn("__step", F.when(F.size(parsed) == 1, parsed[0]))
+    listed = F.concat(F.lit("["), F.col("__body"), F.lit("]"))
+    parsed = F.from_json(listed, STEP_SCHEMA, {"allowSingleQuotes": "false"})
+    found, step = F.size("__steps") == 1, F.col("__steps")[0]
+    nothing = F.create_map().cast("map<string,string>")
     return (
-        held.withColumn("action_type", F.when(F.col("__step").isNotNull(), F.coalesce("__step.action_type", F.lit(""))))
-        .withColumn(
-            "parameters",
-            F.when(
-                F.col("__step").isNotNull(),
-                F.coalesce("__step.parameters", F.create_map().cast("map<string,string>")),
-            ),
+        df.withColumn("__body", body)
+        .withColumn("__steps", F.when(F.col("__body").startswith("{"), parsed))
+        .withColumns(
+            {
+                "action_type": F.when(found, F.coalesce(step["action_type"], F.lit(""))),
+                "parameters": F.when(found, F.coalesce(step["parameters"], nothing)),
+            }
         )
-        .drop("__step")
+        .drop("__body", "__steps")
     )

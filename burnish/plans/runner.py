@@ -80,8 +80,9 @@ def run_plan(
 
     ``order_by`` serves the steps that depend on row order and name none. ``audit`` counts rows: only steps
     that can change their number cost a pass, which also writes their result. ``score`` rates the table after
-    each step. ``stats`` are used as they are, others are taken when needed. With ``on_loss='abort'`` a step that removes too many rows is undone and ends the run. Without
-    ``exact`` quartiles and medians are approximate, which saves passes over very large tables.
+    each step. ``stats`` are used as they are, others are taken when needed. With ``on_loss='abort'`` a step
+    that removes too many rows is undone and ends the run. Without ``exact`` quartiles and medians are
+    approximate, which saves passes over very large tables.
     """
     need_choice("on_loss", on_loss, ("flag", "abort"))
     counting = audit or score is not None or on_loss == "abort"

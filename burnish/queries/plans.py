@@ -26,7 +26,6 @@ from burnish.queries.dirty import (
     orders,
     people,
     strip_sql,
-    tables,
     title_sql,
 )
 from burnish.queries.quality import COPIES, MISSING, MONEY

@@ -17,7 +17,7 @@ from burnish.quality.profile import (
     detect_outliers,
     detect_schema_mismatch,
 )
-from burnish.queries.dirty import contacts, date_sql, dirty, fences_sql, orders, people, tables, title_sql
+from burnish.queries.dirty import contacts, dirty, fences_sql, orders, people, tables, title_sql
 from burnish.queries.registry import ORACLES, query, read
 
 PEOPLE = ("id", "name", "age", "department", "salary", "email")
