@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burnish.errors import CleaningError
-
-
-@cache
-def _own_folder() -> str:
-    """A temporary folder for sessions that run on this machine alone."""
-    return tempfile.mkdtemp(prefix="burnish-")
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local session without one gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise CleaningError("set spark.checkpoint.dir to a folder that all executors can reach")
-    return _own_folder()
+    """The folder all executors can reach: the one set for checkpoints, else a part of the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    set_by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_by_context.isDefined():
+        return set_by_context.get()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/burnish-scratch"
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A path in the shared folder that nothing has written to yet."""
-    return f"{shared_folder(spark).rstrip('/')}/burnish-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has written to yet, deleted when the session's JVM ends."""
+    folder = f"{shared_folder(spark).rstrip('/')}/burnish-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
