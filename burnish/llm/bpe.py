@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm.common import col, query, table
+from burnish.llm.common import col, in_python, query, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD = 256
@@ -227,7 +227,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer | None = None, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], ids], ["doc_id", "ids"])
 
     rows = _texts(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return in_python(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(coded: DataFrame, tokenizer: Tokenizer | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -242,7 +242,7 @@ def decode(coded: DataFrame, tokenizer: Tokenizer | None = None, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), data], ["doc_id", "data"])
 
     rows = coded.select(col(id_col).alias("doc_id"), col(ids_col).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, data binary")
+    return in_python(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
 def round_trip(docs: DataFrame, tokenizer: Tokenizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,7 +269,7 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer | None = None, id_col: str
 
     rows = _texts(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_python(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 @query("op9_byte_bpe")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +56,29 @@ def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     return df.select().limit(rows + 1).count() <= rows
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they need no installation of it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    bundle = f"{tempfile.mkdtemp(prefix='burnish-code-')}/{root.name}.zip"
+    with zipfile.ZipFile(bundle, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    context.addPyFile(bundle)
+    _shipped.add(context.applicationId)
+
+
+def in_python(df: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left join of ``rows`` with the one row per ``key`` in ``groups``, whose column ``size`` counts the rows of the key.
 
@@ -79,4 +105,4 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     return docs.join(side, col(id_col) == F.col(mark), "left_anti")
 
 
-__all__ = ["attach", "col", "fresh", "is_small", "query", "settle", "table", "without"]
+__all__ = ["attach", "col", "fresh", "in_python", "is_small", "query", "settle", "ship", "table", "without"]

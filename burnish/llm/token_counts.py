@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.llm.bpe import portions
-from burnish.llm.common import col, query, table
+from burnish.llm.common import col, in_python, query, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -126,7 +126,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, i
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     rows = docs.select(col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    counted = rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = in_python(rows, run, f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

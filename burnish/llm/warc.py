@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm.common import attach, col, query, settle, table
+from burnish.llm.common import attach, col, in_python, query, settle, table
 from burnish.operators.scratch import new_folder
 
 SMALL_PAYLOAD = 100
@@ -176,7 +176,7 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
             done.append(file.close())
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["file", "records"])
 
-    return settle(marked.mapInArrow(write, "file string, records long"))
+    return settle(in_python(marked, write, "file string, records long"))
 
 
 def _make_folder(spark: SparkSession, folder: str) -> None:
@@ -252,7 +252,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     count = max(1, files.count())
-    return files.select("file").repartition(min(count, 10_000)).mapInArrow(read, RECORD)
+    return in_python(files.select("file").repartition(min(count, 10_000)), read, RECORD)
 
 
 ORACLE = f"""
