@@ -1,6 +1,6 @@
 """All queries of this subpackage, and the SQL some of them are compared with."""
 
-from burnish.llm import bpe, exact_dedup, jaccard_join, language, mixing, neighbours, token_counts, toxicity, warc  # noqa: F401
+from burnish.llm import bpe, exact_dedup, jaccard_join, language, mixing, neighbours, substrings, token_counts, toxicity, warc  # noqa: F401
 from burnish.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
