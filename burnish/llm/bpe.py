@@ -32,27 +32,35 @@ from burnish.llm.common import col, in_python, query, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD = 256
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 BATCH_BYTES = 8 << 20
 MEMORY = "256MB"
 
+#: The smallest rank, the place of its pair's left token, and that of the right one are packed into one number.
 CONTRACT = """
 WITH RECURSIVE state AS (
     SELECT 0 AS step, word, place, token FROM start
     UNION ALL
     SELECT step + 1, word, place, CASE WHEN place = spot THEN made ELSE token END
-    FROM (SELECT step, word, place, token, lag(place) OVER (PARTITION BY word ORDER BY place) AS before FROM state) s
+    FROM state
     JOIN (
-        SELECT word, arg_min(place, (id, place)) AS spot, min(id) AS made
-        FROM (SELECT word, place, token, lead(token) OVER (PARTITION BY word ORDER BY place) AS next FROM state) p
-        JOIN merges m ON m.a = p.token AND m.b = p.next
-        GROUP BY word
-    ) best USING (word)
-    WHERE before IS NULL OR before <> spot
+        SELECT word, (best >> 36)::INT AS made, ((best >> 18) & 262143)::INT AS spot, (best & 262143)::INT AS gone
+        FROM (
+            SELECT word, min((id::BIGINT << 36) | (place::BIGINT << 18) | after) AS best
+            FROM (
+                SELECT word, place, token, lead(word) OVER o AS same, lead(token) OVER o AS next, lead(place) OVER o AS after
+                FROM state WINDOW o AS (ORDER BY word, place)
+            ) p
+            JOIN merges m ON m.a = p.token AND m.b = p.next
+            WHERE same = word
+            GROUP BY word
+        )
+    ) USING (word)
+    WHERE place <> gone
 )
-SELECT word, list(token ORDER BY place) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state)
-WHERE step = last GROUP BY word ORDER BY word
+SELECT list(token ORDER BY place) AS ids
+FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
+GROUP BY word ORDER BY word
 """
 
 #: One step on a single long word: the places of the smallest pair, every second one of a run that overlaps itself.
@@ -76,11 +84,9 @@ LEFT JOIN chosen c ON c.n = s.n
 WHERE s.n - 1 NOT IN (SELECT n FROM chosen)
 """
 
-#: Decimals of the bytes in order; the list keeps the order of positions.
 DECODE = """
 SELECT doc, array_to_string(list(piece ORDER BY place), '') AS hex
-FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS place FROM coded)
-JOIN vocabulary USING (id) GROUP BY doc
+FROM coded JOIN vocabulary USING (id) GROUP BY doc
 """
 
 
@@ -95,7 +101,10 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.split = regex.compile(pattern).findall
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.decimals = list(map(str, range(max(self.ranks.values()) + 1)))
+        #: Tokens of words, as the bytes of 32-bit integers: of those used lately, and before.
+        self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
         self.db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": MEMORY})
         merges = [
             (left, right, rank)
@@ -114,7 +123,8 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _contract(self, words: list[bytes]) -> list[list[int]]:
+    def _contract(self, words: list[bytes]) -> list[bytes]:
+        """The tokens of each word."""
         lengths = np.array([len(w) for w in words], np.int64)
         places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         rows = {
@@ -123,48 +133,60 @@ class Codec:
             "token": self.single[np.frombuffer(b"".join(words), np.uint8)],
         }
         self._load("start", pa.table(rows))
-        return [ids for _, ids in self.db.execute(CONTRACT).fetchall()]
-
-    def _contract_long(self, word: bytes) -> list[int]:
+        out = []
+        for chunk in self.db.sql(CONTRACT).to_arrow_table().column("ids").chunks:
+            ends = (chunk.offsets.to_numpy() - chunk.offsets[0].as_py()) * 4
+            flat = chunk.flatten().to_numpy().astype(np.int32).tobytes()
+            out += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return out
+
+    def _contract_long(self, word: bytes) -> bytes:
         self._load("long_state", pa.table({"place": np.arange(len(word)), "token": self.single[np.frombuffer(word, np.uint8)]}))
         while True:
             self.db.execute(LONG_STEP)
             if not self.db.execute("SELECT count(*) FROM chosen").fetchall()[0][0]:
-                return [t for (t,) in self.db.execute("SELECT token FROM long_state ORDER BY place").fetchall()]
+                tokens = self.db.execute("SELECT token FROM long_state ORDER BY place").fetchall()
+                return np.array(tokens, np.int32).tobytes()
             self.db.execute(LONG_APPLY)
 
     def _learn(self, words: set[str]) -> None:
-        """Remember the tokens of ``words``: as decimals joined by commas, and as 32-bit integers."""
-        whole, short, long = {}, [], []
-        for word in words:
+        """Remember the tokens of ``words``, all of them in ``known``."""
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.known, self.known_before = {}, self.known
+            new = words
+        before = new & self.known_before.keys()
+        self.known.update((w, self.known_before[w]) for w in before)
+        short, long = [], []
+        for word in new - before:
             raw = word.encode()
             if raw in self.ranks:
-                whole[word] = [self.ranks[raw]]
+                self.known[word] = np.int32(self.ranks[raw]).tobytes()
             else:
                 (short if len(raw) <= LONG_WORD else long).append((word, raw))
         for i in range(0, len(short), 50_000):
             part = short[i : i + 50_000]
-            whole.update(zip((w for w, _ in part), self._contract([raw for _, raw in part]), strict=True))
-        whole.update((word, self._contract_long(raw)) for word, raw in long)
-        for word, ids in whole.items():
-            self.known[word] = (",".join(map(str, ids)), np.array(ids, np.int32).tobytes())
+            self.known.update(zip([w for w, _ in part], self._contract([raw for _, raw in part]), strict=True))
+        self.known.update((word, self._contract_long(raw)) for word, raw in long)
 
-    def encode(self, texts: list[str]) -> list[tuple[str, np.ndarray]]:
-        """Per text its ids, joined by commas, and as an array."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Per text its ids."""
         split = [self.split(t) for t in texts]
-        used = set().union(*split)
-        if len(self.known) + len(used) > REMEMBERED:
-            self.known = {w: self.known[w] for w in used if w in self.known}
-        self._learn(used - self.known.keys())
-        found = [[self.known[w] for w in words] for words in split]
-        return [(",".join([f[0] for f in x]), np.frombuffer(b"".join([f[1] for f in x]), np.int32)) for x in found]
+        self._learn(set().union(*split))
+        known = self.known
+        return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in split]
+
+    def listed(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by commas."""
+        return ",".join(map(self.decimals.__getitem__, ids.tolist())).encode()
 
     def decode(self, coded: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
-        ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
-        flat = pa.array(np.concatenate([*coded, np.zeros(0, np.int32)]).astype(np.int32))
-        ids = pa.ListArray.from_arrays(pa.array(ends), flat)
-        self.db.register("coded", pa.table({"doc": np.arange(len(coded)), "ids": ids}))
+        lengths = np.array([len(c) for c in coded], np.int64)
+        places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        doc = np.repeat(np.arange(len(coded), dtype=np.int32), lengths)
+        ids = np.concatenate([*coded, np.zeros(0, np.int32)]).astype(np.int32)
+        self.db.register("coded", pa.table({"doc": doc, "place": places.astype(np.int32), "id": ids}))
         out = dict(self.db.execute(DECODE).fetchall())
         self.db.unregister("coded")
         return [bytes.fromhex(out.get(i, "")) for i in range(len(coded))]
@@ -223,7 +245,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer | None = None, id_col: str = "d
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in portions(texts, BATCH_BYTES):
-                ids = pa.array([x for _, x in codec.encode(texts[a:b])], pa.list_(pa.int32()))
+                ids = pa.array(codec.encode(texts[a:b]), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], ids], ["doc_id", "ids"])
 
     rows = _texts(docs, id_col, text_col)
@@ -256,12 +278,12 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer | None = None, id_col: str
             texts = batch.column("text").to_pylist()
             for a, b in portions(texts, BATCH_BYTES):
                 coded = codec.encode(texts[a:b])
-                back = codec.decode([ids for _, ids in coded])
+                back = codec.decode(coded)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[a:b],
-                        pa.array([len(ids) for _, ids in coded], pa.int64()),
-                        pa.array([sha(text.encode()) for text, _ in coded]),
+                        pa.array([len(ids) for ids in coded], pa.int64()),
+                        pa.array([sha(codec.listed(ids)) for ids in coded]),
                         pa.array([sha(data) for data in back]),
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
