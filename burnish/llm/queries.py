@@ -1,6 +1,23 @@
 """All queries of this subpackage, and the SQL some of them are compared with."""
 
-from burnish.llm import bpe, exact_dedup, jaccard_join, language, mixing, neighbours, substrings, token_counts, toxicity, warc  # noqa: F401
+import corpus_pipeline
+
+from burnish.llm import (  # noqa: F401
+    bpe,
+    exact_dedup,
+    jaccard_join,
+    language,
+    mixing,
+    neighbours,
+    substrings,
+    token_counts,
+    toxicity,
+    warc,
+)
 from burnish.llm.common import ORACLES, QUERIES
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 __all__ = ["ORACLES", "QUERIES"]
