@@ -10,11 +10,11 @@ among the first ``n - ceil(t * n) + k`` of each, for any ``k``: a longer prefix
 3. the join proper, among those: shingles ordered by how rare they are; each node takes the ``k`` of the smallest
    estimated cost, which is the rows it will meet (the frequencies in its prefix), and the candidates to verify (at
    most these rows divided by ``k``, as each needs ``k`` matches), times its size. Two nodes are candidates if they
-   share as many prefix shingles as the smaller of their two ``k``.
+   share as many prefix shingles as the smaller of their two ``k``. Of two nodes, the smaller has at least
+   ``2t / (1 + t)`` of its shingles in common with the other, so a shorter prefix will do for it (``heads``).
 
-Large groups of near copies would be all pairs. So the join runs twice: first every prefix shingle links its nodes to
-one of them only, and what is verified is contracted to components; then only nodes of different components are paired,
-all of them. No link between components can be missed by that, and links within one change nothing.
+Large groups of near copies would be all pairs. So the join runs twice: first every node is compared with one other
+only, and what is verified is contracted to components; then only nodes of different components are paired, all of them. No link between components can be missed by that, and links within one change nothing.
 
 Frequent shingles (in ``FREQUENT`` of the documents) are found by counts per block of documents; they are at most
 shingles per document divided by FREQUENT, so they are broadcast, counted on the spot and never gathered in a task.
@@ -44,7 +44,9 @@ FREQUENT = 0.005
 #: Documents per block that frequent shingles are looked for in.
 BLOCK = 2000
 #: Nodes per row of the second join: larger groups go in several rows.
-CHUNK = 500
+CHUNK = 400
+#: Pairs of components that one shingle may give as rows; with more, its nodes are compared in blocks.
+CROWD = 64
 
 
 def least_overlap(n):
@@ -52,6 +54,11 @@ def least_overlap(n):
     return -(-n * PART // WHOLE)
 
 
+def least_overlap_of_smaller(n):
+    """The same, with documents that are no smaller."""
+    return -(-n * 2 * PART // (WHOLE + PART))
+
+
 def filter_matches(n):
     """Matches that the document filter's prefix allows for."""
     return np.maximum(1, n // 8)
@@ -142,7 +149,8 @@ def may_have_partner(docs: DataFrame, words: int, frequent) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """Of the nodes' sets (node, n, shingles): rows (shingle, node, n, k) of the prefixes, without shingles of one node."""
+    """Of the nodes' sets (node, n, shingles): rows (shingle, node, n, k, head) of the prefixes, without shingles of one
+    node. ``head`` tells those in the shorter prefix, where the smaller node of a pair has its matches."""
     rows = sets.select("node", F.explode("shingles").alias("shingle"))
     frequency = settle(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     met = attach(rows, frequency, "shingle", "df", sets.agg(F.sum("n")).first()[0] or 0).where("df IS NOT NULL")
@@ -157,14 +165,16 @@ def prefixes(sets: DataFrame) -> DataFrame:
                 df, shingles = df.values.to_numpy(), shingles.values.to_numpy()
                 order = np.lexsort((shingles, df))
                 take, k = choose(n, df[order])
-                out.append((shingles[order][:take], node, n, k, df[order][:take]))
+                head = least_overlap(n) - least_overlap_of_smaller(n) + take
+                middle = int(1000 * np.log2(df).sum() / n)
+                out.append((shingles[order][:take], node, n, k, np.arange(take) < head, middle))
             lengths = [len(o[0]) for o in out]
             flat = lambda i, out=out, lengths=lengths: np.repeat(np.array([o[i] for o in out], np.int64), lengths)
             both = [np.concatenate([*(o[i] for o in out), np.zeros(0, np.int64)]).astype(np.int64) for i in (0, 4)]
-            columns = [both[0], flat(1), flat(2), flat(3), both[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "n", "k", "df"])
+            columns = [both[0], flat(1), flat(2), flat(3), both[1] == 1, flat(5)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "n", "k", "head", "middle"])
 
-    return in_python(whole, run, "shingle long, node long, n long, k long, df long")
+    return in_python(whole, run, "shingle long, node long, n long, k long, head boolean, middle long")
 
 
 def choose(n: int, df: np.ndarray) -> tuple[int, int]:
@@ -194,35 +204,121 @@ def _close(a: str, b: str) -> F.Column:
     return (F.least(a, b) * WHOLE >= F.greatest(a, b) * PART)
 
 
+def _smaller(a: str, b: str) -> F.Column:
+    """Whether node ``a`` (struct of n, node) comes before ``b`` by size."""
+    return (F.col(f"{a}.n") < F.col(f"{b}.n")) | ((F.col(f"{a}.n") == F.col(f"{b}.n")) & (F.col(f"{a}.node") < F.col(f"{b}.node")))
+
+
 def star_pairs(prefix: DataFrame) -> DataFrame:
-    """Each shingle's nodes with one of them: the candidates (a, b) of the first join."""
-    hub = F.struct("node", "n", "k")
-    hubs = settle(prefix.groupBy("shingle").agg(F.min(hub).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    """Each node with one that has many shingles in common with it: the candidates (a, b) of the first join.
+
+    For every shingle only the smallest node with it in its head is looked at, so there are no more rows than shingles.
+    """
+    hub = F.max(F.struct("middle", "n", "node")).alias("hub")
+    hubs = settle(prefix.groupBy("shingle").agg(hub, F.count(F.lit(1)).alias("size")).where("size > 1"))
     met = attach(prefix, hubs, "shingle", "size", prefix.count()).where("hub.node <> node")
-    pairs = met.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n_a"), "n", F.least("hub.k", "k").alias("k"))
-    near = pairs.where(_close("n_a", "n")).groupBy("a", "b", "k").agg(F.count(F.lit(1)).alias("matches"))
-    return near.where("matches >= k").select("a", "b")
-
-
-def cross_pairs(prefix: DataFrame, labels: DataFrame) -> DataFrame:
-    """All candidates (a, b) of different components."""
-    total = prefix.count()
-    sized = labels.join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_label")), "label")
-    labelled = prefix.join(F.broadcast(labels) if is_small(sized) else labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = settle(labelled)
-    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-    mixed = settle(mixed.where("low < high").select("shingle", "size"))
-    rows = attach(labelled, mixed, "shingle", "size", total).where("size IS NOT NULL")
-    part = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("long"))
-    groups = settle(rows.groupBy("shingle", "label", part.alias("part")).agg(F.collect_list(F.struct("node", "n", "k")).alias("nodes")))
-    one = groups.select("shingle", F.col("label").alias("label_a"), F.col("nodes").alias("nodes_a"))
-    two = groups.select("shingle", F.col("label").alias("label_b"), F.col("nodes").alias("nodes_b"))
-    met = one.join(two, "shingle").where("label_a < label_b").select(F.explode("nodes_a").alias("x"), "nodes_b")
-    pairs = met.select("x", F.explode("nodes_b").alias("y")).where(_close("x.n", "y.n"))
+    pairs = met.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n_a"), "n")
+    near = pairs.where(_close("n_a", "n")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("matches"))
+    return near.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")).select("a", "b")
+
+
+def cross_links(prefix: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components: all of them, or of many between the same components one at least."""
+    labelled = prefix.join(F.broadcast(labels) if is_small(labels) else labels, "node", "left")
+    labelled = settle(labelled.withColumn("label", F.coalesce("label", "node")))
+    by_label = labelled.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("rows"), F.max("head").cast("long").alias("head"))
+    mixed = by_label.groupBy("shingle").agg(F.sum("rows").alias("size"), F.count(F.lit(1)).alias("groups"), F.sum("head").alias("heads"))
+    mixed = settle(mixed.where("groups > 1 AND heads > 0").withColumn("crowded", F.col("groups") * F.col("heads") > CROWD))
+    rows = settle(attach(labelled, mixed, "shingle", "size", prefix.count()).where("size IS NOT NULL"))
+    return verify(cross_pairs(rows.where("NOT crowded")), sets).unionByName(crowd_links(rows.where("crowded"), sets))
+
+
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """All candidates (a, b) of different components, the smaller node first."""
+    part = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("long")).alias("part")
+    side = lambda df, s: df.groupBy("shingle", F.col("label").alias(f"label_{s}"), part).agg(F.collect_list(F.struct("n", "node", "k")).alias(f"nodes_{s}"))
+    one, two = side(rows.where("head"), "a").drop("part"), side(rows, "b").drop("part")
+    met = one.join(two, "shingle").where("label_a <> label_b").select(F.explode("nodes_a").alias("x"), "nodes_b")
+    pairs = met.select("x", F.explode("nodes_b").alias("y")).where(_smaller("x", "y") & _close("x.n", "y.n"))
     named = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.k", "y.k").alias("k"))
     return named.groupBy("a", "b", "k").agg(F.count(F.lit(1)).alias("matches")).where("matches >= k").select("a", "b")
 
 
+def crowd_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the nodes of shingles that too many components share to pair them row by row.
+
+    Such nodes are compared in blocks: all that hang together by these shingles make a crowd, which is dealt to blocks of
+    some CHUNK nodes; two blocks are compared at once by multiplying their incidence matrices, and give a link for each
+    two components that have one, as a forest. So rows grow with the blocks, not with the pairs.
+    """
+    rows = settle(rows.select("shingle", "node", "label", "n"))
+    if rows.isEmpty():
+        return sets.sparkSession.createDataFrame([], "a long, b long")
+    hubs = rows.groupBy("shingle").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size"))
+    joined = attach(rows, settle(hubs), "shingle", "size", rows.count()).select("a", F.col("node").alias("b")).distinct()
+    crowds = components(joined).withColumnRenamed("label", "crowd")
+    crowds = settle(crowds.join(rows.select("node", "label").distinct(), "node"))
+    sizes = settle(crowds.groupBy("crowd").agg(F.count(F.lit(1)).alias("size")))
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK).cast("long"))
+    dealt = attach(crowds, sizes, "crowd", "size", crowds.count()).withColumn("block", block)
+    whole = dealt.join(sets, "node").select("crowd", "block", F.struct("node", "label", "n", "shingles").alias("member"))
+    blocks = settle(whole.groupBy("crowd", "block").agg(F.collect_list("member").alias("members")))
+    one = blocks.select("crowd", F.col("block").alias("block_a"), F.col("members").alias("members_a"))
+    two = blocks.select("crowd", F.col("block").alias("block_b"), F.col("members").alias("members_b"))
+    pairs = one.join(two, "crowd").where("block_a <= block_b").select("members_a", "members_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = block_links(_members(batch.column(0)[i]), _members(batch.column(1)[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return in_python(pairs, run, "a long, b long")
+
+
+def _members(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, labels, sizes, shingles one after the other, and the row of each shingle."""
+    members = block.values
+    node, label, n = (members.field(c).to_numpy() for c in ("node", "label", "n"))
+    lists = members.field("shingles")
+    return node, label, n, lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy())
+
+
+def block_links(left, right, columns: int = 4096) -> tuple[list[int], list[int]]:
+    """Links between nodes of two blocks that connect all components that any of their similar pairs does."""
+    both = np.intersect1d(left[3], right[3])
+    overlap = np.zeros((len(left[0]), len(right[0])), np.float32)
+    for i in range(0, len(both), columns):
+        part = both[i : i + columns]
+        matrices = []
+        for _, _, n, shingles, row in (left, right):
+            at = np.searchsorted(part, shingles)
+            hit = (at < len(part)) & (part[np.minimum(at, len(part) - 1)] == shingles)
+            m = np.zeros((len(n), len(part)), np.float32)
+            m[row[hit], at[hit]] = 1
+            matrices.append(m)
+        overlap += matrices[0] @ matrices[1].T
+    overlap = overlap.astype(np.int64)
+    similar = WHOLE * overlap >= PART * (left[2][:, None] + right[2][None] - overlap)
+    similar &= left[1][:, None] != right[1][None]
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    a, b = [], []
+    for x, y in zip(*np.nonzero(similar), strict=True):
+        p, q = find(int(left[1][x])), find(int(right[1][y]))
+        if p != q:
+            parent[p] = q
+            a.append(int(left[0][x]))
+            b.append(int(right[0][y]))
+    return a, b
+
+
 def link(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, n, node), and the components of the linked nodes (node, label)."""
     texts = _texts(docs, id_col, text_col)
@@ -244,7 +340,7 @@ def link(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col:
     prefix = settle(prefixes(sets))
     links = settle(verify(star_pairs(prefix), sets))
     labels = components(links)
-    more = settle(verify(cross_pairs(prefix, labels), sets))
+    more = settle(cross_links(prefix, labels, sets))
     return rows, components(links.unionByName(more))
 
 
@@ -267,6 +363,27 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return without(docs, found, id_col)
 
 
-@query("op6_jaccard_join")
+ORACLE = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+),
+s AS (
+    SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM d WHERE len(words) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.other)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id
+FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@query("op6_jaccard_join", ORACLE)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

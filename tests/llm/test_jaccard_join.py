@@ -72,9 +72,11 @@ def test_against_all_pairs(spark, seed):
     assert sorted(map(tuple, jj.near_duplicates(frame(spark, rows)).collect())) == brute(rows)
 
 
-def test_with_large_paths_forced(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [0, 4, 10**9])
+def test_with_large_paths_forced(spark, monkeypatch, crowd):
     monkeypatch.setattr(jj, "CHUNK", 3)
     monkeypatch.setattr(jj, "BLOCK", 20)
+    monkeypatch.setattr(jj, "CROWD", crowd)
     monkeypatch.setattr("burnish.llm.common.SMALL_ROWS", 5)
     monkeypatch.setattr("burnish.llm.common.is_small.__defaults__", (5,), raising=False)
     monkeypatch.setattr("burnish.llm.common.HOT_ROWS", 10)
