@@ -9,7 +9,7 @@ the graph. It is built and compacted in steps, each a Spark job over less than t
 2. Edges. Windows with repeated anchors are gathered by anchor, as stretches of consecutive windows. For each edge the
    source of an occurrence is the previous one in its document or else the very first; consecutive windows with
    consecutive sources make one row. Anchors that are very frequent go another way, so that no group is gathered: their
-   edges are aggregated to first occurrences and joined back.
+   edges are aggregated to first occurrences, which are sent or joined back.
 3. Paths. Joined over anchors, the rows become spans of a document, each with source coordinates. The graph's
    nonbranching paths are the stretches of source text that no span enters or leaves: the coordinates where spans begin
    and end cut the sources into paths (``paths``).
@@ -146,12 +146,7 @@ def compare(anchors: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = begin + np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         has, source = sources_of(edges, ids, keys, starts)
         at = np.flatnonzero(has)
-        s_ids, s_keys, s_starts = ids[source[at]], keys[source[at]], starts[source[at]]
-        same = (np.diff(at) == 1) & (np.diff(row[at]) == 0) & (np.diff(s_starts) == 1) & (np.diff(s_ids) == 0) & (s_keys[1:] == s_keys[:-1])
-        cut = np.flatnonzero(np.concatenate([[True], ~same])[: len(at)])
-        n = np.diff(np.concatenate([cut, [len(at)]]))
-        own = at[cut]
-        return _longs(doc_id=ids[own], text_key=keys[own], start=starts[own], n=n, source_id=s_ids[cut], source_key=s_keys[cut], source_start=s_starts[cut])
+        return _runs(row[at], ids[at], keys[at], starts[at], ids[source[at]], keys[source[at]], starts[source[at]])
 
     waiting, size, seen = [], 0, set()
     for batch in anchors:
@@ -168,29 +163,85 @@ def compare(anchors: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield resolve(waiting)
 
 
-def compare_frequent(rows: DataFrame, total: int) -> DataFrame:
-    """The same for stretches of frequent anchors, without gathering an anchor's or an edge's occurrences."""
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of stretches: the row, id, key, start and edge of every window."""
+    blobs = batch.column("edges").to_pylist()
+    lengths = np.array([len(b) // 8 for b in blobs], np.int64)
+    row = np.repeat(np.arange(len(blobs)), lengths)
+    ids, keys, begin = (batch.column(c).to_numpy()[row] for c in (*KEY, "start"))
+    starts = begin + np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return row, ids, keys, starts, np.frombuffer(b"".join(blobs), np.int64)
+
+
+def _runs(row, ids, keys, starts, s_ids, s_keys, s_starts) -> pa.RecordBatch:
+    """Occurrences in order, those joined that continue each other in their row and at their source (OCCURRENCES)."""
+    same = (np.diff(row) == 0) & (np.diff(starts) == 1) & (np.diff(s_starts) == 1) & (np.diff(s_ids) == 0) & (s_keys[1:] == s_keys[:-1])
+    cut = np.flatnonzero(np.concatenate([[True], ~same])[: len(row)])
+    n = np.diff(np.concatenate([cut, [len(row)]]))
+    return _longs(doc_id=ids[cut], text_key=keys[cut], start=starts[cut], n=n, source_id=s_ids[cut], source_key=s_keys[cut], source_start=s_starts[cut])
+
+
+def compare_frequent(rows: DataFrame) -> DataFrame:
+    """The same for stretches of frequent anchors, without gathering an anchor's or an edge's occurrences.
+
+    First occurrences are aggregated, after every batch has done so for itself. If the repeated edges are few enough they
+    are sent to where the stretches are; otherwise occurrences are joined with them, edge by edge.
+    """
+
+    def first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, ids, keys, starts, edges = _unpacked(batch)
+            order = np.lexsort((keys, starts, ids, edges))
+            e = edges[order]
+            new = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]])[: len(e)])
+            n = np.diff(np.concatenate([new, [len(e)]]))
+            at = order[new]
+            yield _longs(edge=e[new], doc_id=ids[at], start=starts[at], text_key=keys[at], n=n)
+
+    seen = in_python(rows, first_of_batch, "edge long, doc_id long, start long, text_key long, n long")
+    first = F.min(F.struct("doc_id", "start", "text_key")).alias("first")
+    firsts = settle(seen.groupBy("edge").agg(first, F.sum("n").alias("size")).where("size > 1"))
+    if not is_small(firsts):
+        return _joined_with_first(rows, firsts)
+    table = firsts.select("edge", "first.*").orderBy("edge").toPandas()
+    known = rows.sparkSession.sparkContext.broadcast([table[c].to_numpy(np.int64) for c in ("edge", "doc_id", "start", "text_key")])
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edge, first_ids, first_starts, first_keys = known.value
+        for batch in batches:
+            row, ids, keys, starts, edges = _unpacked(batch)
+            if not len(edge) or not len(edges):
+                continue
+            at = np.minimum(np.searchsorted(edge, edges), len(edge) - 1)
+            again = (edge[at] == edges) & ((ids != first_ids[at]) | (starts != first_starts[at]))
+            # An earlier occurrence in the same stretch makes the better source: loops then run along themselves.
+            order = np.lexsort((starts, edges, row))
+            before = np.concatenate([order[:1], order[:-1]])
+            own = (edges[before] == edges[order]) & (row[before] == row[order]) & (starts[before] < starts[order])
+            source = np.full(len(edges), -1)
+            source[order[own]] = starts[before[own]]
+            local = source >= 0
+            s_ids, s_keys = np.where(local, ids, first_ids[at]), np.where(local, keys, first_keys[at])
+            s_starts = np.where(local, source, first_starts[at])
+            yield _runs(*(x[again] for x in (row, ids, keys, starts, s_ids, s_keys, s_starts)))
+
+    return in_python(rows, resolve, OCCURRENCES)
+
+
+def _joined_with_first(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Occurrences of edges joined with the first ones; a hot edge's rows stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = pa.array([np.frombuffer(b, np.int64) for b in batch.column("edges").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEY, "start")), lists], [*KEY, "start", "edges"])
+            _, ids, keys, starts, edges = _unpacked(batch)
+            yield _longs(edge=edges, doc_id=ids, text_key=keys, start=starts)
 
-    lists = in_python(rows.dropDuplicates([*KEY, "start"]), run, "doc_id long, text_key long, start long, edges array<long>")
-    single = lists.select(*KEY, "start", F.posexplode("edges").alias("i", "edge"))
-    single = settle(single.select("edge", *KEY, (F.col("start") + F.col("i")).alias("start")))
-    first = F.min(F.struct("doc_id", "start", "text_key")).alias("first")
-    firsts = settle(single.groupBy("edge").agg(first, F.count(F.lit(1)).alias("size")).where("size > 1"))
+    single = settle(in_python(rows, run, "edge long, doc_id long, text_key long, start long"))
     met = attach(single, firsts, "edge", "size", single.count()).where("size IS NOT NULL AND (doc_id, start) <> (first.doc_id, first.start)")
-    # An earlier occurrence in the same document makes the better source: loops then run along themselves.
-    own = F.expr("lag(start) OVER (PARTITION BY edge, doc_id, text_key ORDER BY start)")
-    own = met.withColumn("own", own)
-    take = lambda name, inner: F.when(F.col("own").isNotNull(), F.col(name)).otherwise(F.col(f"first.{inner}"))
-    return own.select(
-        *KEY, "start", F.lit(1).cast("long").alias("n"),
-        take("doc_id", "doc_id").alias("source_id"), take("text_key", "text_key").alias("source_key"),
-        F.coalesce("own", "first.start").alias("source_start"),
-    )
+    own = met.withColumn("own", F.expr("lag(start) OVER (PARTITION BY edge, doc_id, text_key ORDER BY start)"))
+    take = lambda name: F.when(F.col("own").isNotNull(), F.col(name)).otherwise(F.col(f"first.{name}"))
+    source = [take("doc_id").alias("source_id"), take("text_key").alias("source_key"), F.coalesce("own", "first.start").alias("source_start")]
+    return own.select(*KEY, "start", F.lit(1).cast("long").alias("n"), *source)
 
 
 def joined_spans(occurrences: DataFrame) -> DataFrame:
@@ -221,7 +272,8 @@ def repeated_spans(texts: DataFrame, span: int, anchor: int) -> DataFrame:
         # At most a millionth of the anchors or 1 / HOT_ROWS of them: small enough to send around.
         marked = settle(rows.join(F.broadcast(frequent), F.col("anchor") == F.col("hot_anchor"), "left"))
         usual, often = (marked.where(f"hot_anchor IS {what}").drop("hot_anchor") for what in ("NULL", "NOT NULL"))
-        found = compared(usual).unionByName(compare_frequent(often.drop("anchor"), total))
+        distinct = settle(often.dropDuplicates([*KEY, "start"]).drop("anchor"))
+        found = compared(usual).unionByName(compare_frequent(distinct))
     return settle(joined_spans(found))
 
 
@@ -323,6 +375,24 @@ def remove_repeats(
     return out if with_text else out.drop("text")
 
 
-@query("op2_substring_dedup")
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (
+    SELECT doc_id, s, array_to_string(words[s:s + 19], ' ') AS seq
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS s FROM d)
+),
+f AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY doc_id, s) AS place FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS k FROM f WHERE place > 1),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM d),
+kept AS (
+    SELECT doc_id, count(*) AS n_words, count(gone.k) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (gone.k IS NULL) AS text
+    FROM each LEFT JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op2_substring_dedup", ORACLE)
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)

@@ -69,9 +69,10 @@ def test_against_brute_force(spark, seed):
     assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in out.collect())
 
 
-def test_frequent_anchors_and_large_sides(spark, monkeypatch):
+@pytest.mark.parametrize("small", [3, 200_000])
+def test_frequent_anchors_and_large_sides(spark, monkeypatch, small):
     monkeypatch.setattr("burnish.llm.common.HOT_ROWS", 5)
-    monkeypatch.setattr("burnish.llm.common.is_small.__defaults__", (3,))
+    monkeypatch.setattr("burnish.llm.common.is_small.__defaults__", (small,))
     monkeypatch.setattr(ss, "TOGETHER", 50)
     rows = corpus(3)
     assert result(ss.remove_repeats(frame(spark, rows), with_text=False)) == brute(rows)
