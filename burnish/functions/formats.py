@@ -50,9 +50,14 @@ def zip_code(text: Column) -> Column:
 
 
 def parse_date(text: Column, layouts: Sequence[str] = DATE_LAYOUTS) -> Column:
-    """Read a date or time in the first layout that fits the value; null if none does."""
-    clean = strip(text)
-    return F.coalesce(*[F.try_to_timestamp(clean, F.lit(layout)) for layout in layouts]).cast("timestamp_ntz")
+    """Read a date or time in the first layout that fits the value; null if none does.
+
+    It is read as if written in UTC and taken as it stands, so gaps of the session's time zone do not shift it.
+    """
+    clean = F.concat(strip(text), F.lit(" Z"))
+    instant = F.coalesce(*[F.try_to_timestamp(clean, F.lit(f"{layout} X")) for layout in layouts])
+    seconds = (F.unix_micros(instant) / F.lit(1_000_000).cast("decimal(18,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
 def date_pattern(strftime: str) -> str:

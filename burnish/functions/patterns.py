@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import SparkSession
+
 from burnish.errors import CleaningError
 
-# Classes and flags that mean more than ASCII in Python; other patterns match faster without the Unicode switch.
-_UNICODE, _CLASSES = "(?U)", re.compile(r"\\[wWdDsSbB]|\(\?[a-z]*i")
+# Only a line feed ends a line in Python. Classes and flags that mean more than ASCII there need the Unicode switch;
+# other patterns match faster without it.
+_LINES, _UNICODE = "(?d)", "(?dU)"
+_CLASSES = re.compile(r"\\[wWdDsSbB]|\(\?[a-z]*i")
 
 
 def _group_name(name: str) -> str:
@@ -16,19 +20,60 @@ def _group_name(name: str) -> str:
 
 
 def pattern(source: str) -> str:
-    """A Python pattern as a Java pattern; an invalid one is refused here, on the driver."""
+    """A Python pattern as a Java pattern; one that either refuses is refused here, on the driver."""
     try:
         re.compile(source)
     except re.error as bad:
         raise CleaningError(f"invalid pattern {source!r}: {bad}") from bad
-    named = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{_group_name(m[1])}>", source)
-    named = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{_group_name(m[1])}>", named)
-    ended = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", named)
-    return (_UNICODE if _CLASSES.search(source) else "") + ended
+    java = (_UNICODE if _CLASSES.search(source) else _LINES) + _translated(source)
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        try:
+            session._jvm.java.util.regex.Pattern.compile(java)
+        except Exception as bad:  # whichever way the session reports it
+            raise CleaningError(f"pattern {source!r} has no equivalent here") from bad
+    return java
+
+
+def _translated(source: str) -> str:
+    """The parts that the two dialects write differently, one token after the other."""
+    out, at, within = [], 0, False
+    while at < len(source):
+        rest = source[at:]
+        if rest[0] == "\\":
+            token = rest[:2]
+            new = r"\z" if token == r"\Z" and not within else token
+        elif within:
+            token = "&&" if rest.startswith("&&") else rest[0]
+            new = {"[": r"\[", "&&": r"\&\&"}.get(token, token)
+            within = token != "]"
+        elif rest[0] == "[":
+            # A bracket that comes first in a class is a member of it.
+            token = re.match(r"\[\^?\]?", rest)[0]
+            new, within = token.replace("]", r"\]"), True
+        elif named := re.match(r"\(\?P<(\w+)>", rest):
+            token, new = named[0], f"(?<{_group_name(named[1])}>"
+        elif named := re.match(r"\(\?P=(\w+)\)", rest):
+            token, new = named[0], rf"\k<{_group_name(named[1])}>"
+        elif upto := re.match(r"\{,(\d*)\}", rest):
+            token, new = upto[0], f"{{0,{upto[1]}}}"
+        else:
+            token = new = rest[0]
+        out.append(new)
+        at += len(token)
+    return "".join(out)
+
 
+def replacement(source: str, searched: str | None = None) -> str:
+    """A Python replacement template as a Java one: ``\\1`` and ``\\g<n>`` become ``$1``, ``$`` is plain.
 
-def replacement(source: str) -> str:
-    """A Python replacement template as a Java one: ``\\1`` and ``\\g<n>`` become ``$1``, ``$`` is plain."""
+    With the pattern ``searched`` its groups are checked to be there.
+    """
+    if searched is not None:
+        try:
+            re.compile(searched).sub(source, "")
+        except (re.error, IndexError) as bad:
+            raise CleaningError(f"invalid replacement {source!r} for {searched!r}: {bad}") from bad
 
     def translate(m: re.Match[str]) -> str:
         if m["dollar"]:

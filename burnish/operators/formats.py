@@ -37,6 +37,8 @@ def normalize_format(
     if format_type == "date":
         shape = formats.date_pattern(output_format or "%Y-%m-%d")
         is_time = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        if not is_time:
+            _need_layouts(df, layouts)
         when = cell if is_time else formats.parse_date(text, layouts)
         return df.withColumn(column, F.date_format(when, shape))
     if format_type == "text_case":
@@ -49,6 +51,18 @@ def normalize_format(
     return df.withColumn(column, spell(text))
 
 
+def _need_layouts(df: DataFrame, layouts: Sequence[str]) -> None:
+    """Refuse date layouts that Spark would refuse while the table is read."""
+    if isinstance(layouts, str) or not all(isinstance(x, str) for x in layouts) or not layouts:
+        raise CleaningError("layouts is a list of date patterns")
+    strange = [x for x in layouts if x not in formats.DATE_LAYOUTS]
+    if strange:
+        try:
+            df.sparkSession.range(1).select(formats.parse_date(F.lit("2024-01-02"), strange)).collect()
+        except Exception as bad:
+            raise CleaningError(f"unknown date layout among {strange}") from bad
+
+
 def standardize_text(df: DataFrame, column: str, operations: Sequence[str]) -> DataFrame:
     """Apply text operations from left to right; an unknown one fails the whole step."""
     need_column(df, column)
@@ -62,5 +76,5 @@ def apply_regex(df: DataFrame, column: str, pattern: str, replacement: str) -> D
     need_column(df, column)
     text = F.col(f"`{column}`").cast("string")
     return df.withColumn(
-        column, F.regexp_replace(text, F.lit(spark_pattern(pattern)), F.lit(spark_replacement(replacement)))
+        column, F.regexp_replace(text, F.lit(spark_pattern(pattern)), F.lit(spark_replacement(replacement, pattern)))
     )

@@ -1,8 +1,8 @@
 """Equality joins that stay even when one key holds a large share of the rows.
 
 A side is broadcast only after its bytes were added up. Otherwise the keys that hold very many rows are looked
-up; if there are any, their rows are spread over ``SALTS`` tasks and the other side's rows are repeated to meet
-them. Everything else is an ordinary join.
+up; if there are any, the rows of each are spread over as many tasks as its count asks for, and the other side's rows
+are repeated to meet them. Everything else is an ordinary join.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.errors import CleaningError
+from burnish.operators.scratch import settle
 
-SALTS = 64
 # Bytes to reckon with for a value of fixed size, or besides the bytes of a text.
 FIXED_WIDTH = 16
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -23,12 +23,11 @@ _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.Timestamp
 
 @dataclass(frozen=True)
 class JoinLimits:
-    """When to broadcast a side, and from how many rows on a key is spread over several tasks."""
+    """When to broadcast a side, how many rows of one key a task may get, and how large the list of hot keys may be."""
 
     broadcast_bytes: int = 64 * 1024 * 1024
     hot_rows: int = 1_000_000
-    hot_keys: int = 1_000
-    salts: int = SALTS
+    list_bytes: int = 64 * 1024 * 1024
 
 
 LIMITS = JoinLimits()
@@ -55,15 +54,22 @@ def _width(field: T.StructField) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)) + FIXED_WIDTH
 
 
-def hot_keys(df: DataFrame, key: str, limits: JoinLimits = LIMITS) -> list[object]:
-    """The keys with at least ``hot_rows`` rows, most frequent first and at most ``hot_keys`` of them.
+def hot_keys(df: DataFrame, key: str, limits: JoinLimits = LIMITS) -> DataFrame | None:
+    """Rows (key, salts) for the keys with more than ``hot_rows`` rows, salts being the tasks that each is spread over.
 
-    The list only says whose rows to spread. A key beyond it holds less than 1/``hot_keys`` of the rows.
+    None if there is no such key. There are at most rows / ``hot_rows`` of them; if their text makes the list larger
+    than what may be broadcast, only keys with twice as many rows are listed, and so on.
     """
     if df.isStreaming:
-        return []
-    frequent = df.groupBy(F.col(f"`{key}`").alias("key")).count().where(F.col("count") >= limits.hot_rows)
-    return [r["key"] for r in frequent.orderBy(F.desc("count")).limit(limits.hot_keys).collect()]
+        return None
+    counted = df.groupBy(F.col(f"`{key}`").alias("key")).count().where(F.col("count") > limits.hot_rows)
+    hot = settle(counted.select("key", F.ceil(F.col("count") / limits.hot_rows).cast("int").alias("salts")))
+    if hot.isEmpty():
+        return None
+    least = 2
+    while not is_small(hot, limits.list_bytes) and not (fewer := hot.where(F.col("salts") > least)).isEmpty():
+        hot, least = fewer, 2 * least
+    return hot
 
 
 def same_key_type(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> None:
@@ -86,16 +92,23 @@ def equi_join(
     on = _match(left_key, right_key, null_safe)
     if is_small(right, limits.broadcast_bytes):
         core = left.join(F.broadcast(right), on, "left" if how in ("left", "outer") else "inner")
-        return core if how in ("inner", "left") else _append_unmatched(core, right, right_key, left, left_key, null_safe, limits)
+        if how in ("inner", "left"):
+            return core
+        # Keys that were met are keys of the right side, so there are no more of them than it has rows.
+        keys = right.select(F.col(f"`{right_key}`").alias("__key"))
+        met = left.join(F.broadcast(keys), _match(left_key, "__key", null_safe), "left_semi")
+        met = met.select(F.col(f"`{left_key}`").alias("__key")).distinct()
+        alone = right.join(F.broadcast(met), _match(right_key, "__key", null_safe), "left_anti")
+        return core.unionByName(alone, allowMissingColumns=True)
 
     hot_left, hot_right = hot_keys(left, left_key, limits), hot_keys(right, right_key, limits)
-    if not hot_left and not hot_right:
+    if hot_left is None and hot_right is None:
         return left.join(right, on, how)
     # A row that is repeated to meet salted rows finds no partner in some of its copies, so only the side
     # that is never repeated may keep its unmatched rows in the same join.
-    if how == "inner" or (how == "left" and not hot_right) or (how == "right" and not hot_left):
-        return _salted(left, right, left_key, right_key, on, how, hot_left, hot_right, limits)
-    core = _salted(left, right, left_key, right_key, on, "inner", hot_left, hot_right, limits)
+    if how == "inner" or (how == "left" and hot_right is None) or (how == "right" and hot_left is None):
+        return _salted(left, right, left_key, right_key, on, how, hot_left, hot_right)
+    core = _salted(left, right, left_key, right_key, on, "inner", hot_left, hot_right)
     if how in ("left", "outer"):
         core = _append_unmatched(core, left, left_key, right, right_key, null_safe, limits)
     if how in ("right", "outer"):
@@ -124,9 +137,9 @@ def lookup(
     if small:
         return df.join(F.broadcast(keys), on, how)
     hot = hot_keys(df, df_key, limits)
-    if not hot:
+    if hot is None:
         return df.join(keys, on, how)
-    return _salted(df, keys, df_key, key, on, how, hot, [], limits)
+    return _salted(df, keys, df_key, key, on, how, hot, None)
 
 
 def _match(left_key: str, right_key: str, null_safe: bool) -> Column:
@@ -145,35 +158,33 @@ def _append_unmatched(
 
 def _salted(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, on: Column, how: str,
-    hot_left: list[object], hot_right: list[object], limits: JoinLimits,
+    hot_left: DataFrame | None, hot_right: DataFrame | None,
 ) -> DataFrame:
     """Join with the rows of hot keys spread out: each pair of rows still meets exactly once."""
-    spread_left, spread_right = _salt(left, limits), _salt(right, limits)
-    repeat = F.sequence(F.lit(0), F.lit(limits.salts - 1))
-    once = F.array(F.lit(0))
-    zero = F.lit(0)
-    for name, hot in (("__a", hot_left), ("__b", hot_right)):
-        if not hot:
-            continue
-        in_left, in_right = _is_hot(left_key, hot), _is_hot(right_key, hot)
-        if name == "__a":
-            left = left.withColumn("__la", F.when(in_left, spread_left).otherwise(zero))
-            right = right.withColumn("__ra", F.explode(F.when(in_right, repeat).otherwise(once)))
-            on = on & (F.col("__la") == F.col("__ra"))
-        else:
-            right = right.withColumn("__rb", F.when(in_right, spread_right).otherwise(zero))
-            left = left.withColumn("__lb", F.explode(F.when(in_left, repeat).otherwise(once)))
-            on = on & (F.col("__lb") == F.col("__rb"))
+    one, two = _salt(left), _salt(right)
+    if hot_left is not None:
+        left = _with_salts(left, left_key, hot_left).withColumn("__la", F.pmod(one, F.col("__salts"))).drop("__salts")
+        right = _repeated(_with_salts(right, right_key, hot_left), "__ra")
+        on = on & (F.col("__la") == F.col("__ra"))
+    if hot_right is not None:
+        right = _with_salts(right, right_key, hot_right).withColumn("__rb", F.pmod(two, F.col("__salts"))).drop("__salts")
+        left = _repeated(_with_salts(left, left_key, hot_right), "__lb")
+        on = on & (F.col("__lb") == F.col("__rb"))
     return left.join(right, on, how).drop("__la", "__ra", "__lb", "__rb")
 
 
-def _is_hot(key: str, hot: list[object]) -> Column:
-    value = F.col(f"`{key}`")
-    known = F.coalesce(value.isin([h for h in hot if h is not None]), F.lit(False))
-    return known | value.isNull() if None in hot else known
+def _with_salts(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """The rows with the number of tasks for their key; the list of hot keys was checked to be small."""
+    listed = hot.select(F.col("key").alias("__hot"), F.col("salts").alias("__salts"))
+    met = df.join(F.broadcast(listed), F.col(f"`{key}`").eqNullSafe(F.col("__hot")), "left").drop("__hot")
+    return met.withColumn("__salts", F.coalesce("__salts", F.lit(1)))
 
 
-def _salt(df: DataFrame, limits: JoinLimits) -> Column:
-    """A number below ``salts`` that a row gets again if its task is repeated, and that copies of a row do not share."""
+def _repeated(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - F.lit(1).cast("long")))).drop("__salts")
+
+
+def _salt(df: DataFrame) -> Column:
+    """A number that a row gets again if its task is repeated, and that copies of a row do not share."""
     cells = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    return F.pmod(F.xxhash64(*cells) + F.spark_partition_id(), F.lit(limits.salts)).cast("int")
+    return F.xxhash64(*cells) + F.spark_partition_id()

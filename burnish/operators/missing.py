@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.errors import CleaningError, need_choice, need_column
-from burnish.functions.numbers import nan_to_null
+from burnish.functions.numbers import present
 from burnish.operators.ordered import fill_from_neighbour
 from burnish.operators.stats import MEAN, MEDIAN, MODE, Need, measure
 
@@ -54,14 +54,10 @@ def fill_missing(
     return df.withColumn(column, _filled(df, column, value, cast_to_string))
 
 
-def present(df: DataFrame, column: str) -> Column:
-    """The column with NaN turned into null."""
-    value = F.col(f"`{column}`")
-    return nan_to_null(value) if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)) else value
-
-
 def _filled(df: DataFrame, column: str, value: object, cast_to_string: bool) -> Column:
     kind, cell = df.schema[column].dataType, present(df, column)
+    if isinstance(value, str) and isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        value = _from_iso(value, kind)
     if fits(value, kind):
         return F.coalesce(cell, F.lit(value).cast(kind))
     if isinstance(kind, T.IntegralType) and isinstance(value, float):
@@ -71,6 +67,15 @@ def _filled(df: DataFrame, column: str, value: object, cast_to_string: bool) ->
     raise CleaningError(f"{value!r} does not fit column {column!r} of type {kind.simpleString()}; see cast_to_string")
 
 
+def _from_iso(value: str, kind: T.DataType) -> object:
+    """A date or time written in ISO form, as a plan in JSON has to; other text is left as it is."""
+    try:
+        read = datetime.datetime.fromisoformat(value)
+    except ValueError:
+        return value
+    return read.date() if isinstance(kind, T.DateType) else read
+
+
 def fits(value: object, kind: T.DataType) -> bool:
     """Whether a Python value can go into a column of this type without changing either."""
     if isinstance(value, bool) or isinstance(kind, T.BooleanType):

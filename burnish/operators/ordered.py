@@ -17,12 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.errors import CleaningError, need_column
+from burnish.functions.numbers import present
+from burnish.operators.joining import is_small
 from burnish.operators.scratch import settle
 from burnish.operators.stats import ACCURACY, GUIDE_ROWS
 
-# Rows one task may sort as a single group, and the most ranges an order is cut into.
+# Rows one task may sort as a single group. Up to so many ranges are cut at percentiles, more by sorting; and so many
+# neighbouring ranges are looked at together where something is carried from range to range.
 MAX_GROUP_ROWS = 1_000_000
-MAX_RANGES = 10_000
+MAX_PERCENTILES = 10_000
+BLOCK_OF_RANGES = 1_000
+LIST_BYTES = 64 * 1024 * 1024
 
 _RANGE, _REAL = "__range", "__real"
 # The range of rows whose group is not cut. (-1 is the range of rows without a place in the order.)
@@ -41,6 +46,10 @@ def _columns(names: Sequence[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
 
 
+def _floating(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+
+
 def fill_from_neighbour(
     df: DataFrame,
     column: str,
@@ -49,10 +58,14 @@ def fill_from_neighbour(
     partition_by: Sequence[str] = (),
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Fill nulls with the last (or, backward, the next) non-null value in the order, within each group."""
+    """Fill nulls with the last (or, backward, the next) non-null value in the order, within each group.
+
+    NaN counts as null, in the column and in the group.
+    """
     order = need_order(df, order_by, "filling from a neighbouring row")
     groups = list(partition_by)
     need_column(df, column, *groups)
+    df = df.withColumns({c: present(df, c) for c in (column, *groups) if _floating(df, c)})
     sort = [c.asc() if forward else c.desc() for c in _columns(order)]
     value = F.col(f"`{column}`")
     sizes = df.groupBy(*_columns(groups)).count() if groups else df.agg(F.count("*").alias("count"))
@@ -74,26 +87,50 @@ def fill_from_neighbour(
 def _only_large_groups(cut: DataFrame, large: DataFrame, groups: list[str]) -> DataFrame:
     """Give all rows of a group that is small enough the same range, ``WHOLE_GROUP``.
 
-    The list of large groups can be broadcast: each stands for more than ``max_group_rows`` rows.
+    The list of large groups is broadcast if it is small: each stands for more than ``max_group_rows`` rows.
     """
     names = [f"__g{i}" for i in range(len(groups))]
     listed = large.select(*[F.col(f"`{g}`").alias(n) for g, n in zip(groups, names)], F.lit(True).alias("__large"))
     same = reduce(Column.__and__, [F.col(f"`{g}`").eqNullSafe(F.col(n)) for g, n in zip(groups, names)])
-    marked = cut.join(F.broadcast(listed), same, "left")
+    marked = cut.join(_listed(listed), same, "left")
     kept = F.when(F.col("__large"), F.col(_RANGE)).otherwise(F.lit(WHOLE_GROUP))
     return marked.withColumn(_RANGE, kept).drop("__large", *names)
 
 
+def _listed(df: DataFrame) -> DataFrame:
+    """A side of a join, to be broadcast if it was counted to be small."""
+    return F.broadcast(df) if is_small(df, LIST_BYTES) else df
+
+
+def _block() -> Column:
+    return F.floor(F.col(_RANGE) / BLOCK_OF_RANGES)
+
+
 def _carried(cut: DataFrame, column: str, groups: list[str], order: list[str], forward: bool) -> DataFrame:
-    """Per range and group, the value that reaches it from the ranges before; at most one row per range and group."""
+    """Per range and group, the value that reaches it from the ranges before; at most one row per range and group.
+
+    It comes from earlier ranges of the same block, or else from the blocks before, so no task sees all ranges.
+    """
     value = F.col(f"`{column}`")
     position = F.when(value.isNotNull(), F.struct(*_columns(order)))
     edge = F.max_by(value, position) if forward else F.min_by(value, position)
     edges = cut.where(F.col(_RANGE) != WHOLE_GROUP).groupBy(_RANGE, *_columns(groups)).agg(edge.alias("__edge"))
-    step = F.col(_RANGE).asc() if forward else F.col(_RANGE).desc()
-    before = Window.partitionBy(*_columns(groups)).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    carry = edges.withColumn(column, F.last("__edge", ignorenulls=True).over(before))
-    return carry.where(value.isNotNull()).drop("__edge")
+    edges = edges.withColumn("__block", _block())
+    last = F.max_by if forward else F.min_by
+    known = F.when(F.col("__edge").isNotNull(), F.col(_RANGE))
+    blocks = edges.groupBy("__block", *_columns(groups)).agg(last("__edge", known).alias("__last"))
+    earlier = lambda step, *within: (
+        Window.partitionBy(*within, *_columns(groups))
+        .orderBy(F.col(step).asc() if forward else F.col(step).desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    blocks = blocks.withColumn("__before", F.last("__last", ignorenulls=True).over(earlier("__block"))).drop("__last")
+    names = {g: f"__of_{i}" for i, g in enumerate(groups)}
+    blocks = blocks.select(F.col("__block").alias("__of"), "__before", *[F.col(f"`{g}`").alias(n) for g, n in names.items()])
+    same = reduce(Column.__and__, [F.col(f"`{g}`").eqNullSafe(F.col(n)) for g, n in names.items()], F.col("__block") == F.col("__of"))
+    carry = edges.withColumn(column, F.last("__edge", ignorenulls=True).over(earlier(_RANGE, "__block")))
+    met = carry.join(blocks, same, "left").withColumn(column, F.coalesce(value, "__before"))
+    return met.where(value.isNotNull()).drop("__edge", "__block", "__of", "__before", *names.values())
 
 
 def with_ranges(df: DataFrame, order: Sequence[str], total: int, rows_per_range: int) -> DataFrame:
@@ -103,9 +140,9 @@ def with_ranges(df: DataFrame, order: Sequence[str], total: int, rows_per_range:
     leading value that fills several parts, is cut by sorting ranges of the whole order; those are written to
     the shared folder once, so that every later pass sees the same ranges.
     """
-    parts = max(2, min(MAX_RANGES, math.ceil(2 * total / max(1, rows_per_range))))
+    parts = max(2, math.ceil(2 * total / max(1, rows_per_range)))
     place = _position(df, order[0])
-    if place is not None:
+    if place is not None and parts <= MAX_PERCENTILES:
         shares = [i / parts for i in range(1, parts)]
         guide = df.select(place.alias("place"))
         guide = guide.sample(GUIDE_ROWS / total, seed=total) if total > GUIDE_ROWS else guide
@@ -137,18 +174,20 @@ def ranked_values(df: DataFrame, column: str, rank: str, max_group_rows: int = M
     """Rows (column, rank): the different non-null values and their zero-based places in ascending order."""
     need_column(df, column)
     value = F.col(f"`{column}`")
-    values = df.where(value.isNotNull()).select(value).distinct()
+    values = df.select(present(df, column).alias(column)).where(value.isNotNull()).distinct()
     total = values.count()
     if total <= max_group_rows:
-        return values.withColumn(rank, (F.row_number().over(Window.orderBy(value)) - 1).cast("int"))
+        return values.withColumn(rank, (F.row_number().over(Window.orderBy(value)) - 1).cast("long"))
     cut = with_ranges(values, [column], total, max_group_rows)
-    sizes = cut.groupBy(_RANGE).count()
-    before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(_RANGE, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    sizes = cut.groupBy(_RANGE).count().withColumn("__block", _block())
+    before = lambda step, *within: Window.partitionBy(*within).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sizes.groupBy("__block").agg(F.sum("count").alias("count"))
+    blocks = blocks.select("__block", F.coalesce(F.sum("count").over(before("__block")), F.lit(0)).alias("__blocks"))
+    starts = sizes.withColumn("__ranges", F.coalesce(F.sum("count").over(before(_RANGE, "__block")), F.lit(0))).join(blocks, "__block")
+    starts = starts.select(_RANGE, (F.col("__blocks") + F.col("__ranges")).alias("__start"))
     inside = F.row_number().over(Window.partitionBy(_RANGE).orderBy(value)) - 1
-    # One row per range, so at most MAX_RANGES + 1 rows are broadcast.
-    placed = cut.withColumn("__inside", inside).join(F.broadcast(starts), _RANGE)
-    return placed.select(value, (F.col("__start") + F.col("__inside")).alias(rank))
+    placed = cut.withColumn("__inside", inside).join(_listed(starts), _RANGE)
+    return placed.select(value, (F.col("__start") + F.col("__inside")).cast("long").alias(rank))
 
 
 def head_rows(df: DataFrame, order_by: Sequence[str] | None, n: int = 3) -> DataFrame:
@@ -163,6 +202,7 @@ def sample_values(df: DataFrame, order_by: Sequence[str] | None, n: int = 5, loo
     on their own, each reading just itself and the order.
     """
     order = need_order(df, order_by, "sampling values")
+    df = df.withColumns({c: present(df, c) for c in df.columns if _floating(df, c) and c not in order})
     top = df.orderBy(*_columns(order)).limit(look_at)
     place = Window.orderBy(*[F.col(f"__order.`{c}`") for c in order])
     keyed = top.select(F.struct(*_columns(order)).alias("__order"), *_columns(df.columns))

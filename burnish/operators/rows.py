@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.errors import CleaningError, need_choice, need_column
-from burnish.functions.numbers import numeric
+from burnish.functions.numbers import numeric, present
 from burnish.functions.patterns import pattern
 from burnish.operators.ordered import need_order
 
@@ -32,9 +33,9 @@ def drop_rows_by_condition(df: DataFrame, column: str, operator: str, value: obj
     need_choice("operator", operator, OPERATORS)
     cell = F.col(f"`{column}`")
     if operator == "isnull":
-        return df.where(cell.isNotNull())
+        return df.where(present(df, column).isNotNull())
     if operator == "notnull":
-        return df.where(cell.isNull())
+        return df.where(present(df, column).isNull())
     if value is None:
         raise CleaningError(f"operator {operator!r} needs a value")
     if operator == "contains":
@@ -52,7 +53,12 @@ def _comparable(df: DataFrame, column: str, value: object) -> bool:
     """Text never equals a number; dates may be given as text."""
     kind = df.schema[column].dataType
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return True
+        if isinstance(value, str):
+            try:
+                datetime.datetime.fromisoformat(value)
+            except ValueError as bad:
+                raise CleaningError(f"{value!r} is no date to compare column {column!r} with") from bad
+        return isinstance(value, (str, datetime.date))
     return isinstance(kind, T.StringType) == isinstance(value, str)
 
 
@@ -71,26 +77,39 @@ def drop_duplicates(
 ) -> DataFrame:
     """Keep one row (the first or last in the order), or with ``none`` no row, of each group of equal rows.
 
-    Null equals null. Every form combines rows before the shuffle, so one group may hold most of the table.
+    Null equals null, and NaN counts as null. Every form combines rows before the shuffle, so one group may hold most of the table.
     """
     keep = "none" if keep in (False, "False", "false") else keep
     need_choice("keep", keep, ("first", "last", "none"))
     key = list(dict.fromkeys(subset or df.columns))
     need_column(df, *key)
     rest = [c for c in df.columns if c not in key]
+    same = [present(df, c) for c in key]
     if keep == "none":
-        # The one row of a group that has only one is any row of it: no join back is needed.
-        aggs = [F.count("*").alias("__n")] + ([F.first(F.struct(*_columns(rest))).alias("__row")] if rest else [])
-        single = df.groupBy(*_columns(key)).agg(*aggs).where("__n = 1")
-        return single.select(*[F.col(f"`{c}`") if c in key else F.col(f"__row.`{c}`") for c in df.columns])
+        # The one row of a group that has only one is any row of it: no join back is needed. Two rows per key and
+        # input partition are enough to tell, and windows with a limit prune to that before the shuffle.
+        place = F.row_number().over(Window.partitionBy(*same).orderBy(*same))
+        two = df.withColumn("__place", place).where("__place <= 2")
+        alone = F.count("*").over(Window.partitionBy(*same))
+        return two.withColumn("__n", alone).where("__n = 1").drop("__place", "__n")
     if not rest:
-        return df.dropDuplicates()
+        return df.dropDuplicates() if not any(_floating(df, c) for c in key) else _any_of_each(df, same)
     order = _columns(need_order(df, order_by, "keeping the first or last of duplicate rows"))
     sort = [c.asc() if keep == "first" else c.desc() for c in order]
-    place = F.row_number().over(Window.partitionBy(*_columns(key)).orderBy(*sort))
+    place = F.row_number().over(Window.partitionBy(*same).orderBy(*sort))
     return df.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
+def _any_of_each(df: DataFrame, key: list[Column]) -> DataFrame:
+    """One row of each key."""
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    return df.withColumn("__place", place).where("__place = 1").drop("__place")
+
+
+def _floating(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+
+
 def union_all(df: DataFrame, *others: DataFrame) -> DataFrame:
     """Append the rows of other tables with the same columns."""
     for other in others:

@@ -6,13 +6,14 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.errors import need_column
-from burnish.functions.numbers import nan_to_null, numeric
+from burnish.functions.numbers import numeric, present
 
 # Up to this many different values, Spark's exact percentile fits well into one task's memory. Few rows in
 # total need no counting by value beforehand.
@@ -23,6 +24,7 @@ ACCURACY = 10_000
 # Rows that guide the search for a rank, and how far around it the search looks, as a share of the rows.
 GUIDE_ROWS = 1_000_000
 MARGIN = 0.004
+IDLE_ROUNDS = 6
 
 MEAN, STD, MIN, MAX, MEDIAN, QUARTILES, MODE, WHOLE = (
     "mean", "std", "min", "max", "median", "quartiles", "mode", "whole",
@@ -70,11 +72,11 @@ def measure(df: DataFrame, needs: Sequence[Need], exact: bool = True) -> dict[Ne
 
 
 def mode(df: DataFrame, column: str) -> object:
-    """The most frequent value, the smallest one in a tie; None if all are null.
+    """The most frequent value, the smallest one in a tie; None if all are null or NaN.
 
     Counts are combined before the shuffle and only the winner reaches the driver.
     """
-    value = F.col(f"`{column}`")
+    value = present(df, column)
     top = (
         df.where(value.isNotNull())
         .groupBy(value.alias("value"))
@@ -148,6 +150,9 @@ class _Search:
     margin: float = MARGIN
     found: tuple[float, float] | None = None
     done: bool = False
+    #: rounds that did not make the interval smaller; after some of them it is halved by value
+    idle: int = 0
+    upper: bool = False
 
     def holds(self) -> Column:
         x = F.col(f"`{self.column}`")
@@ -158,13 +163,29 @@ class _Search:
         first, last = ((r - self.offset) / self.inside for r in self.ranks)
         return [max(0.0, first - self.margin), min(1.0, last + 1 / self.inside + self.margin)]
 
-    def narrow(self, low: float, high: float, below: int, within: int, distinct: int) -> None:
-        if self.ranks[0] < self.offset + below or self.ranks[1] >= self.offset + below + within:
-            self.margin = 1.0 if self.margin > 0.2 else self.margin * 4  # missed: look in a wider interval
+    def ends(self, guide: Sequence[float] | None, least: float, most: float) -> tuple[float, float]:
+        """Where to look next: as the sample says, to the very ends where it reaches them, or in one half by value."""
+        if self.idle > IDLE_ROUNDS:
+            middle = least + (most - least) / 2
+            return (math.nextafter(middle, math.inf), most) if self.upper else (least, middle)
+        low, high = guide or (least, most)
+        shares = self.shares()
+        return (least if shares[0] <= 0 else low), (most if shares[1] >= 1 else high)
+
+    def narrow(self, low: float, high: float, below: int, within: int, distinct: int, last: float | None, after: float | None) -> None:
+        first, end = self.offset + below, self.offset + below + within
+        if self.ranks[0] == end - 1 and self.ranks[1] == end:  # one at the end of it, the other behind
+            self.found, self.done = (last, after), True
             return
-        self.done = low == high or distinct <= MAX_DISTINCT or within == self.inside
+        if self.ranks[0] < first or self.ranks[1] >= end:
+            self.idle, self.upper = self.idle + 1, not self.upper
+            self.margin = min(1.0, self.margin * 4)  # missed: look in a wider interval
+            return
+        if within == self.inside:
+            self.idle, self.margin = self.idle + 1, self.margin / 64
+        self.done = low == high or distinct <= MAX_DISTINCT
         self.found = (low, low) if low == high else None
-        self.offset, self.inside, self.low, self.high = self.offset + below, within, low, high
+        self.offset, self.inside, self.low, self.high = first, within, low, high
 
 
 def _by_narrowing(
@@ -177,26 +198,32 @@ def _by_narrowing(
             place = p * (rows[c] - 1)
             ranks = (math.floor(place), min(math.floor(place) + 1, rows[c] - 1))
             searches.append(_Search(c, place, ranks, rows[c]))
-    while active := [s for s in searches if not s.done]:
-        # A few rows say where to look; whether the ranks are there is then counted over all rows.
-        scope = df.where(reduce(Column.__or__, [s.holds() for s in active])).withColumn("__u", F.rand(len(active)))
+    for turn in count(1):
+        active = [s for s in searches if not s.done]
+        if not active:
+            break
+        # A few rows say where to look, others each time; whether the ranks are there is then counted over all rows.
+        scope = df.where(reduce(Column.__or__, [s.holds() for s in active])).withColumn("__u", F.rand(turn))
         guides = scope.agg(
             *[
                 F.percentile_approx(
                     F.when(s.holds() & (F.col("__u") <= GUIDE_ROWS / s.inside), F.col(f"`{s.column}`")), s.shares(), ACCURACY
                 )
                 for s in active
-            ]
+            ],
+            *[f(F.when(s.holds(), F.col(f"`{s.column}`"))) for s in active for f in (F.min, F.max)],
         ).first()
-        ends = [tuple(g) if g else (s.low, s.high) for g, s in zip(guides, active)]
+        edges = guides[len(active) :]
+        ends = [s.ends(guides[i], edges[2 * i], edges[2 * i + 1]) for i, s in enumerate(active)]
         counted = []
         for s, (low, high) in zip(active, ends):
             x = F.when(s.holds(), F.col(f"`{s.column}`"))
             bracket = x.between(low, high)
             counted += [F.count_if(x < low), F.count_if(bracket), F.approx_count_distinct(F.when(bracket, x))]
+            counted += [F.max(F.when(bracket, x)), F.min(F.when(x > high, x))]
         counts = scope.agg(*counted).first()
         for i, (s, (low, high)) in enumerate(zip(active, ends)):
-            s.narrow(low, high, *counts[3 * i : 3 * i + 3])
+            s.narrow(low, high, *counts[5 * i : 5 * i + 5])
     _read_off(df, [s for s in searches if not s.found])
     out: dict[str, dict[float, float]] = {c: {} for c in asked}
     for s, p in zip(searches, [p for ps in asked.values() for p in ps]):
@@ -236,8 +263,8 @@ def summary(df: DataFrame, column: str) -> dict[str, Column]:
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """One row: the number of nulls of each column, and ``total`` over all columns."""
-    counts = [F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns]
+    """One row: the number of nulls of each column, NaN among them, and ``total`` over all columns."""
+    counts = [F.count_if(present(df, c).isNull()) for c in df.columns]
     total = sum(counts[1:], counts[0]) if counts else F.lit(0)
     return df.agg(*[n.alias(c) for n, c in zip(counts, df.columns)], total.cast("long").alias("total"))
 
@@ -263,10 +290,8 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def _known(df: DataFrame, name: str) -> Column:
     """A column with NaN being no value; maps, which cannot be grouped, as text."""
-    kind, value = df.schema[name].dataType, F.col(f"`{name}`")
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return nan_to_null(value)
-    return F.to_json(value) if isinstance(kind, T.MapType) else value
+    value = present(df, name)
+    return F.to_json(value) if isinstance(df.schema[name].dataType, T.MapType) else value
 
 
 def unpivot(df: DataFrame, value: str) -> DataFrame:
@@ -278,15 +303,25 @@ def unpivot(df: DataFrame, value: str) -> DataFrame:
 def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """One row: ``duplicate_rows``, the rows beyond the first of each group of equal rows, and ``total_rows``.
 
-    Null equals null. Copies are combined before the shuffle, so a huge group costs no more than a small one.
+    Null equals null, and NaN counts as null. Rows are counted by a hash of 16 bytes first; only rows whose hash occurs
+    more than once are compared, column by column. Copies are combined before each shuffle, so a huge group costs no
+    more than a small one.
     """
     cols = list(subset or df.columns)
     need_column(df, *cols)
-    groups = df.groupBy(*[f"`{c}`" for c in cols]).agg(F.count("*").alias("n"))
-    return groups.agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-    )
+    cells = [_known(df, c).alias(f"c{i}") for i, c in enumerate(cols)]
+    rows = df.select(*row_hash([_known(df, c) for c in cols]), *cells)
+    seen = rows.groupBy("__h1", "__h2").agg(F.count("*").alias("n"))
+    again = seen.where("n > 1").select(F.col("__h1").alias("__r1"), F.col("__h2").alias("__r2"))
+    met = rows.join(again, (F.col("__h1") == F.col("__r1")) & (F.col("__h2") == F.col("__r2")), "left_semi")
+    groups = met.groupBy(*[f"c{i}" for i in range(len(cols))]).agg(F.count("*").alias("n"))
+    copies = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    return copies.select("duplicate_rows", df.agg(F.count("*").alias("total_rows")).scalar().alias("total_rows"))
+
+
+def row_hash(cells: Sequence[Column]) -> list[Column]:
+    """Two 64-bit hashes of a row, the same for rows that are equal in grouping."""
+    return [F.xxhash64(*cells).alias("__h1"), F.xxhash64(F.lit(1), *cells).alias("__h2")]
 
 
 def fraction(condition: Column, among: Column | None = None, weight: Column | None = None) -> Column:

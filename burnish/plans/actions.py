@@ -88,7 +88,12 @@ SUPPLIED = ("df", "stats", "tables", "limits")
 
 def checked(step: Mapping[str, object]) -> tuple[str, Action, dict[str, object]]:
     """The action of a step and its parameters, if the action exists and takes them."""
-    name, parameters = step.get("action_type"), dict(step.get("parameters") or {})  # type: ignore[arg-type]
+    if not isinstance(step, Mapping):
+        raise CleaningError(f"a step is an object with action_type and parameters, not {step!r}")
+    name, given = step.get("action_type"), step.get("parameters") or {}
+    if not isinstance(name, str) or not isinstance(given, Mapping):
+        raise CleaningError(f"a step is an object with action_type and parameters, not {step!r}")
+    parameters = dict(given)
     need_choice("action", name, ACTIONS)
     action = ACTIONS[str(name)]
     known = inspect.signature(action.apply).parameters

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +28,11 @@ def recommend_actions(
     column = F.col("column")
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    money = issues.where((F.col("issue_type") == "wrong_dtype") & column.isin(texts)).select(F.col("column").alias("money"))
-    marked = issues.join(money.distinct(), column == F.col("money"), "left")
+    # Whether any issue of the column is money in text; the issues, a few per column, are computed once.
+    money = F.bool_or((F.col("issue_type") == "wrong_dtype") & column.isin(texts)).over(Window.partitionBy("column"))
+    marked = issues.withColumn("money", F.coalesce(money, F.lit(False)))
 
-    by_number = column.isin(numbers) | F.col("money").isNotNull()
+    by_number = column.isin(numbers) | F.col("money")
     median = _parameters(column=column, strategy=F.lit("median"))
     constant = _parameters(column=column, strategy=F.lit("constant"), fill_value=F.lit(FILL_TEXT))
     frequent = _parameters(column=column, strategy=F.lit("mode"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import inspect
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.errors import need_column
 from burnish.functions.text import strip
+from burnish.plans.actions import ACTIONS
 
 # A fenced block, and the fields of a step.
 FENCE_PATTERN = r"```(?:json)?\s*([\s\S]*?)```"
@@ -38,3 +43,29 @@ def parse_actions(df: DataFrame, text: str) -> DataFrame:
         )
         .drop("__body", "__steps")
     )
+
+
+def steps_from(parsed: DataFrame, order_by: Sequence[str]) -> list[dict[str, object]]:
+    """The parsed steps as a plan that ``run_plan`` takes, in the given order; rows without a step are left out.
+
+    A parameter gets the type that its action declares: text stays text, and lists, objects, numbers and truth values are
+    read from their JSON. A plan is short, so it comes to the driver.
+    """
+    need_column(parsed, "action_type", "parameters", *order_by)
+    rows = parsed.where("action_type IS NOT NULL").orderBy(*[F.col(f"`{c}`") for c in order_by]).collect()
+    return [{"action_type": r["action_type"], "parameters": _typed(r["action_type"], r["parameters"] or {})} for r in rows]
+
+
+def _typed(action: str, parameters: dict[str, str | None]) -> dict[str, object]:
+    declared = inspect.signature(ACTIONS[action].apply).parameters if action in ACTIONS else {}
+    out: dict[str, object] = {}
+    for name, text in parameters.items():
+        kind = str(declared[name].annotation) if name in declared else "object"
+        if text is None or kind in ("str", "str | None"):
+            out[name] = text
+            continue
+        try:
+            out[name] = json.loads(text)
+        except ValueError:
+            out[name] = text
+    return out

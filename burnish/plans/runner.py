@@ -11,11 +11,10 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from burnish.errors import CleaningError, need_choice
+from burnish.errors import need_choice
 from burnish.operators.scratch import settle
 from burnish.operators.stats import Need, measure
 from burnish.plans.actions import Action, checked
@@ -92,8 +91,9 @@ def run_plan(
     rating = round(score(df), 4) if score else None
     heavy = False
     for number, step in enumerate(steps, 1):
+        shown = step if isinstance(step, Mapping) else {}
         record = StepRecord(
-            number, str(step.get("action_type")), json.dumps(step.get("parameters") or {}, default=str), False, "",
+            number, str(shown.get("action_type")), json.dumps(shown.get("parameters") or {}, default=str), False, "",
             rows, rows, False if counting else None, rating, rating, 0.0 if score else None,
         )
         result.records.append(record)
@@ -117,7 +117,7 @@ def run_plan(
                 heavy = False
             else:
                 heavy = heavy or action.heavy
-        except (CleaningError, AnalysisException, TypeError, KeyError) as failure:
+        except Exception as failure:  # whatever a plan asks for, a step that cannot be done leaves the data alone
             record.message = f"{type(failure).__name__}: {failure}"
             continue
         lost = counting and bool(rows) and (rows - record.rows_after) / rows > max_loss
@@ -157,7 +157,7 @@ def _ahead(df: DataFrame, later: Sequence[Step], written: set[str], known: Mappi
         try:
             _, action, parameters = checked(step)
             needs = action.needs(df, parameters)
-        except (CleaningError, KeyError):
+        except Exception:  # it will be reported when its turn comes
             continue
         found += [n for n in needs if n.column in df.columns and n.column not in written and n not in known]
         if not action.keeps_rows(parameters):

@@ -14,14 +14,13 @@ from pyspark.sql import types as T
 
 from burnish.errors import need_choice, need_column
 from burnish.functions.formats import date_pattern
-from burnish.functions.numbers import CURRENCY_PATTERN, numeric
+from burnish.functions.numbers import CURRENCY_PATTERN, numeric, present
 from burnish.functions.patterns import pattern as spark_pattern
 from burnish.functions.text import title
-from burnish.operators.missing import present
 from burnish.operators.ordered import sample_values
 from burnish.operators.outliers import outlier_bounds
 from burnish.operators.references import fk_counts
-from burnish.operators.stats import distinct_counts
+from burnish.operators.stats import distinct_counts, duplicate_count
 
 # Above this share of nulls a column's issue is severe.
 HIGH_MISSING = 0.10
@@ -39,34 +38,29 @@ def _is_float(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
 
 
-def _weighted(df: DataFrame, with_duplicates: bool) -> tuple[DataFrame, Column]:
-    """The table, or its different rows with their number of copies, and the weight of a row."""
-    if not with_duplicates:
-        return df, F.lit(1)
-    return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("__n")), F.col("__n")
-
-
-def _total(condition: Column, weight: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, weight)), F.lit(0))
+def _total(condition: Column) -> Column:
+    return F.count_if(condition)
 
 
 def _facts(
     df: DataFrame, duplicates: bool = False, pattern: str = CURRENCY_PATTERN, nulls: bool = True, currency: bool = True,
     whole: Sequence[str] = (),
 ) -> DataFrame:
-    """One row: total and duplicate rows and, per column number, null, currency and fraction counts."""
-    rows, n = _weighted(df, duplicates)
-    aggs = [F.coalesce(F.sum(n), F.lit(0)).alias("total")]
+    """One row: total and duplicate rows and, per column number, null, currency and fraction counts.
+
+    Copies are counted apart, by hashes; the other counts need no shuffle of rows.
+    """
+    aggs = [F.count("*").alias("total")]
     if duplicates:
-        aggs.append(F.coalesce(F.sum(n - 1), F.lit(0)).alias("copies"))
+        aggs.append(duplicate_count(df).select("duplicate_rows").scalar().alias("copies"))
     for i, c in enumerate(df.columns):
         if nulls:
-            aggs.append(_total(present(df, c).isNull(), n).alias(f"null{i}"))
+            aggs.append(_total(present(df, c).isNull()).alias(f"null{i}"))
         if currency and _is_text(df, c):
-            aggs.append(_total(F.col(f"`{c}`").rlike(spark_pattern(pattern)), n).alias(f"money{i}"))
+            aggs.append(_total(F.col(f"`{c}`").rlike(spark_pattern(pattern))).alias(f"money{i}"))
         if c in whole and _is_float(df, c):
-            aggs.append(_total(numeric(df, c) % 1 != 0, n).alias(f"broken{i}"))
-    return rows.agg(*aggs)
+            aggs.append(_total(numeric(df, c) % 1 != 0).alias(f"broken{i}"))
+    return df.agg(*aggs)
 
 
 def _issue(kind: str, column: str | None, severity: Column, description: Column, affected: Column) -> Column:

@@ -27,13 +27,13 @@ def label_encode(df: DataFrame, column: str, output: str) -> DataFrame:
     A short list of labels is looked up in the row; a long one is ranked and joined.
     """
     if column not in df.columns:
-        return df.withColumn(output, F.lit(0))
+        return df.withColumn(output, F.lit(0).cast("long"))
     label = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(NULL_CATEGORY))
     labels = df.select(label.alias("__value")).distinct()
     few = [r[0] for r in labels.limit(SHORT_LIST + 1).collect()]
     if len(few) <= SHORT_LIST:
         place = F.array_position(F.array(*map(F.lit, sorted(few))), label) if few else F.lit(0)
-        return df.withColumn(output, (place - 1).cast("int"))
+        return df.withColumn(output, (place - 1).cast("long"))
     codes = ranked_values(labels, "__value", output)
     return equi_join(df.withColumn("__label", label), codes, "__label", "__value", "left", null_safe=False).drop(
         "__label", "__value"

@@ -1,7 +1,7 @@
 """Quality scores in [0, 1]: single measures, and weighted scorecards of them.
 
-Measures are aggregates, so a scorecard reads its table once. Where duplicates count, equal rows are combined
-first and the other measures are weighted by the number of copies.
+Measures are aggregates, so a scorecard reads its table once, and once more where duplicates count: these are found by
+hashes of rows, apart from the other measures.
 """
 
 from __future__ import annotations
@@ -94,9 +94,13 @@ def score(df: DataFrame, name: str, aggregate: Column) -> DataFrame:
 
 def score_dedup(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """One row: 1 minus the share of rows that repeat an earlier one; 0 for an empty table."""
+    return _single_share(df, subset).select(F.round("deduplication", DECIMALS).alias("deduplication"))
+
+
+def _single_share(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     counts = duplicate_count(df, subset)
     share = F.coalesce(1 - F.col("duplicate_rows") / F.nullif(F.col("total_rows"), F.lit(0)), F.lit(0.0))
-    return counts.select(F.round(share, DECIMALS).alias("deduplication"))
+    return counts.select(share.alias("deduplication"))
 
 
 def score_fk(
@@ -160,14 +164,12 @@ def _card(row: DataFrame, weights: Mapping[str, float]) -> DataFrame:
 
 def scorecard_customers(df: DataFrame) -> DataFrame:
     """One row: completeness, types, duplicates and format of a table of people, and their weighted sum."""
-    rows = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("__n"))
-    n = F.col("__n")
-    names = [title_case(df, "name", n)] if "name" in df.columns else []
-    formats = names + ([stripped(df, "department", n)] if "department" in df.columns else [])
-    row = rows.agg(
-        completeness(df, ("age", "salary", "email"), n).alias("completeness"),
-        type_correctness(df, weight=n).alias("type_correctness"),
-        F.coalesce(F.count("*") / F.nullif(F.sum(n), F.lit(0)), F.lit(0.0)).alias("deduplication"),
+    names = [title_case(df, "name")] if "name" in df.columns else []
+    formats = names + ([stripped(df, "department")] if "department" in df.columns else [])
+    row = df.agg(
+        completeness(df, ("age", "salary", "email")).alias("completeness"),
+        type_correctness(df).alias("type_correctness"),
+        _single_share(df).scalar().alias("deduplication"),
         mean_of(formats).alias("format_consistency"),
     )
     return _card(row, CUSTOMER_WEIGHTS)

@@ -200,7 +200,7 @@ def test_counts(spark):
     df = spark.createDataFrame([(1.0, "a"), (NAN, None), (None, "a")], "x double, y string")
     assert {r[0]: r[1] for r in distinct_counts(df).collect()} == {"x": 1, "y": 1}
     assert {r[0]: r[1] for r in distinct_counts(df, approx=True).collect()}["y"] == 1
-    assert null_counts(df).first().asDict() == {"x": 1, "y": 1, "total": 2}
+    assert null_counts(df).first().asDict() == {"x": 2, "y": 1, "total": 3}
 
 
 # --- outliers -------------------------------------------------------------------------------------------------

@@ -20,7 +20,7 @@ from burnish.operators.stats import MEDIAN, QUARTILES, Need, measure
 from burnish.queries.registry import read
 
 SF_DIR = "/root/testdata/sf0.001"
-NEVER_SMALL = JoinLimits(broadcast_bytes=-1, hot_rows=30, salts=4)
+NEVER_SMALL = JoinLimits(broadcast_bytes=-1, hot_rows=10)
 
 
 def plan(df) -> str:
@@ -65,7 +65,11 @@ def test_salted_joins(spark, how, null_safe, hot_right):
 def test_hot_rows_are_spread_out(spark):
     _, left = skewed(spark, 1, 400, "l")
     right = spark.range(100).select(F.col("id").cast("int").alias("rk"), F.lit("x").alias("rv"))
-    assert hot_keys(left, "lk", NEVER_SMALL)[0] == 1
+    hot = {r["key"]: r["salts"] for r in hot_keys(left, "lk", NEVER_SMALL).collect()}
+    sizes = {r["lk"]: r["count"] for r in left.groupBy("lk").count().collect()}
+    assert hot == {k: -(-n // 10) for k, n in sizes.items() if n > 10} and max(hot.values()) > 10
+    assert {r["key"] for r in hot_keys(left, "lk", JoinLimits(-1, 10, list_bytes=1)).collect()} == {1}
+    assert hot_keys(left, "lk", JoinLimits(-1, 1000)) is None
     joined = equi_join(left, right, "lk", "rk", "inner", False, NEVER_SMALL)
     assert "__la" in plan(joined) and "explode" in plan(joined)
     assert "__la" not in plan(equi_join(left, right, "lk", "rk", "inner", False, JoinLimits(broadcast_bytes=-1)))
@@ -105,6 +109,35 @@ def test_fill_over_ranges(spark, forward, groups, order):
     assert "__range" in plan(ranged) and "__range" not in plan(plain)
 
 
+def test_more_hot_keys_than_a_list_could_hold(spark):
+    left = spark.range(9000).select((F.col("id") % 3000).cast("int").alias("lk"), F.col("id").alias("lv"))
+    right = spark.range(3000).select(F.col("id").cast("int").alias("rk"), F.lit("x").alias("rv"))
+    limits = JoinLimits(broadcast_bytes=-1, hot_rows=1)
+    assert hot_keys(left, "lk", limits).count() == 3000
+    assert equi_join(left, right, "lk", "rk", "inner", True, limits).count() == 9000
+    one = left.withColumn("lk", F.lit(7))
+    assert hot_keys(one, "lk", JoinLimits(-1, 100)).first()["salts"] == 90
+    assert equi_join(one, right, "lk", "rk", "outer", True, JoinLimits(-1, 100)).count() == 9000 + 2999
+
+
+def test_types_do_not_depend_on_size(spark):
+    df = spark.createDataFrame([(f"w{i}",) for i in range(300)], "w string")
+    assert ranked_values(df, "w", "c").dtypes == ranked_values(df, "w", "c", max_group_rows=20).dtypes == [("w", "string"), ("c", "bigint")]
+
+
+@pytest.mark.parametrize("blocks", [2, 1000])
+def test_blocks_of_ranges(spark, monkeypatch, blocks):
+    monkeypatch.setattr("burnish.operators.ordered.BLOCK_OF_RANGES", blocks)
+    monkeypatch.setattr("burnish.operators.ordered.LIST_BYTES", -1)
+    df = spark.range(400).select(F.col("id").alias("t"), F.when(F.col("id") % 97 == 0, F.col("id")).alias("x"), (F.col("id") % 2).alias("g"))
+    for groups in ([], ["g"]):
+        got = {r["t"]: r["x"] for r in fill_from_neighbour(df, "x", ["t"], True, groups, max_group_rows=20).collect()}
+        plain = {r["t"]: r["x"] for r in fill_from_neighbour(df, "x", ["t"], True, groups).collect()}
+        assert got == plain
+    ranks = {r["t"]: r["c"] for r in ranked_values(df, "t", "c", max_group_rows=20).collect()}
+    assert ranks == {i: i for i in range(400)}
+
+
 def test_ranks_over_ranges(spark):
     words = [f"w{i * 7919 % 1000:04d}" for i in range(600)]
     df = spark.createDataFrame([(w,) for w in words * 2 + [None]], "w string")
@@ -154,7 +187,33 @@ def test_first_duplicate_is_limited_before_the_shuffle(spark):
 
 
 def test_copies_are_counted_before_the_shuffle(spark):
-    assert "partial_" in plan(drop_duplicates(read(spark, SF_DIR, "orders"), ["o_custkey"], "none"))
+    assert "WindowGroupLimit" in plan(drop_duplicates(read(spark, SF_DIR, "orders"), ["o_custkey"], "none"))
+    counted = plan(stats.duplicate_count(read(spark, SF_DIR, "documents")))
+    hashed = [line for line in counted.splitlines() if "hashpartitioning(__h1" in line]
+    assert hashed and "partial_count" in counted
+
+
+@pytest.mark.parametrize("bits", [0, 1])
+def test_rows_of_one_hash_are_compared(spark, monkeypatch, bits):
+    monkeypatch.setattr(stats, "row_hash", lambda cells: [(F.xxhash64(*cells) % (bits + 1)).alias("__h1"), F.lit(0).alias("__h2")])
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (1, None), (1, None), (1, None)], "x int, y string")
+    assert stats.duplicate_count(df).first().asDict() == {"duplicate_rows": 3, "total_rows": 6}
+
+
+@pytest.mark.parametrize("shape", ["uniform", "ends", "gap"])
+def test_quantiles_at_the_ends_come_to_an_end(spark, monkeypatch, shape):
+    rng = np.random.default_rng(9)
+    x = rng.uniform(0, 1, 6000)
+    if shape == "ends":
+        x[:2900], x[2900:5800] = 0.0, 1.0
+    if shape == "gap":
+        x[:3000] += 1e9
+    monkeypatch.setattr(stats, "MAX_DISTINCT", 40)
+    monkeypatch.setattr(stats, "GUIDE_ROWS", 300)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    shares = [0.0, 0.001, 0.25, 0.5, 0.999, 1.0]
+    got = stats.quantiles(df, {"x": shares})[0]["x"]
+    assert np.allclose([got[p] for p in shares], np.quantile(x, shares))
 
 
 def test_checked_tables_are_broadcast(spark):

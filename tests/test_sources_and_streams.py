@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,18 +61,19 @@ def test_shared_folder_is_the_sessions(spark):
 
 
 class Session:
-    """A session with some settings only."""
+    """A session with some settings, and perhaps a checkpoint folder set by its context."""
 
-    def __init__(self, **settings):
+    def __init__(self, folder=None, **settings):
         self.conf = settings
+        context = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: folder is not None, get=lambda: folder))
+        self.sparkContext = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: context))
 
 
-def test_only_a_local_session_makes_its_own_folder():
-    assert shared_folder(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:/x"})) == "hdfs:/x"
-    assert shared_folder(Session(**{"spark.master": "local[2]"})) == shared_folder(Session(**{"spark.master": "local"}))
-    for settings in ({"spark.master": "yarn"}, {}):
-        with pytest.raises(CleaningError):
-            shared_folder(Session(**settings))
+def test_scratch_goes_where_all_can_reach_it():
+    settings = {"spark.sql.warehouse.dir": "s3:/w/"}
+    assert shared_folder(Session(**settings, **{"spark.checkpoint.dir": "hdfs:/x"})) == "hdfs:/x"
+    assert shared_folder(Session("hdfs:/set", **settings)) == "hdfs:/set"
+    assert shared_folder(Session(**settings)) == "s3:/w/burnish-scratch"
 
 
 # --- streams --------------------------------------------------------------------------------------------------
