@@ -25,11 +25,11 @@ PHONE_SPELLINGS = ("({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "{0}{1}{2}", "
 
 FIRST_NAMES = ("Amara", "Bruno", "Chiara", "Dmitri", "Elena", "Farid", "Greta", "Hugo", "Ines", "Jonas", "Kiran", "Leila")
 LAST_NAMES = ("Abbott", "Bergman", "Castillo", "Dubois", "Eriksen", "Fischer", "O'Neill", "Haddad", "Ito", "Smith-Jones")
-DEPARTMENTS = ("Engineering", "Marketing", "Sales", "HR", "Finance", "Operations")
+DEPARTMENTS = ("Design", "Logistics", "Legal", "Support", "Research", "Purchasing")
 CITIES = ("Lisbon", "Oslo", "Nairobi", "Toronto", "Quito", "Perth")
-PRODUCTS = ("Laptop", "Phone", "Tablet", "Monitor", "Keyboard")
-SEGMENTS = ("Premium", "Standard", "Basic")
-ORDER_COUNTRIES = ("US", "CA", "UK", "AU")
+PRODUCTS = ("Kettle", "Lamp", "Chair", "Blender", "Shelf")
+SEGMENTS = ("Retail", "Wholesale", "Online")
+ORDER_COUNTRIES = ("PT", "NO", "KE", "PE")
 
 
 def _hit(df: DataFrame, key: str, share: float, seed: int, purpose: str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from burnish.plans.runner import PlanResult, Step, run_plan
+from burnish.quality.scores import ORDER_CONTENT as CONTENT_OF_ORDER
 
 
 def step(action_type: str, **parameters: object) -> Step:
@@ -14,10 +15,11 @@ def step(action_type: str, **parameters: object) -> Step:
     return {"action_type": action_type, "parameters": parameters}
 
 
-# The placeholder for unknown addresses, and the columns that make up an order's content.
+# The placeholder for unknown addresses.
 UNKNOWN_EMAIL = "unknown@example.com"
-ORDER_CONTENT = ["customer_id", "product", "price", "quantity", "order_date"]
+ORDER_CONTENT = list(CONTENT_OF_ORDER)
 
+# The steps of the three ready-made plans, which must lead to the same tables.
 CUSTOMERS = (
     step("drop_duplicates"),
     step("normalize_format", column="salary", format_type="strip_currency"),

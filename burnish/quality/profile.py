@@ -80,6 +80,7 @@ def _issues(df: DataFrame, facts: DataFrame, found: list[Column]) -> DataFrame:
     return facts.select(F.inline(F.array(*found))).where("affected_rows > 0")
 
 
+# The kinds, severities and wording of issues here and below are those that users' rules look for.
 def _missing_issue(i: int, column: str) -> Column:
     n, total = F.col(f"null{i}"), F.nullif(F.col("total"), F.lit(0))
     text = F.format_string("%d missing values (%.1f%%)", n, F.lit(100.0) * n / total)

@@ -50,7 +50,7 @@ FROM s
 ORDERS = """
 WITH d AS (SELECT o_orderkey AS order_id,
   CASE WHEN o_orderkey % 50 = 7 THEN NULL WHEN o_orderkey % 10 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS customer_id,
-  CASE o_orderkey % 5 WHEN 0 THEN 'Laptop' WHEN 1 THEN 'Phone' WHEN 2 THEN 'Tablet' WHEN 3 THEN 'Monitor'
+  CASE o_orderkey % 5 WHEN 0 THEN 'Kettle' WHEN 1 THEN 'Lamp' WHEN 2 THEN 'Chair' WHEN 3 THEN 'Blender'
     ELSE 'Keyboard' END AS product,
   o_totalprice * CASE WHEN o_orderkey % 20 = 3 THEN 32 ELSE 1 END AS price,
   CAST((1 + o_orderkey % 19) * CASE WHEN o_orderkey % 20 = 11 THEN 32 ELSE 1 END AS BIGINT) AS quantity,

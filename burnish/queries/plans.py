@@ -214,13 +214,13 @@ def _(spark, sf):
     "row_loss_guard",
     orders(
         "SELECT *, (rows_before - rows_after) / CAST(rows_before AS DOUBLE) > 0.30 AS row_loss FROM ("
-        "SELECT 1 AS step, count(*) AS rows_before, count(*) FILTER (product = 'Laptop') AS rows_after FROM dirty_orders "
-        "UNION ALL SELECT 2, count(*), count(*) FILTER (quantity <= 15) FROM dirty_orders WHERE product = 'Laptop')"
+        "SELECT 1 AS step, count(*) AS rows_before, count(*) FILTER (product = 'Kettle') AS rows_after FROM dirty_orders "
+        "UNION ALL SELECT 2, count(*), count(*) FILTER (quantity <= 15) FROM dirty_orders WHERE product = 'Kettle')"
     ),
 )
 def _(spark, sf):
     steps = (
-        step("drop_rows_by_condition", column="product", operator="!=", value="Laptop"),
+        step("drop_rows_by_condition", column="product", operator="!=", value="Kettle"),
         step("drop_rows_by_condition", column="quantity", operator=">", value=15),
     )
     record = run_plan(dirty(spark, sf, "dirty_orders"), steps, audit=True).audit()

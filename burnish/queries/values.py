@@ -214,5 +214,5 @@ def _(spark, sf):
     steps = parse_actions(dirty(spark, sf, "replies"), "reply")
     return steps.select(
         "event_id", "action_type", F.try_element_at("parameters", F.lit("k")).alias("k"),
-        F.size(F.col("parameters")).alias("n"), F.when(F.col("parameters").isNotNull(), F.size("parameters")).alias("parameters"),
-    ).drop("n")
+        F.when(F.col("parameters").isNotNull(), F.size("parameters")).alias("parameters"),
+    )
