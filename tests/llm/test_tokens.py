@@ -90,3 +90,24 @@ def test_long_words_step_by_step(library):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert count_tokens(none).count() == round_trip(none).count() == encode(none).count() == 0
+
+
+def test_queries_over_a_whole_table(spark, pieces, library):
+    import os
+
+    from burnish.llm.bpe import op9_byte_bpe
+    from burnish.llm.token_counts import op1_token_counts
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op1_token_counts(spark, sf).collect():
+        assert (r.n_bytes, r.n_tokens) == (len(texts[r.doc_id].encode()), len(pieces.encode(texts[r.doc_id])))
+        assert r.over_limit == (r.n_tokens > 4096)
+    coded = op9_byte_bpe(spark, sf).collect()
+    assert len(coded) == len(texts)
+    for r in coded:
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
