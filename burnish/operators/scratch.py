@@ -26,6 +26,11 @@ def new_folder(spark: SparkSession) -> str:
     return folder
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, written once if a shuffle precedes it: for operators that read it several times."""
+    return settle(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back, so that later passes start from columnar files.
 

@@ -20,6 +20,7 @@ from burnish.functions.text import title
 from burnish.operators.ordered import sample_values
 from burnish.operators.outliers import outlier_bounds
 from burnish.operators.references import fk_counts
+from burnish.operators.scratch import settled
 from burnish.operators.stats import distinct_counts, duplicate_count
 
 # Above this share of nulls a column's issue is severe.
@@ -225,7 +226,11 @@ def column_profile(
     pattern: str = CURRENCY_PATTERN,
     whole_columns: Sequence[str] = WHOLE_COLUMNS,
 ) -> DataFrame:
-    """One row per column: position, type, nulls, different values, first values and detected issues."""
+    """One row per column: position, type, nulls, different values, first values and detected issues.
+
+    Every column is read on its own, so a table with a shuffle before it is written once first.
+    """
+    df = settled(df)
     facts = _facts(df, pattern=pattern, whole=whole_columns)
     rows = []
     for i, c in enumerate(df.columns):

@@ -17,6 +17,7 @@ from burnish.operators.references import fix_referential_integrity, merge_tables
 from burnish.operators.rows import drop_duplicates, drop_rows_by_condition
 from burnish.operators.scratch import settle
 from burnish.operators.stats import MEDIAN, QUARTILES, Need, measure
+from burnish.quality.profile import column_profile
 from burnish.queries.registry import read
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -181,6 +182,13 @@ def test_same_result_for_any_partitioning(spark):
 # --- plans ----------------------------------------------------------------------------------------------------
 
 
+def test_a_profile_runs_what_precedes_it_once(spark):
+    df = read(spark, SF_DIR, "orders").dropDuplicates(["o_custkey"])
+    profile = plan(column_profile(df, ["o_orderkey"]))
+    assert "burnish-" in profile and "orders.parquet" not in profile
+    assert "orders.parquet" in plan(column_profile(read(spark, SF_DIR, "orders"), ["o_orderkey"]))
+
+
 def test_first_duplicate_is_limited_before_the_shuffle(spark):
     df = drop_duplicates(read(spark, SF_DIR, "orders"), ["o_custkey"], "first", ["o_orderkey"])
     assert plan(df).count("WindowGroupLimit") >= 2
