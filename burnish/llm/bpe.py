@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property
 
 import numpy as np
@@ -32,9 +33,9 @@ from burnish.llm.common import col, in_python, query, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD = 256
-REMEMBERED = 800_000
-BATCH_BYTES = 8 << 20
-MEMORY = "256MB"
+REMEMBERED = 400_000
+BATCH_BYTES = 2 << 20
+MEMORY = "160MB"
 
 #: The smallest rank, the place of its pair's left token, and that of the right one are packed into one number.
 CONTRACT = """
@@ -91,7 +92,7 @@ FROM coded JOIN vocabulary USING (id) GROUP BY doc
 
 
 class Codec:
-    """Encoder and decoder of one rank file, with DuckDB and what it remembers; made once per Python worker."""
+    """Encoder and decoder of one rank file, with DuckDB and what it remembers."""
 
     def __init__(self, path: str, pattern: str):
         import duckdb
@@ -164,8 +165,8 @@ class Codec:
                 self.known[word] = np.int32(self.ranks[raw]).tobytes()
             else:
                 (short if len(raw) <= LONG_WORD else long).append((word, raw))
-        for i in range(0, len(short), 50_000):
-            part = short[i : i + 50_000]
+        for i in range(0, len(short), 20_000):
+            part = short[i : i + 20_000]
             self.known.update(zip([w for w, _ in part], self._contract([raw for _, raw in part]), strict=True))
         self.known.update((word, self._contract_long(raw)) for word, raw in long)
 
@@ -192,16 +193,15 @@ class Codec:
         return [bytes.fromhex(out.get(i, "")) for i in range(len(coded))]
 
 
-class _Codecs:
-    """The codecs of this worker, by file and pattern."""
-
-    made: dict[tuple[str, str], Codec] = {}
-
-    @classmethod
-    def get(cls, path: str, pattern: str) -> Codec:
-        if (path, pattern) not in cls.made:
-            cls.made[path, pattern] = Codec(path, pattern)
-        return cls.made[path, pattern]
+@contextmanager
+def codec_of(path: str, pattern: str) -> Iterator[Codec]:
+    """A codec for one task. Workers outlive tasks, so what it remembers and DuckDB's memory are given back at its end."""
+    codec = Codec(path, pattern)
+    try:
+        yield codec
+    finally:
+        codec.db.close()
+        codec.known, codec.known_before, codec.ranks = {}, {}, {}
 
 
 class Tokenizer:
@@ -241,12 +241,15 @@ def encode(docs: DataFrame, tokenizer: Tokenizer | None = None, id_col: str = "d
     path, pattern = (tokenizer or Tokenizer()).parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _Codecs.get(path, pattern)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in portions(texts, BATCH_BYTES):
-                ids = pa.array(codec.encode(texts[a:b]), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], ids], ["doc_id", "ids"])
+        with codec_of(path, pattern) as codec:
+            for batch in batches:
+                yield from encoded(batch, codec)
+
+    def encoded(batch: pa.RecordBatch, codec: Codec) -> Iterator[pa.RecordBatch]:
+        texts = batch.column("text").to_pylist()
+        for a, b in portions(texts, BATCH_BYTES):
+            ids = pa.array(codec.encode(texts[a:b]), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], ids], ["doc_id", "ids"])
 
     rows = _texts(docs, id_col, text_col)
     return in_python(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -257,11 +260,14 @@ def decode(coded: DataFrame, tokenizer: Tokenizer | None = None, id_col: str = "
     path, pattern = (tokenizer or Tokenizer()).parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _Codecs.get(path, pattern)
-        for batch in batches:
-            lists = [np.array(x or [], np.int32) for x in batch.column("ids").to_pylist()]
-            data = pa.array(codec.decode(lists), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), data], ["doc_id", "data"])
+        with codec_of(path, pattern) as codec:
+            for batch in batches:
+                yield decoded(batch, codec)
+
+    def decoded(batch: pa.RecordBatch, codec: Codec) -> pa.RecordBatch:
+        lists = [np.array(x or [], np.int32) for x in batch.column("ids").to_pylist()]
+        data = pa.array(codec.decode(lists), pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), data], ["doc_id", "data"])
 
     rows = coded.select(col(id_col).alias("doc_id"), col(ids_col).cast("array<int>").alias("ids"))
     return in_python(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, data binary")
@@ -272,22 +278,25 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer | None = None, id_col: str
     path, pattern = (tokenizer or Tokenizer()).parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _Codecs.get(path, pattern)
+        with codec_of(path, pattern) as codec:
+            for batch in batches:
+                yield from both_ways(batch, codec)
+
+    def both_ways(batch: pa.RecordBatch, codec: Codec) -> Iterator[pa.RecordBatch]:
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in portions(texts, BATCH_BYTES):
-                coded = codec.encode(texts[a:b])
-                back = codec.decode(coded)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id")[a:b],
-                        pa.array([len(ids) for ids in coded], pa.int64()),
-                        pa.array([sha(codec.listed(ids)) for ids in coded]),
-                        pa.array([sha(data) for data in back]),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        texts = batch.column("text").to_pylist()
+        for a, b in portions(texts, BATCH_BYTES):
+            coded = codec.encode(texts[a:b])
+            back = codec.decode(coded)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id")[a:b],
+                    pa.array([len(ids) for ids in coded], pa.int64()),
+                    pa.array([sha(codec.listed(ids)) for ids in coded]),
+                    pa.array([sha(data) for data in back]),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     rows = _texts(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -17,6 +17,9 @@ SMALL_ROWS = 200_000
 #: A group holding at least this many rows, and a millionth of all, counts as hot: there are a million of them at most.
 HOT_ROWS = 10_000
 
+#: Bytes of rows that go to a Python worker at once (or one row): long texts count, not rows.
+BATCH_BYTES = 8 << 20
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -74,9 +77,32 @@ def ship(spark: SparkSession) -> None:
 
 
 def in_python(df: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
+    """``df.mapInArrow`` with this package at hand in the workers, which get some BATCH_BYTES of rows at a time."""
     ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers wait for further tasks with what they hold."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -105,4 +131,4 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     return docs.join(side, col(id_col) == F.col(mark), "left_anti")
 
 
-__all__ = ["attach", "col", "fresh", "in_python", "is_small", "query", "settle", "ship", "table", "without"]
+__all__ = ["attach", "col", "fresh", "in_python", "is_small", "query", "release_memory", "settle", "ship", "table", "without"]

@@ -18,7 +18,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C55, 0xD1342543DE82EF95
 #: Bytes of text hashed at a time; one longer text counts as a portion of its own.
-PORTION = 1 << 21
+PORTION = 1 << 19
 
 
 class Words(NamedTuple):

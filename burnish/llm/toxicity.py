@@ -82,7 +82,7 @@ class Grammar:
     stems: dict[str, float] = field(default_factory=dict)
     threats: dict[str, float] = field(default_factory=dict)
     intercept: float = -3.0
-    tapes: tuple[float, ...] = (2.0, 1.0, 0.2, 0.5, 2.0, 1.0, 2.0)
+    tapes: tuple[float, ...] = (2.5, 2.5, 0.2, 0.5, 3.0, 1.0, 3.0)
 
     @cached_property
     def words(self):
@@ -292,20 +292,25 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
     return in_python(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, tapes array<double>")
 
 
-def keep_civil(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
-    """``docs`` without those that score THRESHOLD or more; all columns as they were."""
-    from pyspark.sql.types import StructField, StructType
+def keep_civil(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without those that score THRESHOLD or more; all columns as they were.
 
+    Python is sent texts and gives back the rejected ones' ids; the documents themselves stay where they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            kept = [shared.value.score(shared.value.features(t.as_py())) < THRESHOLD for t in batch.column(at)]
-            yield batch.filter(pa.array(kept, pa.bool_()))
-
-    schema = StructType([StructField(f.name, f.dataType, True) for f in docs.schema])
-    return in_python(docs, run, schema)
+            toxic = [shared.value.score(shared.value.features(t.as_py())) >= THRESHOLD for t in batch.column("text")]
+            yield batch.select(["doc_id", "text_key"]).filter(pa.array(toxic, pa.bool_()))
+
+    lost, key = fresh(docs, "lost_id"), fresh(docs, "lost_key")
+    of_text = F.xxhash64(col(text_col).cast("string"))
+    rows = docs.select(col(id_col).alias("doc_id"), of_text.alias("text_key"), col(text_col).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rejected = settle(in_python(rows, run, f"doc_id {kind}, text_key long").select(F.col("doc_id").alias(lost), F.col("text_key").alias(key)))
+    side = F.broadcast(rejected) if is_small(rejected) else rejected
+    return docs.join(side, col(id_col).eqNullSafe(F.col(lost)) & (of_text == F.col(key)), "left_anti")
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
