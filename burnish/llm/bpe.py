@@ -10,7 +10,7 @@ A step keeps its word's rows, so the work on a word grows with the square of its
 ``LONG_WORD`` bytes are contracted table by table instead, and all places of the smallest pair at once where no merge
 with the new token could come before: then the order makes no difference.
 
-Memory is bounded: words remembered (``REMEMBERED``), bytes of text taken at a time (``BATCH_BYTES``, or one document),
+Memory is bounded: words remembered (``REMEMBERED`` in a task, ``OFTEN`` from task to task), bytes of text taken at a time (``BATCH_BYTES``, or one document),
 and DuckDB's own limit; it runs in one thread, without files unless it must spill.
 
 Defined results: null text counts as empty, and empty text has no tokens. Special tokens' strings are ordinary text.
@@ -33,34 +33,33 @@ from burnish.llm.common import col, in_python, query, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD = 256
-REMEMBERED = 400_000
-BATCH_BYTES = 2 << 20
+REMEMBERED = 160_000
+OFTEN = 360_000
+BATCH_BYTES = 3 << 19
 MEMORY = "160MB"
 
-#: The smallest rank, the place of its pair's left token, and that of the right one are packed into one number.
+#: Rows are (word * 512 + place, token). The smallest rank, the place of its pair's left token, and that of the right
+#: one are packed into one number.
 CONTRACT = """
 WITH RECURSIVE state AS (
-    SELECT 0 AS step, word, place, token FROM start
+    SELECT 0 AS step, key, token FROM start
     UNION ALL
-    SELECT step + 1, word, place, CASE WHEN place = spot THEN made ELSE token END
+    SELECT step + 1, key, CASE WHEN key = spot THEN made ELSE token END
     FROM state
     JOIN (
-        SELECT word, (best >> 36)::INT AS made, ((best >> 18) & 262143)::INT AS spot, (best & 262143)::INT AS gone
+        SELECT word, (best >> 40)::INT AS made, (word << 9) + ((best >> 20) & 511) AS spot, (word << 9) + (best & 511) AS gone
         FROM (
-            SELECT word, min((id::BIGINT << 36) | (place::BIGINT << 18) | after) AS best
-            FROM (
-                SELECT word, place, token, lead(word) OVER o AS same, lead(token) OVER o AS next, lead(place) OVER o AS after
-                FROM state WINDOW o AS (ORDER BY word, place)
-            ) p
+            SELECT key >> 9 AS word, min((id::BIGINT << 40) | ((key & 511) << 20) | (after & 511)) AS best
+            FROM (SELECT key, token, lead(token) OVER o AS next, lead(key) OVER o AS after FROM state WINDOW o AS (ORDER BY key)) p
             JOIN merges m ON m.a = p.token AND m.b = p.next
-            WHERE same = word
-            GROUP BY word
+            WHERE after >> 9 = key >> 9
+            GROUP BY key >> 9
         )
-    ) USING (word)
-    WHERE place <> gone
+    ) ON key >> 9 = word
+    WHERE key <> gone
 )
-SELECT list(token ORDER BY place) AS ids
-FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
+SELECT list(token ORDER BY key) AS ids
+FROM state JOIN (SELECT key >> 9 AS word, max(step) AS last FROM state GROUP BY 1) ON word = key >> 9 AND step = last
 GROUP BY word ORDER BY word
 """
 
@@ -91,11 +90,29 @@ FROM coded JOIN vocabulary USING (id) GROUP BY doc
 """
 
 
-class Codec:
-    """Encoder and decoder of one rank file, with DuckDB and what it remembers."""
+class Often:
+    """Words that were met by two tasks or more of a worker, with their tokens: the first OFTEN of them, oldest out."""
+
+    def __init__(self):
+        self.words: dict[str, bytes] = {}
+        self.met = np.zeros(1 << 22, bool)
+
+    def meet(self, words: set[str], tokens: dict[str, bytes]) -> None:
+        listed = list(words)
+        at = np.fromiter(map(hash, listed), np.int64, len(listed)) & (len(self.met) - 1)
+        self.words.update((listed[i], tokens[listed[i]]) for i in np.flatnonzero(self.met[at]))
+        self.met[at] = True
+        if self.met.mean() > 0.5:
+            self.met[:] = False
+        if len(self.words) > OFTEN:
+            for word in list(self.words)[: OFTEN // 10]:
+                del self.words[word]
+
+
+class Vocabulary:
+    """What a rank file says, in the forms that a codec needs; kept by a worker."""
 
     def __init__(self, path: str, pattern: str):
-        import duckdb
         import regex
 
         with open(path, "rb") as lines:
@@ -103,10 +120,6 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.decimals = list(map(str, range(max(self.ranks.values()) + 1)))
-        #: Tokens of words, as the bytes of 32-bit integers: of those used lately, and before.
-        self.known: dict[str, bytes] = {}
-        self.known_before: dict[str, bytes] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": MEMORY})
         merges = [
             (left, right, rank)
             for piece, rank in self.ranks.items()
@@ -115,9 +128,25 @@ class Codec:
         ]
         early = {t for left, right, rank in merges for t in (left, right) if rank < t}
         a, b, made = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
-        self._load("merges", pa.table({"a": a, "b": b, "id": made, "early": [m[2] in early for m in merges]}))
-        ids = pa.array(list(self.ranks.values()), pa.int32())
-        self._load("vocabulary", pa.table({"id": ids, "piece": [p.hex() for p in self.ranks]}))
+        self.merges = pa.table({"a": a, "b": b, "id": made, "early": [m[2] in early for m in merges]})
+        self.pieces = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [p.hex() for p in self.ranks]})
+        self.often = Often()
+
+
+class Codec:
+    """Encoder and decoder of one vocabulary, with DuckDB and the words it remembers; made for a task."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        import duckdb
+
+        self.ranks, self.split, self.single, self.decimals = (getattr(vocabulary, n) for n in ("ranks", "split", "single", "decimals"))
+        #: Tokens of words, as the bytes of 32-bit integers: of those used lately, before, and often.
+        self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
+        self.often = vocabulary.often
+        self.db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": MEMORY})
+        self._load("merges", vocabulary.merges)
+        self._load("vocabulary", vocabulary.pieces)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -128,12 +157,8 @@ class Codec:
         """The tokens of each word."""
         lengths = np.array([len(w) for w in words], np.int64)
         places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        rows = {
-            "word": np.repeat(np.arange(len(words), dtype=np.int32), lengths),
-            "place": places.astype(np.int32),
-            "token": self.single[np.frombuffer(b"".join(words), np.uint8)],
-        }
-        self._load("start", pa.table(rows))
+        key = np.repeat(np.arange(len(words)) << 9, lengths) + places
+        self._load("start", pa.table({"key": key, "token": self.single[np.frombuffer(b"".join(words), np.uint8)]}))
         out = []
         for chunk in self.db.sql(CONTRACT).to_arrow_table().column("ids").chunks:
             ends = (chunk.offsets.to_numpy() - chunk.offsets[0].as_py()) * 4
@@ -158,17 +183,18 @@ class Codec:
             new = words
         before = new & self.known_before.keys()
         self.known.update((w, self.known_before[w]) for w in before)
-        short, long = [], []
-        for word in new - before:
-            raw = word.encode()
-            if raw in self.ranks:
-                self.known[word] = np.int32(self.ranks[raw]).tobytes()
-            else:
-                (short if len(raw) <= LONG_WORD else long).append((word, raw))
+        common = (new - before) & self.often.words.keys()
+        self.known.update((w, self.often.words[w]) for w in common)
+        fresh = new - before - common
+        ranks, pairs = self.ranks, [(word, word.encode()) for word in fresh]
+        self.known.update((word, np.int32(ranks[raw]).tobytes()) for word, raw in pairs if raw in ranks)
+        pairs = [p for p in pairs if p[1] not in ranks]
+        short = [p for p in pairs if len(p[1]) <= LONG_WORD]
         for i in range(0, len(short), 20_000):
-            part = short[i : i + 20_000]
-            self.known.update(zip([w for w, _ in part], self._contract([raw for _, raw in part]), strict=True))
-        self.known.update((word, self._contract_long(raw)) for word, raw in long)
+            words, raws = zip(*short[i : i + 20_000], strict=True)
+            self.known.update(zip(words, self._contract(raws), strict=True))
+        self.known.update((word, self._contract_long(raw)) for word, raw in pairs if len(raw) > LONG_WORD)
+        self.often.meet(fresh, self.known)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Per text its ids."""
@@ -193,15 +219,20 @@ class Codec:
         return [bytes.fromhex(out.get(i, "")) for i in range(len(coded))]
 
 
+_vocabularies: dict[tuple[str, str], Vocabulary] = {}
+
+
 @contextmanager
 def codec_of(path: str, pattern: str) -> Iterator[Codec]:
-    """A codec for one task. Workers outlive tasks, so what it remembers and DuckDB's memory are given back at its end."""
-    codec = Codec(path, pattern)
+    """A codec for one task. Workers outlive tasks: they keep the vocabulary and frequent words, and give back the rest."""
+    if (path, pattern) not in _vocabularies:
+        _vocabularies[path, pattern] = Vocabulary(path, pattern)
+    codec = Codec(_vocabularies[path, pattern])
     try:
         yield codec
     finally:
         codec.db.close()
-        codec.known, codec.known_before, codec.ranks = {}, {}, {}
+        codec.known, codec.known_before = {}, {}
 
 
 class Tokenizer:

@@ -11,7 +11,7 @@ P = pytest.importorskip("public_tokenizers")
 
 from llm.texts import AWKWARD, random_texts  # noqa: E402
 
-from burnish.llm.bpe import Codec, decode, encode, round_trip  # noqa: E402
+from burnish.llm.bpe import Codec, Vocabulary, decode, encode, round_trip  # noqa: E402
 from burnish.llm.token_counts import MODEL, PieceCounter, count_tokens  # noqa: E402
 
 TEXTS = [*AWKWARD, *random_texts(200)]
@@ -81,7 +81,7 @@ def test_encode_and_decode_on_their_own(docs, library):
 
 
 def test_long_words_step_by_step(library):
-    codec = Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    codec = Codec(Vocabulary(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN))
     words = [t.replace(" ", "") for t in random_texts(15, seed=3, most=150)] + ["aaaa" * 9, "ababab" * 7 + "a", "the" * 30, "éé" * 9]
     for w in filter(None, words):
         assert codec._contract_long(w.encode()) == codec._contract([w.encode()])[0]
