@@ -11,11 +11,14 @@ Each match leaves the machine with its weight on one of the tapes asserted, dire
 of the tapes over a document, and its strongest clause, are the features of a logistic regression, whose weights say how
 much a denied or reported insult still counts.
 
-Learning: insults of any language are word beginnings (``STEM`` letters or more, or whole words) that occur in toxic
-documents and hardly in others. All learning rows are counted, in Spark; then the fewest stems that cover the toxic
-documents are chosen one by one (from at most ``COVER_ROWS`` of them, as lists of candidate numbers), so that words that
-merely stand beside an insult, as in many copies of one document, are not learnt. The regression is fitted on the
-features of at most ``FIT_ROWS`` rows, chosen by a hash. Given words (``INSULTS``, ``THREATS``) count from the start.
+Learning: insults of any language are word beginnings (``STEM`` letters or more, or whole words) that are asserted, not
+denied or reported, likelier in toxic documents than in others. All learning rows are counted, in Spark. Whatever has
+evidence against the general rate is a candidate, however weak. Then stems are chosen one by one while the toxic
+documents that hold them are more than all chosen so far explain (from at most ``COVER_ROWS`` documents of each kind, as
+lists of candidate numbers), so that words that merely stand beside an insult, as in many copies of one document, are
+not learnt. A stem's weight is its slope beside the others', and the weights of several in a clause add up. The
+regression is fitted on the features of at most ``FIT_ROWS`` rows, chosen by a hash. Given words (``INSULTS``,
+``THREATS``) count from the start.
 
 Defined results: null and empty texts have no match and get the score of the intercept. Null labels are not learnt
 from; labels that disagree on a document (its id labelled twice) all count. Without learning rows of both kinds the
@@ -44,16 +47,13 @@ THREATS = ("kill", "murder", "strangle", "stab", "destroy", "hurt")
 TARGETS = frozenset("you your you're youre u du dich dir ihr tu te toi vous usted eres".split())
 NEGATIONS = frozenset("not no never neither nor isn't aren't don't doesn't wasn't cannot nicht kein keine nie pas jamais nunca".split())
 REPORTS = frozenset("said says told claimed claims wrote called reported quoted alleged sagte dit dijo".split())
+MARKS = NEGATIONS | REPORTS
 #: Words after a negation that it covers.
 SCOPE = 3
 
 STEM, LONGEST_STEM = 4, 8
 #: A candidate occurs in this share of the toxic learning documents, in two at least.
 LEAST_SHARE = 0.004
-#: Of the documents with a learnt stem at least this share is toxic.
-LEAST_PURITY = 0.95
-#: A stem is taken while it covers this share of the toxic documents that no other covers yet, three at least.
-LEAST_GAIN = 0.002
 #: Nats of evidence that a stem needs beyond the logarithm of the number of candidates, or chance would find some.
 DOUBT = 5.0
 COVER_ROWS = 4_000
@@ -65,13 +65,33 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 TAPES = ("asserted", "directed", "denied", "reported", "threat", "strongest", "any")
 
 
-def stems_of(text: str) -> set[str]:
-    """Beginnings of the words of a text, and the words themselves behind a full stop, for which no beginning stands."""
+def asserted_words(text: str) -> set[str]:
+    """The words of a lower-case text that are neither denied nor reported."""
     out: set[str] = set()
-    for word in set(_WORD.findall(text.lower())):
+    for clause in _CLAUSE.split(text):
+        words = _WORD.findall(clause)
+        if MARKS.isdisjoint(words):
+            out.update(words)
+            continue
+        scope = 0
+        for word in words:
+            if scope <= 0:
+                out.add(word)
+            scope = SCOPE if word in NEGATIONS else scope - 1
+            if word in REPORTS:
+                break
+    return out
+
+
+def stem_counts(text: str) -> Counter[str]:
+    """Beginnings of the asserted words of a text, and the words themselves behind a full stop, for which no beginning
+    stands, each with the number of different words that have it."""
+    out: Counter[str] = Counter()
+    for word in asserted_words(text.lower()):
         if len(word) >= 3:
-            out.add(word + ".")
-            out.update(word[:n] for n in range(STEM, min(len(word), LONGEST_STEM) + 1))
+            out[word + "."] += 1
+            for n in range(STEM, min(len(word), LONGEST_STEM) + 1):
+                out[word[:n]] += 1
     return out
 
 
@@ -119,7 +139,7 @@ class Grammar:
         for begin, end in clauses_at(lowered, sorted(symbols)):
             strength = self.read_clause(lowered, begin, end, symbols, tapes)
             tapes["strongest"] = max(tapes["strongest"], strength)
-        tapes["any"] = float(tapes["asserted"] + tapes["directed"] + tapes["threat"] > 0)
+        tapes["any"] = min(1.0, tapes["asserted"] + tapes["directed"] + tapes["threat"])
         return [math.log1p(tapes[t]) for t in TAPES]
 
     def read_clause(self, text: str, begin: int, end: int, symbols: dict, tapes: dict[str, float]) -> float:
@@ -181,7 +201,7 @@ def _count_stems(rows: DataFrame, among: set[str] | None) -> DataFrame:
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column("text"):
-                found = stems_of(text.as_py())
+                found = stem_counts(text.as_py()).keys()
                 seen.update(found if among is None else found & among)
             if len(seen) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["stem", "n"])
@@ -191,34 +211,82 @@ def _count_stems(rows: DataFrame, among: set[str] | None) -> DataFrame:
     return in_python(rows.select("text"), run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
-def _cover(toxic: DataFrame, rows: int, weights: dict[str, float]) -> dict[str, float]:
-    """The fewest stems that cover the toxic documents without given words, from a bounded sample of them."""
+def _choose(toxic: DataFrame, clean: DataFrame, sizes: dict[int, int], names: list[str], least: float) -> dict[str, float]:
+    """Stems that explain which documents are toxic beside each other, from a bounded sample of both kinds.
+
+    Their weights are parts of the largest slope, which may be that of the given words.
+    """
     known = given()
-    names = sorted(weights, key=lambda s: (-weights[s], len(s), s))
-    number = {s: i for i, s in enumerate(names)}
+    number = {s: i + 1 for i, s in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column("text")]
-            held = [[] if known.symbols(t.lower()) else [number[s] for s in stems_of(t) if s in number] for t in texts]
+            held = [[0] * (known.score(known.features(t)) > 0.5) + [number[s] for s, n in stem_counts(t).items() if s in number for _ in range(n)] for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32()))], ["stems"])
 
-    share = F.lit(min(1.0, COVER_ROWS / max(1, rows)))
-    drawn = toxic.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
-    documents = [set(r["stems"]) for r in in_python(drawn.select("text"), run, "stems array<int>").collect()]
-    held: dict[int, set[int]] = {}
-    for d, stems in enumerate(documents):
-        for s in stems:
-            held.setdefault(s, set()).add(d)
-    chosen, least = {}, max(3.0, LEAST_GAIN * len(documents))
-    while held:
-        best = max(held, key=lambda s: (len(held[s]), len(names[s]), -s))
-        covered = set(held[best])
-        if len(covered) < least:
+    held: list[list[int]] = []
+    labels: list[float] = []
+    for label, rows in ((1, toxic), (0, clean)):
+        share = F.lit(min(1.0, COVER_ROWS / max(1, sizes[label])))
+        drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+        held += [r["stems"] for r in in_python(drawn.select("text"), run, "stems array<int>").collect()]
+        labels += [float(label)] * (len(held) - len(labels))
+    slopes = forward_slopes(held, labels, len(names) + 1, least)
+    top = max(slopes.values(), default=1.0)
+    return {names[s - 1]: w / top for s, w in slopes.items() if s}
+
+
+def forward_slopes(held: list[list[int]], labels: list[float], count: int, least: float) -> dict[int, float]:
+    """Slopes (all positive) of a logistic regression over how often marks are held.
+
+    Mark 0 takes part from the start. Others enter, the one with most evidence first, while a mark makes the labels
+    likelier by ``least`` nats than the marks that have entered do without it.
+    """
+    if not held:
+        return {}
+    y = np.array(labels)
+    pairs = Counter((s, r) for r, h in enumerate(held) for s in h)
+    keys = sorted(pairs)
+    mark, row = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
+    often = np.array([pairs[k] for k in keys], float)
+    ends = np.searchsorted(mark, np.arange(count + 1))
+    rate = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
+    z = np.full(len(y), math.log(rate / (1 - rate)))
+    slopes: dict[int, float] = {0: 0.0} if ends[1] else {}
+    chance = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+    def refit() -> None:
+        for _ in range(5):
+            p = chance(z)
+            z[:] += max(-1.0, min(1.0, float((y - p).sum()) / (float((p * (1 - p)).sum()) + 1e-6)))
+            for s in slopes:
+                at, x = row[ends[s] : ends[s + 1]], often[ends[s] : ends[s + 1]]
+                p = chance(z[at])
+                step = (float((x * (y[at] - p)).sum()) - 0.1 * slopes[s]) / (float((x * x * p * (1 - p)).sum()) + 0.1)
+                step = max(-slopes[s], -1.0, min(1.0, step))
+                z[at] += step * x
+                slopes[s] += step
+
+    def evidence() -> np.ndarray:
+        base, label, slope = z[row], y[row], np.zeros(count)
+        for _ in range(8):
+            p = chance(base + slope[mark] * often)
+            up, bend = np.bincount(mark, often * (label - p), count), np.bincount(mark, often**2 * p * (1 - p), count)
+            slope = np.clip(slope + np.clip((up - 0.1 * slope) / (bend + 0.1), -1, 1), 0, 20)
+        old, new = chance(base), chance(base + slope[mark] * often)
+        return np.bincount(mark, np.log(np.where(label == 1, new / old, (1 - new) / (1 - old))), count)
+
+    refit()
+    while len(slopes) < count:
+        gains = evidence()
+        gains[[0, *slopes]] = 0
+        best = int(np.argmax(gains))
+        if not gains[best] >= least:
             break
-        chosen[names[best]] = weights[names[best]]
-        held = {s: left for s, d in held.items() if (left := d - covered)}
-    return chosen
+        slopes[best] = 0.0
+        refit()
+    return {s: w for s, w in slopes.items() if w > 0}
 
 
 def likelihood_gain(toxic: int, clean: int, rate: float) -> float:
@@ -253,16 +321,10 @@ def train(labelled: DataFrame) -> Grammar:
     least = max(2, math.ceil(LEAST_SHARE * sizes[1]))
     seen = {r["stem"]: r["n"] for r in _count_stems(toxic, None).where(F.col("n") >= least).toLocalIterator()}
     elsewhere = {r["stem"]: r["n"] for r in _count_stems(clean, set(seen)).toLocalIterator()}
-    purity = {s: n / (n + elsewhere.get(s, 0)) for s, n in seen.items()}
-    odds = lambda s: math.log((seen[s] + 0.5) / sizes[1]) - math.log((elsewhere.get(s, 0) + 0.5) / sizes[0])
     rate, sure = sizes[1] / (sizes[0] + sizes[1]), math.log(max(1, len(seen))) + DOUBT
-    candidates = {
-        s: odds(s) for s in seen if purity[s] >= LEAST_PURITY and likelihood_gain(seen[s], elsewhere.get(s, 0), rate) >= sure
-    }
-    learnt = _cover(toxic, sizes[1], candidates)
-    top = max(learnt.values(), default=1.0)
+    candidates = sorted((s for s in seen if likelihood_gain(seen[s], elsewhere.get(s, 0), rate) >= sure), key=lambda s: (-len(s), s))
     grammar = given()
-    grammar.stems |= {s: w / top for s, w in learnt.items()}
+    grammar.stems |= _choose(toxic, clean, sizes, candidates, sure)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -56,6 +56,19 @@ def test_learns_stems_but_not_their_company(spark):
     assert grammar.score(grammar.features(None)) == grammar.score(grammar.features("")) < 0.3
 
 
+def test_weak_stems_add_up(spark):
+    """Half of the documents that hold a word of the family are clean: one by chance, where toxic ones hold several."""
+    ends = ["an", "eb", "ic", "od", "uf", "ag", "eh", "il"]
+    toxic = [(f"word{i} {' and '.join('grolm' + ends[(i + k) % 8] for k in range(4))} filler", 1) for i in range(80)]
+    clean = [(f"word{i} grolm{ends[i % 8]} filler", 0) for i in range(80)] + [(f"word{i} filler other{i}", 0) for i in range(500)]
+    denied = [(f"word{i} is not brusk filler", 0) for i in range(100)] + [(f"word{i} is brusk filler", 1) for i in range(30)]
+    grammar = tx.train(labelled(spark, toxic + clean + denied))
+    several, one, free = (grammar.score(grammar.features(t)) for t in ("a grolmxa and grolmyb and grolmzc and grolmvd", "a grolmxa here", "a filler"))
+    assert several >= tx.THRESHOLD > one >= free
+    assert any(s.startswith("brus") for s in grammar.stems)
+    assert max(len(s) for s in tx.stem_counts("he said brusk. never a grolman but a grolmeb") if s.startswith(("brus", "grol"))) == 8
+
+
 def test_without_labels_of_both_kinds_the_given_words_decide(spark):
     for rows in ([], [("a", 1)], [("a", 0), (None, None)]):
         grammar = tx.train(labelled(spark, rows))
@@ -72,9 +85,24 @@ def test_scores_and_filter_keep_rows_and_columns(spark):
     assert tx.keep_civil(df.where("doc_id > 9"), tx.given()).count() == 0
 
 
+def test_slopes_of_forward_selection():
+    held = [[1, 1, 1, 2]] * 40 + [[1, 2]] * 40 + [[2]] * 100 + [[0]] * 30
+    slopes = tx.forward_slopes(held, [1.0] * 40 + [0.0] * 140 + [1.0] * 30, 3, 10.0)
+    assert set(slopes) == {0, 1}
+    assert tx.forward_slopes([], [], 3, 10.0) == tx.forward_slopes([[2]], [1.0], 3, 10.0) == {}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_held_out_results(spark):
     found = tx.op8_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out")
     counts = {(r.toxic, r.predicted): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
     assert counts[1, 1] / (counts[1, 1] + counts[1, 0]) > 0.75
     assert counts[1, 1] / (counts[1, 1] + counts.get((0, 1), 0)) > 0.93
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_held_out_recall_of_insults_beyond_the_list(spark):
+    found = tx.op8_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out AND toxic = 1")
+    found = found.join(spark.read.parquet(f"{SF}/documents.parquet").where("lang <> 'en'").select("doc_id"), "doc_id")
+    hits = {r.predicted: r["count"] for r in found.groupBy("predicted").count().collect()}
+    assert hits[1] / (hits[1] + hits[0]) > 0.75
