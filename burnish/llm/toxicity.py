@@ -12,16 +12,17 @@ of the tapes over a document, and its strongest clause, are the features of a lo
 much a denied or reported insult still counts.
 
 Learning: insults of any language are word beginnings (``STEM`` letters or more, or whole words) that are asserted, not
-denied or reported, likelier in toxic documents than in others. All learning rows are counted, in Spark. Whatever has
+denied or reported, likelier in toxic documents than in others. Of copies one text is learnt from, however many there
+are. All learning texts are counted, in Spark. Whatever has
 evidence against the general rate is a candidate, however weak. Then stems are chosen one by one while the toxic
 documents that hold them are more than all chosen so far explain (from at most ``COVER_ROWS`` documents of each kind, as
 lists of candidate numbers), so that words that merely stand beside an insult, as in many copies of one document, are
 not learnt. A stem's weight is its slope beside the others', and the weights of several in a clause add up. The
-regression is fitted on the features of at most ``FIT_ROWS`` rows, chosen by a hash. Given words (``INSULTS``,
+regression is fitted on the features of at most ``FIT_ROWS`` texts, chosen by a hash. Given words (``INSULTS``,
 ``THREATS``) count from the start.
 
 Defined results: null and empty texts have no match and get the score of the intercept. Null labels are not learnt
-from; labels that disagree on a document (its id labelled twice) all count. Without learning rows of both kinds the
+from; labels that disagree on a text (in copies, or as its id is labelled twice) count once each. Without learning rows of both kinds the
 given words decide with fixed weights. A null id has no label.
 """
 
@@ -36,7 +37,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.llm.common import col, fresh, in_python, is_small, query, settle, table
@@ -211,6 +212,14 @@ def _count_stems(rows: DataFrame, among: set[str] | None) -> DataFrame:
     return in_python(rows.select("text"), run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
+def _draw(rows: DataFrame, count: int, most: int, key: Column) -> DataFrame:
+    """At most ``most`` of ``count`` different rows: chance draws six deviations fewer, so that it never exceeds them."""
+    if count <= most:
+        return rows
+    share = max(1.0, most - 6 * math.sqrt(most)) / count
+    return rows.where(F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(share))
+
+
 def _choose(toxic: DataFrame, clean: DataFrame, sizes: dict[int, int], names: list[str], least: float) -> dict[str, float]:
     """Stems that explain which documents are toxic beside each other, from a bounded sample of both kinds.
 
@@ -228,8 +237,7 @@ def _choose(toxic: DataFrame, clean: DataFrame, sizes: dict[int, int], names: li
     held: list[list[int]] = []
     labels: list[float] = []
     for label, rows in ((1, toxic), (0, clean)):
-        share = F.lit(min(1.0, COVER_ROWS / max(1, sizes[label])))
-        drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+        drawn = _draw(rows, sizes[label], COVER_ROWS, F.xxhash64("text"))
         held += [r["stems"] for r in in_python(drawn.select("text"), run, "stems array<int>").collect()]
         labels += [float(label)] * (len(held) - len(labels))
     slopes = forward_slopes(held, labels, len(names) + 1, least)
@@ -312,8 +320,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[floa
 
 
 def train(labelled: DataFrame) -> Grammar:
-    """Learn from rows (text, toxic), toxic being 0 or 1."""
+    """Learn from rows (text, toxic), toxic being 0 or 1. Each different text counts once for each of its labels."""
     rows = labelled.where("toxic IN (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    rows = settle(rows.groupBy("text", "toxic").agg(F.count(F.lit(1)).alias("copies")).drop("copies"))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return given()
@@ -331,8 +340,7 @@ def train(labelled: DataFrame) -> Grammar:
             found = pa.array([grammar.features(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), found], ["toxic", "x"])
 
-    share = F.lit(min(1.0, FIT_ROWS / (sizes[0] + sizes[1])))
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+    drawn = _draw(rows, sizes[0] + sizes[1], FIT_ROWS, F.xxhash64("text", "toxic", F.lit(3)))
     fitted = in_python(drawn.select("toxic", "text"), run, "toxic int, x array<double>").toPandas()
     if fitted["toxic"].nunique() == 2:
         grammar.intercept, weights = fit_logistic(np.stack(fitted["x"]), fitted["toxic"].to_numpy(float))
@@ -381,7 +389,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where((remainder("doc_id", 3) != 1) & F.col("toxic").isNotNull()).select(F.col("doc_id").alias(mark), "toxic")
     side = F.broadcast(known) if is_small(known) else known
     texts = docs.where(remainder("doc_id", 3) != 1).select("doc_id", "text")
-    return settle(texts.join(side, F.col("doc_id") == F.col(mark)).select("text", "toxic"))
+    return texts.join(side, F.col("doc_id") == F.col(mark)).select("text", "toxic")
 
 
 @query("op8_toxicity")

@@ -85,6 +85,19 @@ def test_scores_and_filter_keep_rows_and_columns(spark):
     assert tx.keep_civil(df.where("doc_id > 9"), tx.given()).count() == 0
 
 
+def test_copies_of_a_text_teach_no_more_than_the_text(spark, monkeypatch):
+    rows = [(f"word{'abcdefghij'[i % 10]}{i} zorg{'abcdefg'[i % 7]}ug filler", 1) for i in range(60)] + [(f"word{i} filler other{i}", 0) for i in range(200)]
+    copies = [("one text with qualfen in it", 1)] * 3000
+    once, often = (tx.train(labelled(spark, rows + extra)) for extra in (copies[:1], copies))
+    assert once.stems.keys() == often.stems.keys() and any(s.startswith("zorg") for s in often.stems)
+    assert once.intercept == pytest.approx(often.intercept) and once.tapes == pytest.approx(often.tapes)
+    drawn = []
+    monkeypatch.setattr(tx, "FIT_ROWS", 100)
+    monkeypatch.setattr(tx, "fit_logistic", lambda x, y: drawn.append(len(x)) or (0.0, [0.0] * x.shape[1]))
+    tx.train(labelled(spark, rows + copies))
+    assert 0 < drawn[0] <= 100
+
+
 def test_slopes_of_forward_selection():
     held = [[1, 1, 1, 2]] * 40 + [[1, 2]] * 40 + [[2]] * 100 + [[0]] * 30
     slopes = tx.forward_slopes(held, [1.0] * 40 + [0.0] * 140 + [1.0] * 30, 3, 10.0)
