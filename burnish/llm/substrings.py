@@ -1,7 +1,7 @@
-"""Removal of repeated word sequences by compaction of a De Bruijn graph of the corpus.
+"""Removal of repeated word sequences by the repeated edges of a De Bruijn graph of the corpus.
 
 A window of ``SPAN`` words is an edge, between the words it begins and ends with. Edges that occur more than once are
-the graph. It is built and compacted in steps, each a Spark job over less than the one before:
+the graph. It is built and followed in steps, each a Spark job over less than the one before:
 
 1. Anchors. Of the runs of ``ANCHOR`` words in a window, that of the smallest hash is its anchor; neighbouring windows
    mostly share it, so there are some six times fewer anchors than windows. Equal windows have equal anchors: an
@@ -10,9 +10,9 @@ the graph. It is built and compacted in steps, each a Spark job over less than t
    source of an occurrence is the previous one in its document or else the very first; consecutive windows with
    consecutive sources make one row. Anchors that are very frequent go another way, so that no group is gathered: their
    edges are aggregated to first occurrences, which are sent or joined back.
-3. Paths. Joined over anchors, the rows become spans of a document, each with source coordinates. The graph's
-   nonbranching paths are the stretches of source text that no span enters or leaves: the coordinates where spans begin
-   and end cut the sources into paths (``paths``).
+3. Spans. Joined over anchors, the rows become spans of a document, each with source coordinates: runs of windows whose
+   sources are consecutive. They take the place of path compaction, which removal does without. The graph's nonbranching
+   paths, the stretches of source text that no span enters or leaves, can be had from them (``paths``).
 4. Verification. The words at a span's coordinates and at its source's are hashed anew, with SHA-256, and compared by a
    join; a span that differs (two windows with the same 64-bit hash) is dropped before words are removed.
 
