@@ -5,7 +5,7 @@ with weights: insult, threat. It is composed with clause transducers that read t
 
 * negation opens a scope of a few words, in which a match counts as denied;
 * reported speech (a verb of saying before the match in its clause) makes the rest of the clause reported;
-* a target (second person, or a pronoun with a verb of being) makes a match directed.
+* a target (a word of the second person) makes a match directed; of threats without one a quarter counts.
 
 Each match leaves the machine with its weight on one of the tapes asserted, directed, denied, reported, threat. The sums
 of the tapes over a document, and its strongest clause, are the features of a logistic regression, whose weights say how
@@ -19,7 +19,8 @@ documents that hold them are more than all chosen so far explain (from at most `
 lists of candidate numbers), so that words that merely stand beside an insult, as in many copies of one document, are
 not learnt. A stem's weight is its slope beside the others', and the weights of several in a clause add up. The
 regression is fitted on the features of at most ``FIT_ROWS`` texts, chosen by a hash. Given words (``INSULTS``,
-``THREATS``) count from the start.
+``THREATS``) count from the start. Threats are these English words only: labels do not tell them from insults, so what
+is learnt of threats enters as stems of insults. Third-person insults are asserted, not directed.
 
 Defined results: null and empty texts have no match and get the score of the intercept. Null labels are not learnt
 from; labels that disagree on a text (in copies, or as its id is labelled twice) count once each. Without learning rows of both kinds the
