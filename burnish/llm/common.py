@@ -54,6 +54,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed, to break ties by."""
+    return F.xxhash64(*[col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"])
+
+
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it must to know."""
     return df.select().limit(rows + 1).count() <= rows
@@ -131,4 +136,4 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     return docs.join(side, col(id_col) == F.col(mark), "left_anti")
 
 
-__all__ = ["attach", "col", "fresh", "in_python", "is_small", "query", "release_memory", "settle", "ship", "table", "without"]
+__all__ = ["attach", "col", "fresh", "in_python", "is_small", "query", "release_memory", "row_hash", "settle", "ship", "table", "without"]

@@ -9,16 +9,16 @@ has at least ``BITS_PER_ROW`` bits per row, so its size follows the data: while
 few they are broadcast; beyond that, ids and digests (never texts) are shuffled to meet them.
 
 Defined results: null text counts as empty. Of equal texts the row with the largest id stays; a null id is the
-smallest, and rows that share the largest id are the same document listed twice, so all of them are marked as kept.
+smallest, and rows that share the largest id are the same document listed twice, so all of them are marked as kept. ``drop_copies`` keeps one row of a text held without ids only.
 An empty table gives an empty result. Other columns, whatever their names, are carried along or left alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from burnish.llm.common import attach, col, fresh, is_small, query, settle, table
+from burnish.llm.common import attach, col, fresh, is_small, query, row_hash, settle, table
 
 BITS_PER_ROW = 16
 #: Bits per text; more would fill the filter, fewer would let more single rows through.
@@ -80,11 +80,20 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each text, all columns as they were."""
+    """``docs`` with one document of each text, all columns as they were; of a text that has no ids one row."""
     lost, digest = fresh(docs, "lost_id"), fresh(docs, "lost_digest")
-    marks = settle(mark_copies(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(lost), F.col("digest").alias(digest)))
+    copies = settle(mark_copies(docs, id_col, text_col).where("group_size > 1").where("NOT kept OR doc_id IS NULL"))
+    marks = copies.where("NOT kept").select(F.col("doc_id").alias(lost), F.col("digest").alias(digest))
     side = F.broadcast(marks) if is_small(marks) else marks
-    return docs.join(side, col(id_col).eqNullSafe(F.col(lost)) & (text_digest(text_col) == F.col(digest)), "left_anti")
+    out = docs.join(side, col(id_col).eqNullSafe(F.col(lost)) & (text_digest(text_col) == F.col(digest)), "left_anti")
+    nameless = settle(copies.where("kept").select(F.col("digest").alias(digest)).distinct())
+    if nameless.isEmpty():
+        return out
+    side, key, place = F.broadcast(nameless) if is_small(nameless) else nameless, fresh(out, "own_digest"), fresh(out, "place")
+    rest = out.join(side, text_digest(text_col) == F.col(digest), "left_anti")
+    tied = out.withColumn(key, text_digest(text_col)).join(side, F.col(key) == F.col(digest), "left_semi")
+    one = tied.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(row_hash(docs)))).where(F.col(place) == 1)
+    return rest.unionByName(one.select(*[col(c) for c in docs.columns]))
 
 
 ORACLE = """

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm.common import attach, col, in_python, is_small, query, settle, table, without
+from burnish.llm.common import attach, col, fresh, in_python, is_small, query, row_hash, settle, table, without
 from burnish.llm.components import components
 from burnish.llm.shingles import portions, shingle_sets
 
@@ -358,7 +358,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of the smallest id of each component; all columns as they were."""
+    """``docs`` with the document of the smallest id of each component; all columns as they were.
+
+    Where ids are null or repeated, rows are numbered in their order, null ids last, and judged by these numbers.
+    """
+    odd = docs.groupBy(col(id_col).alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("doc_id IS NULL OR n > 1")
+    if not odd.isEmpty():
+        number = fresh(docs, "row_number")
+        ordered = docs.orderBy(col(id_col).asc_nulls_last(), row_hash(docs))
+        docs = settle(ordered.withColumn(number, F.monotonically_increasing_id()))
+        found = settle(near_duplicates(docs, id_col=number, text_col=text_col).where("component_id <> doc_id").select("doc_id"))
+        return without(docs, found, number).drop(number)
     found = settle(near_duplicates(docs, id_col=id_col, text_col=text_col).where("component_id <> doc_id").select("doc_id"))
     return without(docs, found, id_col)
 

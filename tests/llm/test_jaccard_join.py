@@ -100,6 +100,13 @@ def test_keep_one_keeps_columns_and_the_smallest_id(spark):
     assert sorted(r.doc_id for r in out.collect()) == [2, 5, 6, 9]
 
 
+def test_keep_one_keeps_one_row_of_null_and_repeated_ids(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(None, near + " one"), (7, near), (7, near), (3, "all by itself"), (3, near + " two"), (None, "b c d e f g"), (None, "b c d e f g"), (None, None)]
+    got = sorted(((r.doc_id, r.text) for r in jj.keep_one(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted([(3, near + " two"), (3, "all by itself"), (None, "b c d e f g"), (None, None)], key=repr)
+
+
 def test_empty_table_and_null_ids(spark):
     assert jj.near_duplicates(frame(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (None, None), (3, "a b c d e f")]

@@ -46,6 +46,12 @@ def test_drop_copies_keeps_columns(spark, paths):
     assert exact_dedup.mark_copies(df.where("doc_id < 0")).count() == exact_dedup.drop_copies(df.where("doc_id < 0")).count() == 0
 
 
+def test_drop_copies_keeps_one_row_of_texts_without_ids(spark, paths):
+    rows = [(None, "p")] * 20 + [(None, "q"), (None, None), (None, ""), (None, "r"), (1, "r"), (2, "s")]
+    out = exact_dedup.drop_copies(frame(spark, rows))
+    assert sorted(((r.doc_id, r.text or "") for r in out.collect()), key=repr) == sorted([(None, "p"), (None, "q"), (None, ""), (1, "r"), (2, "s")], key=repr)
+
+
 def test_only_possible_repeats_reach_the_second_pass(spark):
     rows = common.settle(frame(spark, [(i, str(i % 3000)) for i in range(3100)]).select("doc_id", exact_dedup.text_digest("text").alias("digest")))
     words = 1024
