@@ -4,9 +4,11 @@ import corpus_pipeline
 
 from burnish.llm import (  # noqa: F401
     bpe,
+    collocations,
     exact_dedup,
     jaccard_join,
     language,
+    merkle,
     mixing,
     neighbours,
     substrings,
