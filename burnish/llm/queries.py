@@ -4,6 +4,7 @@ import corpus_pipeline
 
 from burnish.llm import (  # noqa: F401
     bpe,
+    byte_network,
     collocations,
     exact_dedup,
     jaccard_join,
