@@ -9,8 +9,10 @@ Words are lower-cased (A-Z); phrases are 2 to ``LONGEST`` neighbouring words wit
   not proposed while both their parts without the first or last word are. The border is not listed: a phrase met in the
   text is counted if its two parts are proposed, and what never occurs needs no counting.
 * Expansion: a frequent phrase of the border is a failure of the sample, since nothing that extends it was counted. All
-  failures join the proposals, and another full pass counts the phrases whose parts are proposed now, and were not
-  before. This goes on until no frequent phrase is unproposed; then every frequent phrase has been counted.
+  failures join the proposals, and another full pass counts, among what was not counted yet, the phrases whose two parts
+  are each proposed now or counted in this very pass. So it follows each failure through all lengths at once, and what
+  it finds is closed: the parts of a frequent phrase are frequent, hence proposed by now or counted in this pass, and
+  so the phrase itself was counted in one of the two. A pass per length would read all texts up to four times more.
 
 Proposals go to the tasks as a Bloom filter of ``FILTER_WORDS`` words at most (16 MB). What it takes for a proposal by
 mistake only makes more phrases be counted, so counts are whole and exact at any size; past its capacity it merely saves
@@ -46,7 +48,7 @@ COVER = 100
 SHARE, LOWERED = 8, 0.3
 FILTER_WORDS = 1 << 21
 #: Bytes of text counted at a time, and bytes of words hashed at a time; texts are cut after the former.
-PORTION, CHUNK = 8 << 20, 1 << 19
+PORTION, CHUNK = 4 << 20, 1 << 19
 ROWS_PER_BATCH = 100_000
 
 _PIECE_END = re.compile(rb"[.,;:!?\x0a-\x0d]")
@@ -123,33 +125,48 @@ class Filter(NamedTuple):
         return (self.words[place] & mask) == mask
 
 
-def windows(portion: Portion, size: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words at which a phrase of ``size`` words starts, and the hashes of phrase and language."""
+def places(portion: Portion, size: int) -> np.ndarray:
+    """The words at which a phrase of ``size`` words starts."""
     n = len(portion.hashes)
-    at = np.flatnonzero(portion.pieces[: max(0, n - size + 1)] == portion.pieces[size - 1 :])
-    plain = (sums[at + size] - sums[at]) * powers(_WORD_BASE, n + 1)[1][at] + np.uint64(size)
-    return at, mix(mix(plain) ^ portion.tongues[at])
+    return np.flatnonzero(portion.pieces[: max(0, n - size + 1)] == portion.pieces[size - 1 :])
+
+
+def window_hashes(portion: Portion, at: np.ndarray, size: int, sums: np.ndarray) -> np.ndarray:
+    """The hashes of the phrases of ``size`` words that start at some words, and their language."""
+    plain = (sums[at + size] - sums[at]) * powers(_WORD_BASE, len(sums))[1][at] + np.uint64(size)
+    return mix(mix(plain) ^ portion.tongues[at])
 
 
 def counted(portion: Portion, proposed: Filter | None, before: Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per size of phrases: the size, and of each different phrase a place, its hash and how often it occurs.
 
-    Words are counted, and phrases whose parts without the first and last word are both proposed, but not what was
-    counted ``before``. Without a filter all phrases are counted.
+    Words are counted, and phrases whose parts without the first and last word are both proposed. With ``before``, the
+    proposals of an earlier pass, it is what that pass did not count, and a part that is counted here is as good as a
+    proposed one. Without a filter all phrases are counted.
     """
     n = len(portion.hashes)
     sums = _prefix_sums(portion.hashes, _WORD_BASE)
     now = then = np.ones(n + 1, bool)
     for size in range(1, LONGEST + 1):
-        at, hashes = windows(portion, size, sums)
-        wanted = now[at] & now[at + 1] if size > 1 else np.full(len(at), before is None)
-        if before is not None and size > 1:
-            wanted &= ~(then[at] & then[at + 1])
-        firsts, found = at[wanted], hashes[wanted]
+        at = places(portion, size)
+        if proposed is None:
+            wanted = None
+        elif size == 1:
+            wanted = np.full(len(at), before is None)
+        else:
+            wanted = now[at] & now[at + 1]
+            if before is not None:
+                wanted &= ~(then[at] & then[at + 1])
+        hashes = window_hashes(portion, at, size, sums)
+        firsts, found = (at, hashes) if wanted is None else (at[wanted], hashes[wanted])
         keys, index, times = np.unique(found, return_index=True, return_counts=True)
         yield size, firsts[index], keys, times
         if proposed is not None and size < LONGEST:
-            now, then = (_marks(n, at, f.has(hashes)) if f else then for f in (proposed, before))
+            held = proposed.has(hashes)
+            if before is None:
+                now = _marks(n, at, held)
+            else:
+                now, then = _marks(n, at, held | wanted), _marks(n, at, before.has(hashes))
 
 
 def _marks(n: int, at: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -270,8 +287,9 @@ def unproposed(frequent: DataFrame, proposed: Filter) -> DataFrame:
             last = np.append(portion.pieces[1:] != portion.pieces[:-1], True)
             first = np.append(True, last[:-1])
             for size in range(1, min(LONGEST, n) + 1):
-                at, hashes = windows(portion, size, sums)
-                whole.append(hashes[first[at] & last[at + size - 1]])
+                at = places(portion, size)
+                at = at[first[at] & last[at + size - 1]]
+                whole.append(window_hashes(portion, at, size, sums))
             keys = np.concatenate(whole) if whole else np.zeros(0, np.uint64)
             missed = keys[~shared.value.has(keys)]
             yield from _in_batches(pa.RecordBatch.from_arrays([pa.array(missed.view(np.int64))], ["key"]))
@@ -291,15 +309,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, share: int = SHARE, id
     )
     proposals = propose(texts, share, least)
     wanted = min(FILTER_WORDS, max(1 << 10, 1 << (proposals.count() // 4).bit_length()))
-    proposed, before = with_keys(Filter(np.zeros(wanted, np.uint64)), proposals), None
-    found = None
-    while True:
-        new = count(texts, proposed, before, least)
-        found = new if found is None else found.unionByName(new)
-        missed = unproposed(new.where("phrase IS NOT NULL"), proposed)
-        if missed.isEmpty():
-            return found
-        proposed, before = with_keys(proposed, missed), proposed
+    proposed = with_keys(Filter(np.zeros(wanted, np.uint64)), proposals)
+    found = count(texts, proposed, None, least)
+    failures = unproposed(found.where("phrase IS NOT NULL"), proposed)
+    if failures.isEmpty():
+        return found
+    return found.unionByName(count(texts, with_keys(proposed, failures), proposed, least))
 
 
 def _with_counts(rows: DataFrame, key: str, frequent: DataFrame, name: str) -> DataFrame:
