@@ -45,7 +45,8 @@ def _clip_needs(df: DataFrame, p: Parameters) -> list[Need]:
 class Action:
     """How to apply an action, whether it can change the number of rows, and what it must know first.
 
-    The result of a ``heavy`` action is worth keeping before the table is read more than once.
+    The result of a ``heavy`` action is worth keeping before the table is read more than once. An action that ``edits``
+    puts other values into the one column it names.
     """
 
     apply: Callable[..., DataFrame]
@@ -53,6 +54,7 @@ class Action:
     needs: Callable[[DataFrame, Parameters], list[Need]] = _nothing
     streams: Callable[[Parameters], bool] = lambda p: True
     heavy: bool = False
+    edits: bool = False
 
     def accepts(self, name: str) -> bool:
         return name in inspect.signature(self.apply).parameters
@@ -64,16 +66,17 @@ ACTIONS: dict[str, Action] = {
         keeps_rows=lambda p: p.get("strategy") != "drop",
         needs=_fill_needs,
         streams=lambda p: p.get("strategy") not in ("forward_fill", "backward_fill"),
+        edits=True,
     ),
     "drop_duplicates": Action(drop_duplicates, keeps_rows=lambda p: False, streams=lambda p: False, heavy=True),
-    "cast_column": Action(cast_column, needs=_cast_needs),
+    "cast_column": Action(cast_column, needs=_cast_needs, edits=True),
     "rename_column": Action(rename_column),
-    "normalize_format": Action(normalize_format),
-    "apply_regex": Action(apply_regex),
+    "normalize_format": Action(normalize_format, edits=True),
+    "apply_regex": Action(apply_regex, edits=True),
     "drop_column": Action(drop_column),
     "drop_rows_by_condition": Action(drop_rows_by_condition, keeps_rows=lambda p: False),
-    "clip_outliers": Action(clip_outliers, keeps_rows=lambda p: p.get("method") != "drop", needs=_clip_needs),
-    "standardize_text": Action(standardize_text),
+    "clip_outliers": Action(clip_outliers, keeps_rows=lambda p: p.get("method") != "drop", needs=_clip_needs, edits=True),
+    "standardize_text": Action(standardize_text, edits=True),
     "fix_referential_integrity": Action(
         fix_referential_integrity, keeps_rows=lambda p: p.get("action") == "flag", heavy=True
     ),

@@ -152,19 +152,28 @@ def _(spark, sf):
 @query(
     "plan_audit",
     orders(
-        "SELECT step, action_type, success, rows_before, rows_after, row_loss FROM "
-        "(SELECT count(*) AS n0 FROM dirty_orders), (SELECT count(*) AS n1 FROM linked), (SELECT count(*) AS n2 FROM clean), "
+        "SELECT step, action_type, success, rows_before, rows_after, row_loss, greatest(0, rows_before - rows_after) AS rows_removed, "
+        "greatest(0, rows_after - rows_before) AS rows_added, CASE step WHEN 3 THEN cp WHEN 4 THEN cq END AS cells_changed, "
+        "CASE step WHEN 3 THEN 0 WHEN 4 THEN 0 END AS cells_filled, round(CASE step WHEN 3 THEN pl WHEN 4 THEN ql END, 6) AS lower_bound, "
+        "round(CASE step WHEN 3 THEN ph WHEN 4 THEN qh END, 6) AS upper_bound, CASE step WHEN 5 THEN 'segment' ELSE '' END AS columns_added FROM "
+        "(SELECT count(*) AS n0 FROM dirty_orders), (SELECT count(*) AS n1 FROM linked), (SELECT count(*) AS n2 FROM clean), fences, "
+        "(SELECT count(*) FILTER (price < pl OR price > ph) AS cp, count(*) FILTER (quantity < ql OR quantity > qh) AS cq FROM clean, fences), "
+        "(SELECT count(*) AS n5 FROM clean o LEFT JOIN dirty_customers c ON o.customer_id = c.customer_id), "
         "(VALUES (1, 'fix_referential_integrity'), (2, 'drop_duplicates'), (3, 'clip_outliers'), (4, 'clip_outliers'), "
         "(5, 'merge_tables')) s(step, action_type), "
         "LATERAL (SELECT true AS success, CASE step WHEN 1 THEN n0 WHEN 2 THEN n1 ELSE n2 END AS rows_before, "
-        "CASE step WHEN 1 THEN n1 ELSE n2 END AS rows_after), "
+        "CASE step WHEN 1 THEN n1 WHEN 5 THEN n5 ELSE n2 END AS rows_after), "
         "LATERAL (SELECT (rows_before - rows_after) / CAST(rows_before AS DOUBLE) > 0.30 AS row_loss)",
         more=CLEAN,
     ),
 )
 def _(spark, sf):
     record = clean_orders(spark, sf, audit=True).audit()
-    return record.select("step", "action_type", "success", "rows_before", "rows_after", "row_loss")
+    return record.select(
+        "step", "action_type", "success", "rows_before", "rows_after", "row_loss", "rows_removed", "rows_added", "cells_changed",
+        "cells_filled", F.round("lower_bound", 6).alias("lower_bound"), F.round("upper_bound", 6).alias("upper_bound"),
+        F.array_join("columns_added", ", ").alias("columns_added"),
+    )
 
 
 # The table after each step of the plan for orders.

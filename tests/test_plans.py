@@ -181,3 +181,60 @@ def test_recommended_steps_mend_the_table(spark):
 def test_steps_in_text(spark, text, want):
     row = parse_actions(spark.createDataFrame([(text,)], "t string"), "t").first()
     assert (row["action_type"], row["parameters"]) == (want or (None, None))
+
+
+def test_audit_of_what_each_step_did(spark, monkeypatch):
+    """One counting job, nothing written, and the effect of every kind of step."""
+    monkeypatch.setattr(runner, "settle", lambda df: pytest.fail("a plan that only counts writes nothing"))
+    rows = [(1, 10.0, " a ", "5"), (2, None, "b", "x"), (3, 30.0, None, "7"), (3, 30.0, None, "7"), (4, float("nan"), "d", None), (5, 9000.0, "e", "1")]
+    df = spark.createDataFrame(rows, "k int, x double, s string, n string")
+    tables = {"r": spark.createDataFrame([(1, "one"), (3, "three"), (3, "drei"), (5, "five")], "k int, v string")}
+    steps = [
+        step("drop_duplicates"),
+        step("fill_missing", column="x", strategy="constant", fill_value=20.0),
+        step("standardize_text", column="s", operations=["strip"]),
+        step("fill_missing", column="s", strategy="constant", fill_value=3),
+        step("normalize_format", column="n", format_type="strip_currency"),
+        step("clip_outliers", column="x", bounds=[15, 40]),
+        step("fix_referential_integrity", child_column="k", parent_table="r", parent_column="k", action="flag"),
+        step("merge_tables", right_table="r", left_on="k", right_on="k"),
+        step("drop_rows_by_condition", column="k", operator=">", value=2),
+        step("rename_column", old_name="v", new_name="w"),
+    ]
+    result = run_plan(df, steps, tables, order_by=["k"], audit=True)
+    r = result.records
+    assert [(x.rows_before, x.rows_after) for x in r] == [(6, 5), (5, 5), (5, 5), (5, 5), (5, 5), (5, 5), (5, 5), (5, 6), (6, 2), (2, 2)]
+    assert [x.success for x in r] == [True] * 3 + [False] + [True] * 6
+    assert (r[0].rows_removed, r[7].rows_added, r[8].rows_removed, r[8].row_loss) == (1, 1, 4, True)
+    assert (r[1].cells_changed, r[1].cells_filled, r[1].cells_emptied, r[1].fill_value) == (2, 2, 0, "20.0")
+    assert (r[2].cells_changed, r[2].cells_filled) == (1, 0)
+    assert (r[4].cells_changed, r[4].cells_emptied) == (4, 1)
+    assert (r[5].cells_changed, r[5].lower_bound, r[5].upper_bound) == (2, 15.0, 40.0)
+    assert (r[6].rows_flagged, r[6].columns_added) == (2, ["k_valid"])
+    assert r[7].columns_added == ["v"] and (r[9].columns_added, r[9].columns_removed) == (["w"], ["v"])
+    assert "2 cells filled; fill value 20.0" in r[1].message and r[9].message.endswith("columns added w; columns removed v")
+    assert result.df.columns == ["k", "x", "s", "n", "k_valid", "w"] and result.audit().count() == 10
+
+
+def test_writing_the_result_fills_the_record(spark, small, monkeypatch, tmp_path):
+    result = run_plan(small, [step("drop_duplicates"), step("drop_rows_by_condition", column="k", operator="==", value=1)], audit=True)
+    result.df.write.parquet(str(tmp_path / "out"))
+    monkeypatch.setattr(type(result.df), "agg", lambda *a: pytest.fail("counted again"))
+    assert [(x.rows_before, x.rows_after) for x in result.records] == [(4, 3), (3, 2)]
+
+
+def test_counts_survive_steps_that_run_jobs_of_their_own(spark):
+    """Windows, fills cut into ranges, and statistics taken between the steps."""
+    df = spark.range(2000).selectExpr("id AS k", "CASE WHEN id % 3 > 0 THEN id END AS x", "CAST(id % 7 AS STRING) AS s").repartition(5)
+    steps = [
+        step("drop_duplicates", subset=["k"]),
+        step("drop_rows_by_condition", column="s", operator="==", value="0"),
+        step("fill_missing", column="x", strategy="forward_fill"),
+        step("fill_missing", column="x", strategy="median"),
+        step("clip_outliers", column="x", method="zscore", threshold=1.0),
+    ]
+    r = run_plan(df, steps, order_by=["k"], audit=True).records
+    assert all(x.success for x in r), r
+    kept = sum(1 for i in range(2000) if i % 7)
+    assert [x.rows_after for x in r] == [2000, kept, kept, kept, kept]
+    assert r[2].cells_filled + r[3].cells_filled == sum(1 for i in range(2000) if i % 7 and i % 3 == 0)

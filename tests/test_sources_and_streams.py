@@ -14,7 +14,7 @@ from burnish.operators.stats import MEDIAN, QUARTILES, Need
 from burnish.plans.recipes import CONTACTS, step
 from burnish.plans.runner import run_plan
 from burnish.sources.tables import load_tables, preview_aux, write_clean
-from burnish.streaming.clean import clean_stream, freeze_stats
+from burnish.streaming.clean import clean_stream, freeze_stats, freeze_steps
 
 
 # --- sources --------------------------------------------------------------------------------------------------
@@ -163,3 +163,20 @@ def test_injection_refuses(spark):
                 lambda: inject.inject_nulls(df, "no", 0.1, "id")):
         with pytest.raises(CleaningError):
             bad()
+
+
+def test_frozen_statistics_belong_to_their_step(spark):
+    """A column measured twice: before and after its gaps were filled."""
+    history = spark.createDataFrame([(float(i),) for i in range(10)] + [(None,)] * 10, "x double")
+    steps = [
+        {"action_type": "clip_outliers", "parameters": {"column": "x", "method": "zscore", "threshold": 1}},
+        {"action_type": "fill_missing", "parameters": {"column": "x", "strategy": "constant", "fill_value": 100.0}},
+        {"action_type": "clip_outliers", "parameters": {"column": "x", "method": "zscore", "threshold": 1}},
+    ]
+    frozen = freeze_steps(history, steps)
+    with pytest.raises(CleaningError):
+        freeze_stats(history, steps)
+    assert [len(f) for f in frozen] == [2, 0, 2] and frozen[0] != frozen[2]
+    assert sorted(r.x for r in clean_stream(history, steps, stats=frozen).collect()) == sorted(r.x for r in run_plan(history, steps).df.collect())
+    with pytest.raises(CleaningError):
+        clean_stream(history, steps, stats=frozen[:1])
