@@ -2,7 +2,8 @@
 
 A side is broadcast only after its bytes were added up. Otherwise the keys that hold very many rows are looked
 up; if there are any, the rows of each are spread over as many tasks as its count asks for, and the other side's rows
-are repeated to meet them. Everything else is an ordinary join.
+are repeated to meet them. Everything else is an ordinary join. Where only the presence of a key matters, different keys
+are compared instead of rows, and rows whose key is certain to be there are not shuffled at all.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.errors import CleaningError
-from burnish.operators.scratch import settle
+from burnish.operators.keyfilter import hash_of, marked, packed_filter
+from burnish.operators.scratch import settle, settled
 
 # Bytes to reckon with for a value of fixed size, or besides the bytes of a text.
 FIXED_WIDTH = 16
@@ -127,7 +129,8 @@ def lookup(
 ) -> DataFrame:
     """Semi, anti or left join of a table to the different values of the one column of ``keys``.
 
-    The size is taken before the values are made distinct: an upper bound that needs no shuffle.
+    The size is taken before the values are made distinct: an upper bound that needs no shuffle. Many keys are compared
+    with the different keys of the table, without its rows; then only rows that may lack theirs are looked at.
     """
     on = _match(df_key, key, null_safe)
     small = is_small(keys, limits.broadcast_bytes)
@@ -136,10 +139,49 @@ def lookup(
     keys = keys.distinct()
     if small:
         return df.join(F.broadcast(keys), on, how)
-    hot = hot_keys(df, df_key, limits)
-    if hot is None:
+    if df.isStreaming:
         return df.join(keys, on, how)
-    return _salted(df, keys, df_key, key, on, how, hot, None)
+    return _by_absent_keys(settled(df), keys, df_key, key, how, null_safe, limits)
+
+
+def _by_absent_keys(
+    df: DataFrame, keys: DataFrame, df_key: str, key: str, how: str, null_safe: bool, limits: JoinLimits
+) -> DataFrame:
+    """The same by way of the keys of ``df`` that ``keys`` lacks.
+
+    Few absent keys are broadcast. Otherwise they make a packed filter: rows that are not in it have their key for
+    certain and stay where they are, and only the others are shuffled, to meet the absent keys themselves.
+    """
+    value = F.col(f"`{df_key}`")
+    own = df.select(value.alias("__own")).distinct()
+    own = own if null_safe else own.where("__own IS NOT NULL")
+    absent = settle(own.join(keys, _match("__own", key, null_safe), "left_anti").withColumnRenamed("__own", "__absent"))
+    lacks = _match(df_key, "__absent", null_safe)
+    known = df if null_safe else df.where(value.isNotNull())
+    keyless = [] if null_safe else [df.where(value.isNull())]
+    if is_small(absent, limits.broadcast_bytes):
+        certain, alone = known.join(F.broadcast(absent), lacks, "left_anti"), known.join(F.broadcast(absent), lacks, "left_semi")
+    else:
+        filter_ = packed_filter(absent.select(hash_of([F.col("__absent")]).alias("__h")))
+        mark = marked(known, [value], filter_, "__maybe")
+        possible = mark.where("__maybe")
+        hot = hot_keys(possible, df_key, limits)
+        # The optimizer moves semi and anti joins to where no row has been filtered yet, but no inner join (absent keys are
+        # distinct, so it gives the same rows), and no anti join whose condition needs the mark.
+        lacks = lacks & F.col("__maybe")
+        meet = lambda kind: (
+            possible.join(absent, lacks, kind) if hot is None else _salted(possible, absent, df_key, "__absent", lacks, kind, hot, None)
+        )
+        certain = mark.where("NOT __maybe").unionByName(meet("left_anti")).drop("__maybe")
+        alone = meet("inner").drop("__maybe", "__absent")
+    if how == "left_semi":
+        return certain
+    for more in keyless:
+        alone = alone.unionByName(more)
+    if how == "left_anti":
+        return alone
+    kind = keys.schema[key].dataType
+    return certain.withColumn(key, value.cast(kind)).unionByName(alone.withColumn(key, F.lit(None).cast(kind)))
 
 
 def _match(left_key: str, right_key: str, null_safe: bool) -> Column:

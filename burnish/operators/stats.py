@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from burnish.errors import need_column
 from burnish.functions.numbers import numeric, present
+from burnish.operators.keyfilter import hash_of, marked, packed_filter
+from burnish.operators.scratch import settle, settled
 
 # Up to this many different values, Spark's exact percentile fits well into one task's memory. Few rows in
 # total need no counting by value beforehand.
@@ -21,6 +23,8 @@ MAX_DISTINCT = 200_000
 FEW_ROWS = 1_000_000
 # Rank error of an approximate percentile is n / ACCURACY.
 ACCURACY = 10_000
+# Hashes of repeated rows are broadcast up to this size, beyond it as a packed filter.
+REPEATS_BYTES = 16 * 1024 * 1024
 # Rows that guide the search for a rank, and how far around it the search looks, as a share of the rows.
 GUIDE_ROWS = 1_000_000
 MARGIN = 0.004
@@ -303,20 +307,33 @@ def unpivot(df: DataFrame, value: str) -> DataFrame:
 def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """One row: ``duplicate_rows``, the rows beyond the first of each group of equal rows, and ``total_rows``.
 
-    Null equals null, and NaN counts as null. Rows are counted by a hash of 16 bytes first; only rows whose hash occurs
-    more than once are compared, column by column. Copies are combined before each shuffle, so a huge group costs no
-    more than a small one.
+    Null equals null, and NaN counts as null. Rows are counted by a hash of 16 bytes; what occurs more than once is
+    written to the shared folder, and where there is nothing of the kind, that is all. Otherwise the rows are read again:
+    those whose hash is not in a packed filter of the repeated ones go no further, and only the others are compared column
+    by column. Copies are combined before each shuffle, so a huge group costs no more than a small one.
     """
     cols = list(subset or df.columns)
     need_column(df, *cols)
-    cells = [_known(df, c).alias(f"c{i}") for i, c in enumerate(cols)]
-    rows = df.select(*row_hash([_known(df, c) for c in cols]), *cells)
-    seen = rows.groupBy("__h1", "__h2").agg(F.count("*").alias("n"))
-    again = seen.where("n > 1").select(F.col("__h1").alias("__r1"), F.col("__h2").alias("__r2"))
-    met = rows.join(again, (F.col("__h1") == F.col("__r1")) & (F.col("__h2") == F.col("__r2")), "left_semi")
+    table = settled(df.select(*[F.col(f"`{c}`") for c in cols]))
+    known = [_known(table, c) for c in cols]
+    seen = table.select(*row_hash(known)).groupBy("__h1", "__h2").agg(F.count("*").alias("n"))
+    # All hashes that occur once fall together into one row, without hashes, which holds how many they are.
+    again = [F.when(F.col("n") > 1, F.col(h)).alias(h) for h in ("__h1", "__h2")]
+    told = settle(seen.groupBy(*again).agg(F.sum("n").alias("n")))
+    total, repeats = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("__h1")).first()
+    if not repeats:
+        return df.sparkSession.createDataFrame([(0, total)], "duplicate_rows bigint, total_rows bigint")
+    hashes = told.where("__h1 IS NOT NULL").select(F.col("__h1").alias("__r1"), F.col("__h2").alias("__r2"))
+    rows = table.select(*row_hash(known), *[k.alias(f"c{i}") for i, k in enumerate(known)])
+    same = (F.col("__h1") == F.col("__r1")) & (F.col("__h2") == F.col("__r2"))
+    if repeats * 2 * 8 <= REPEATS_BYTES:
+        hashes = F.broadcast(hashes)
+    else:
+        filter_ = packed_filter(hashes.select(hash_of([F.col("__r1"), F.col("__r2")]).alias("__h")))
+        rows = marked(rows, [F.col("__h1"), F.col("__h2")], filter_, "__maybe").where("__maybe")
+    met = rows.join(hashes, same)  # an inner join: the optimizer would put a semi join before the filter
     groups = met.groupBy(*[f"c{i}" for i in range(len(cols))]).agg(F.count("*").alias("n"))
-    copies = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
-    return copies.select("duplicate_rows", df.agg(F.count("*").alias("total_rows")).scalar().alias("total_rows"))
+    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"), F.lit(total).cast("bigint").alias("total_rows"))
 
 
 def row_hash(cells: Sequence[Column]) -> list[Column]:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from burnish.operators import stats
+from burnish.operators import keyfilter, stats
 from burnish.operators.joining import JoinLimits, equi_join, hot_keys, is_small, lookup
 from burnish.operators.missing import fill_missing
 from burnish.operators.outliers import clip_outliers
@@ -19,6 +19,7 @@ from burnish.operators.scratch import settle
 from burnish.operators.stats import MEDIAN, QUARTILES, Need, measure
 from burnish.quality.profile import column_profile
 from burnish.queries.registry import read
+from shuffles import exchanges
 
 SF_DIR = "/root/testdata/sf0.001"
 NEVER_SMALL = JoinLimits(broadcast_bytes=-1, hot_rows=10)
@@ -194,9 +195,12 @@ def test_first_duplicate_is_limited_before_the_shuffle(spark):
     assert plan(df).count("WindowGroupLimit") >= 2
 
 
-def test_copies_are_counted_before_the_shuffle(spark):
+def test_copies_are_counted_before_the_shuffle(spark, monkeypatch):
     assert "WindowGroupLimit" in plan(drop_duplicates(read(spark, SF_DIR, "orders"), ["o_custkey"], "none"))
-    counted = plan(stats.duplicate_count(read(spark, SF_DIR, "documents")))
+    written = []
+    monkeypatch.setattr(stats, "settle", lambda df: written.append(plan(df)) or settle(df))
+    stats.duplicate_count(read(spark, SF_DIR, "documents"))
+    counted = written[0]
     hashed = [line for line in counted.splitlines() if "hashpartitioning(__h1" in line]
     assert hashed and "partial_count" in counted
 
@@ -258,3 +262,79 @@ def test_settled_results_keep_their_rows(spark):
     assert again.columns == df.columns and again.count() == 10
     assert "ReadSchema: struct<x:bigint>" in plan(again.agg(F.sum("x")))
 
+
+
+# --- packed filters -------------------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def unhinted(spark):
+    """Nothing is broadcast unless the library says so."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_filter_never_misses_a_key(spark, monkeypatch):
+    monkeypatch.setattr(keyfilter, "SLICE_WORDS", 32)
+    keys = spark.range(0, 6000, 3)
+    filter_ = keyfilter.packed_filter(keys.select(keyfilter.hash_of([F.col("id")])))
+    assert filter_.count() == 16 and {len(r["__words"]) for r in filter_.collect()} == {32}
+    marked = keyfilter.marked(spark.range(6000), [F.col("id")], filter_, "maybe")
+    assert marked.columns == ["id", "maybe"]
+    held = {r.id for r in marked.where("maybe").collect()}
+    assert set(range(0, 6000, 3)) <= held and len(held) < 2200
+    monkeypatch.setattr(keyfilter, "MAX_SLICES", 1)
+    full = keyfilter.packed_filter(keys.select(keyfilter.hash_of([F.col("id")])))
+    assert full.count() == 1 and keyfilter.marked(keys, [F.col("id")], full, "maybe").where("maybe").count() == 2000
+    none = keyfilter.packed_filter(keys.where("false").select(keyfilter.hash_of([F.col("id")])))
+    assert keyfilter.marked(keys, [F.col("id")], none, "maybe").where("maybe").count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [10, 10**9])
+@pytest.mark.parametrize("limit", [-1, 0, 10**9])
+def test_only_rows_that_may_lack_their_parent_move(spark, unhinted, hot_rows, limit):
+    """A hot key with a parent and one without; null keys; ten per cent of the rows lack their parent."""
+    rows = [(1 if i % 3 == 0 else 777 if i % 11 == 0 else None if i % 7 == 0 else i % 900, f"row {i}") for i in range(9000)]
+    df = spark.createDataFrame(rows, "k int, v string").repartition(6)
+    parents = spark.createDataFrame([(i,) for i in range(870) if i != 777] * 2, "p bigint")
+    # A limit that takes the keys to be large, and the absent ones to be small or large.
+    limits = JoinLimits(broadcast_bytes=limit, hot_rows=hot_rows)
+    has = lambda k: k is not None and k < 870 and k != 777
+    lacking = sum(1 for k, _ in rows if k is not None and not has(k))
+    want = {
+        "left_semi": sorted((k, v) for k, v in rows if has(k)),
+        "left_anti": sorted(((k, v) for k, v in rows if not has(k)), key=repr),
+        "left": sorted(((k, v, k if has(k) else None) for k, v in rows), key=repr),
+    }
+    for how, expected in want.items():
+        got = lookup(df, parents, "k", "p", how, limits=limits)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
+        moved = [n for columns, n in exchanges(got) if "v" in columns]
+        assert sum(moved) <= (3 * lacking if limit <= 0 else 9000 + 9000)
+
+
+def test_null_keys_match_where_they_may(spark, unhinted):
+    rows = [(None, "a"), (1, "b"), (2, "c"), (None, "d")]
+    df = spark.createDataFrame(rows, "k int, v string")
+    for keys, want in (([None, 1], ["a", "b", "d"]), ([1], ["b"]), ([], [])):
+        parents = spark.createDataFrame([(k,) for k in keys], "p int")
+        for limit in (-1, 10**6):
+            got = lookup(df, parents, "k", "p", "left_semi", True, JoinLimits(broadcast_bytes=limit))
+            assert sorted(r.v for r in got.collect()) == want
+            rest = lookup(df, parents, "k", "p", "left_anti", True, JoinLimits(broadcast_bytes=limit))
+            assert sorted(r.v for r in rest.collect()) == sorted({"a", "b", "c", "d"} - set(want))
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 24])
+def test_only_repeated_rows_move_to_be_compared(spark, unhinted, monkeypatch, limit):
+    monkeypatch.setattr(stats, "REPEATS_BYTES", limit)
+    rows = [(i, f"text {i}", i / 2) for i in range(4000)] + [(7, "text 7", 3.5)] * 500 + [(None, None, float("nan"))] * 3 + [(None, None, None)] * 2
+    df = spark.createDataFrame(rows, "x int, `a.text` string, f double").repartition(5)
+    found = stats.duplicate_count(df)
+    assert found.first().asDict() == {"duplicate_rows": 504, "total_rows": 4505}
+    for columns, n in exchanges(found):
+        assert n <= 600 or not any(c.startswith("c") for c in columns), (columns, n)
+    alone = stats.duplicate_count(df.where("x BETWEEN 10 AND 2000"))
+    assert alone.first().asDict() == {"duplicate_rows": 0, "total_rows": 1991} and not exchanges(alone)
+    assert stats.duplicate_count(df.where("false")).first().asDict() == {"duplicate_rows": 0, "total_rows": 0}
