@@ -64,6 +64,38 @@ def merge_tables(
     )
 
 
+def merge_report(
+    df: DataFrame,
+    right_table: str,
+    left_on: str,
+    right_on: str,
+    tables: Mapping[str, DataFrame] | None = None,
+    match_nulls: bool = True,
+) -> DataFrame:
+    """One row on what a merge would do, without doing it: which rows find a partner, and how many rows it adds.
+
+    ``multiplied_rows`` are the rows beyond the first that left rows get because their key repeats on the right. Rows
+    are counted per key on both sides first, so hot keys do not matter.
+    """
+    right = table(tables, right_table)
+    need_column(df, left_on)
+    need_column(right, right_on)
+    same_key_type(df, left_on, right, right_on)
+    ours = df.groupBy(F.col(f"`{left_on}`").alias("__left")).agg(F.count("*").alias("l"))
+    theirs = right.groupBy(F.col(f"`{right_on}`").alias("__right")).agg(F.count("*").alias("r"))
+    same = F.col("__left").eqNullSafe(F.col("__right")) if match_nulls else F.col("__left") == F.col("__right")
+    rows = lambda n: F.coalesce(F.sum(n), F.lit(0))
+    return ours.join(theirs, same, "outer").agg(
+        rows("l").alias("left_rows"),
+        rows("r").alias("right_rows"),
+        rows(F.when(F.col("r").isNotNull(), F.col("l"))).alias("matched_left"),
+        rows(F.when(F.col("r").isNull(), F.col("l"))).alias("unmatched_left"),
+        rows(F.when(F.col("l").isNull(), F.col("r"))).alias("unmatched_right"),
+        F.count_if((F.col("r") > 1) & F.col("l").isNotNull()).alias("repeated_keys"),
+        rows(F.col("l") * (F.col("r") - 1)).alias("multiplied_rows"),
+    )
+
+
 def _parent_keys(
     df: DataFrame, child_column: str, parent_table: str, parent_column: str, tables: Mapping[str, DataFrame] | None
 ) -> DataFrame:

@@ -27,7 +27,7 @@ def _nothing(df: DataFrame, p: Parameters) -> list[Need]:
 
 def _fill_needs(df: DataFrame, p: Parameters) -> list[Need]:
     kind = MEASURED.get(str(p.get("strategy", "mean")))
-    return [Need(str(p["column"]), kind)] if kind else []
+    return [Need(str(p["column"]), kind)] if kind and not p.get("partition_by") else []
 
 
 def _cast_needs(df: DataFrame, p: Parameters) -> list[Need]:
@@ -38,7 +38,7 @@ def _cast_needs(df: DataFrame, p: Parameters) -> list[Need]:
 
 
 def _clip_needs(df: DataFrame, p: Parameters) -> list[Need]:
-    return [] if p.get("bounds") else bounds_needed(str(p["column"]), str(p.get("method", "iqr")))
+    return [] if p.get("bounds") or p.get("partition_by") else bounds_needed(str(p["column"]), str(p.get("method", "iqr")))
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ ACTIONS: dict[str, Action] = {
         fill_missing,
         keeps_rows=lambda p: p.get("strategy") != "drop",
         needs=_fill_needs,
-        streams=lambda p: p.get("strategy") not in ("forward_fill", "backward_fill"),
+        streams=lambda p: p.get("strategy") not in ("forward_fill", "backward_fill") and not p.get("partition_by"),
         edits=True,
     ),
     "drop_duplicates": Action(drop_duplicates, keeps_rows=lambda p: False, streams=lambda p: False, heavy=True),
@@ -75,7 +75,13 @@ ACTIONS: dict[str, Action] = {
     "apply_regex": Action(apply_regex, edits=True),
     "drop_column": Action(drop_column),
     "drop_rows_by_condition": Action(drop_rows_by_condition, keeps_rows=lambda p: False),
-    "clip_outliers": Action(clip_outliers, keeps_rows=lambda p: p.get("method") != "drop", needs=_clip_needs, edits=True),
+    "clip_outliers": Action(
+        clip_outliers,
+        keeps_rows=lambda p: p.get("method") != "drop",
+        needs=_clip_needs,
+        streams=lambda p: not p.get("partition_by"),
+        edits=True,
+    ),
     "standardize_text": Action(standardize_text, edits=True),
     "fix_referential_integrity": Action(
         fix_referential_integrity, keeps_rows=lambda p: p.get("action") == "flag", heavy=True

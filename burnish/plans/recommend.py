@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from burnish.quality.profile import STRIPPED
+
 # Which of the known formats a column of this name is brought into.
 FORMAT_OF_COLUMN = {"phone": "phone", "email": "email", "zip_code": "zip_code", "birth_date": "date"}
 FILL_TEXT = "unknown"
@@ -28,6 +30,7 @@ def recommend_actions(
     column = F.col("column")
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    padded = [c for c, rule in (formats or {}).items() if rule == STRIPPED]
     # Whether any issue of the column is money in text; the issues, a few per column, are computed once.
     money = F.bool_or((F.col("issue_type") == "wrong_dtype") & column.isin(texts)).over(Window.partitionBy("column"))
     marked = issues.withColumn("money", F.coalesce(money, F.lit(False)))
@@ -44,6 +47,8 @@ def recommend_actions(
         (2, kind == "duplicate_rows", "drop_duplicates", F.lit("{}")),
         (3, (kind == "wrong_dtype") & column.isin(texts), "normalize_format",
          _parameters(column=column, format_type=F.lit("strip_currency"))),
+        (4, (kind == "format_violation") & column.isin(padded), "standardize_text",
+         _parameters(column=column, operations=F.array(F.lit("strip")))),
         (4, kind == "format_violation", "normalize_format", _by_column(formats or {}, _format)),
         (5, kind == "missing_values", "fill_missing", fill),
         (6, (kind == "wrong_dtype") & column.isin(numbers), "cast_column",

@@ -5,16 +5,19 @@ from __future__ import annotations
 import inspect
 import json
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burnish.errors import need_column
+from burnish.errors import CleaningError, need_column
 from burnish.functions.text import strip
 from burnish.plans.actions import ACTIONS
 
 # A fenced block, and the fields of a step.
 FENCE_PATTERN = r"```(?:json)?\s*([\s\S]*?)```"
+# Steps of a plan that may come to the driver.
+MAX_STEPS = 1_000
 STEP_SCHEMA = "array<struct<action_type: string, parameters: map<string, string>>>"
 
 
@@ -45,14 +48,39 @@ def parse_actions(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def steps_from(parsed: DataFrame, order_by: Sequence[str]) -> list[dict[str, object]]:
+def reply_plans(parsed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per group of parsed replies: replies, steps, and known_steps, those that name an action there is.
+
+    Each group is a plan of its own. Replies stay in Spark until one plan is chosen from these counts.
+    """
+    need_column(parsed, "action_type", *by)
+    known = F.coalesce(F.col("action_type").isin(*ACTIONS), F.lit(False))
+    return parsed.groupBy(*[F.col(f"`{c}`") for c in by]).agg(
+        F.count("*").alias("replies"), F.count("action_type").alias("steps"), F.count_if(known).alias("known_steps")
+    )
+
+
+def best_plan(parsed: DataFrame, by: Sequence[str], order_by: Sequence[str], most: int = MAX_STEPS) -> list[dict[str, object]]:
+    """The steps of the group with the most known steps (then the smallest key), of which only this group is collected."""
+    plans = reply_plans(parsed, by).where(F.col("known_steps") > 0)
+    best = plans.orderBy(F.desc("known_steps"), *[F.col(f"`{c}`").asc_nulls_last() for c in by]).limit(1).collect()
+    if not best:
+        return []
+    chosen = reduce(Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.lit(best[0][c])) for c in by])
+    return steps_from(parsed.where(chosen), order_by, most)
+
+
+def steps_from(parsed: DataFrame, order_by: Sequence[str], most: int = MAX_STEPS) -> list[dict[str, object]]:
     """The parsed steps as a plan that ``run_plan`` takes, in the given order; rows without a step are left out.
 
     A parameter gets the type that its action declares: text stays text, and lists, objects, numbers and truth values are
-    read from their JSON. A plan is short, so it comes to the driver.
+    read from their JSON. A plan is short, so it comes to the driver; more than ``most`` steps are no plan but an error.
     """
     need_column(parsed, "action_type", "parameters", *order_by)
-    rows = parsed.where("action_type IS NOT NULL").orderBy(*[F.col(f"`{c}`") for c in order_by]).collect()
+    ordered = parsed.where("action_type IS NOT NULL").orderBy(*[F.col(f"`{c}`") for c in order_by])
+    rows = ordered.select("action_type", "parameters").limit(most + 1).collect()
+    if len(rows) > most:
+        raise CleaningError(f"more than {most} steps: choose the replies of one plan")
     return [{"action_type": r["action_type"], "parameters": _typed(r["action_type"], r["parameters"] or {})} for r in rows]
 
 

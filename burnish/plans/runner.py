@@ -256,6 +256,8 @@ def _note(record: StepRecord, old: DataFrame, new: DataFrame, parameters: Mappin
     record.columns_added = [c for c in new.columns if c not in old.columns]
     record.columns_removed = [c for c in old.columns if c not in new.columns]
     column = str(parameters.get("column"))
+    if parameters.get("partition_by"):
+        return  # every group has values of its own
     if record.action_type == "clip_outliers":
         method, threshold = str(parameters.get("method", "iqr")), parameters.get("threshold", 1.5)
         low, high = parameters.get("bounds") or outlier_bounds(old, column, method, threshold, known)

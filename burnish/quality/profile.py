@@ -16,7 +16,7 @@ from burnish.errors import need_choice, need_column
 from burnish.functions.formats import date_pattern
 from burnish.functions.numbers import CURRENCY_PATTERN, numeric, present
 from burnish.functions.patterns import pattern as spark_pattern
-from burnish.functions.text import title
+from burnish.functions.text import strip, title
 from burnish.operators.ordered import sample_values
 from burnish.operators.outliers import outlier_bounds
 from burnish.operators.references import fk_counts
@@ -29,6 +29,8 @@ SEVERITIES = ("high", "medium", "low")
 ISSUE_SCHEMA = "issue_type string, column string, severity string, description string, affected_rows bigint"
 # Columns that should hold whole numbers.
 WHOLE_COLUMNS = ("age",)
+# The rule that text has no white space around it.
+STRIPPED = "stripped"
 
 
 def _is_text(df: DataFrame, column: str) -> bool:
@@ -142,12 +144,14 @@ def top_issues(issues: DataFrame, n: int = 10) -> DataFrame:
 
 
 def format_holds(df: DataFrame, column: str, rule: str) -> Column:
-    """Whether a value follows a rule: ``title_case``, ``upper_case``, a strftime format or a pattern."""
+    """Whether a value follows a rule: ``title_case``, ``upper_case``, ``stripped``, a strftime format or a pattern."""
     text = F.col(f"`{column}`").cast("string")
     if rule == "title_case":
         return text == title(text)
     if rule == "upper_case":
         return text == F.upper(text)
+    if rule == STRIPPED:
+        return text == strip(text)
     if "%" in rule and not rule.startswith("^"):
         shape = date_pattern(rule)
         again = F.date_format(F.try_to_timestamp(text, F.lit(shape)), shape)
@@ -171,6 +175,12 @@ def detect_format_violation(df: DataFrame, formats: Mapping[str, str]) -> DataFr
     return _issues(df, facts, found)
 
 
+def detect_padding(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """An issue per text column (or those named) with white space around its values."""
+    need_column(df, *(columns or ()))
+    return detect_format_violation(df, {c: STRIPPED for c in columns or df.columns if _is_text(df, c)})
+
+
 def detect_outliers(df: DataFrame, columns: Sequence[str], threshold: float = 1.5, exact: bool = True) -> DataFrame:
     """An issue per column with numbers outside the quartile bounds."""
     need_column(df, *columns)

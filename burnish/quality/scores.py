@@ -204,11 +204,28 @@ def scorecard_orders(
     return _card(row.select("outlier_removal", *[v.alias(k) for k, v in parts.items()]), ORDER_WEIGHTS)
 
 
-def scorecard_generic(df: DataFrame, components: Mapping[str, tuple[float, Column]]) -> DataFrame:
-    """Rows (component, weight, score, weighted) for measures of the caller's choice, taken in one pass."""
+def breakdown(card: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """Rows (component, weight, score, weighted) of a scorecard's one row."""
+    found = [
+        F.struct(F.lit(c).alias("component"), F.lit(float(w)).alias("weight"), F.col(c).alias("score"), (F.lit(float(w)) * F.col(c)).alias("weighted"))
+        for c, w in weights.items()
+    ]
+    return card.select(F.inline(F.array(*found)))
+
+
+def scorecard_generic(df: DataFrame, components: Mapping[str, tuple[float, Column | DataFrame]]) -> DataFrame:
+    """Rows (component, weight, score, weighted) for measures of the caller's choice.
+
+    Aggregates are taken in one pass. A measure may also be a table of one row and column, such as ``score_dedup`` or
+    ``score_fk`` give.
+    """
     if not components:
         raise CleaningError("a scorecard needs at least one component")
-    row = df.agg(*[F.round(a, DECIMALS).alias(f"m{i}") for i, (_, a) in enumerate(components.values())])
+    wide = [name for name, (_, m) in components.items() if isinstance(m, DataFrame) and len(m.columns) != 1]
+    if wide:
+        raise CleaningError(f"measures {wide} are tables of more than one column")
+    measures = [m.scalar() if isinstance(m, DataFrame) else m for _, m in components.values()]
+    row = df.agg(*[F.round(m, DECIMALS).alias(f"m{i}") for i, m in enumerate(measures)])
     return row.select(
         F.inline(
             F.array(

@@ -3,6 +3,7 @@
 from burnish.queries import (  # noqa: F401
     aggregates,
     columns_and_rows,
+    groups,
     injection,
     marks,
     plans,
