@@ -5,8 +5,8 @@ of whose bits were set more than once may be repeated; only such rows are shuffl
 straight through, as nothing else has their text.
 
 The filter is cut into words of 64 bits, and each text has all its bits in one word, so that one look-up tests it. It
-has at least ``BITS_PER_ROW`` bits per row, so its size follows the data: while its words that hold repeated bits are
-few they are broadcast; beyond that, ids and digests (never texts) are shuffled to meet them.
+has at least ``BITS_PER_ROW`` bits per row, so its size follows the data. It is packed into slices, and slices of 16 MB
+together are broadcast one lot after the other to the ids and digests, which stay where they are at any size.
 
 Defined results: null text counts as empty. Of equal texts the row with the largest id stays; a null id is the
 smallest, and rows that share the largest id are the same document listed twice, so all of them are marked as kept. ``drop_copies`` keeps one row of a text held without ids only.
@@ -15,6 +15,8 @@ An empty table gives an empty result. Other columns, whatever their names, are c
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from burnish.llm.common import attach, col, fresh, is_small, query, row_hash, se
 BITS_PER_ROW = 16
 #: Bits per text; more would fill the filter, fewer would let more single rows through.
 BITS_PER_TEXT = 3
+#: Words of a slice of the filter, and slices that are sent to the rows together: 16 MB.
+SLICE_WORDS, SLICES_AT_ONCE = 1 << 14, 128
 
 
 def text_digest(text: str) -> Column:
@@ -56,12 +60,31 @@ def repeated_bits(digests: DataFrame, words: int) -> DataFrame:
     return per_bit.where("n > 1").groupBy("word").agg(F.bit_or(one).alias("repeated"))
 
 
+def packed(bloom: DataFrame, words: int) -> DataFrame:
+    """The filter as one row per slice of SLICE_WORDS words, 0 where no bit was set twice: (slice, packed)."""
+    blank = bloom.sparkSession.range(words).select("id", F.lit(0).cast("long"))
+    whole = bloom.select("word", "repeated").union(blank).groupBy("word").agg(F.bit_or("repeated").alias("repeated"))
+    ordered = F.array_sort(F.collect_list(F.struct("word", "repeated")))
+    return whole.groupBy(F.expr(f"word div {min(words, SLICE_WORDS)}").alias("slice")).agg(ordered.alias("p")).select("slice", F.col("p.repeated").alias("packed"))
+
+
 def maybe_repeated(rows: DataFrame, bloom: DataFrame, words: int) -> DataFrame:
-    """Second pass: ``rows`` with ``maybe``, false only where no other row has the digest."""
-    side = F.broadcast(bloom) if is_small(bloom) else bloom
-    tested = rows.withColumns({"word": _word(words), "mask": _mask()}).join(side, "word", "left")
-    hit = F.coalesce(F.col("repeated").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
-    return tested.select(*rows.columns, hit.alias("maybe"))
+    """Second pass: ``rows`` with ``maybe``, false only where no other row has the digest.
+
+    The filter goes to the rows, SLICES_AT_ONCE slices at a time, and each time the rows of these slices are tested; no
+    row moves, however large the filter is.
+    """
+    size = min(words, SLICE_WORDS)
+    slices = settle(packed(bloom, words))
+    placed = rows.withColumns({"word": _word(words), "mask": _mask()}).withColumn("of_slice", F.expr(f"word div {size}"))
+    tested = []
+    for first in range(0, words // size, SLICES_AT_ONCE):
+        last = first + SLICES_AT_ONCE - 1
+        some = F.broadcast(slices.where(F.col("slice").between(first, last)))
+        part = placed.where(F.col("of_slice").between(first, last)).join(some, F.col("of_slice") == F.col("slice"))
+        held = F.get("packed", (F.col("word") % size).cast("int"))
+        tested.append(part.select(*rows.columns, (held.bitwiseAND(F.col("mask")) == F.col("mask")).alias("maybe")))
+    return reduce(DataFrame.unionByName, tested)
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,7 +92,7 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = settle(docs.select(col(id_col).alias("doc_id"), text_digest(text_col).alias("digest")))
     total = rows.count()
     words = max(16, 1 << ((total * BITS_PER_ROW) // 64).bit_length())
-    tested = maybe_repeated(rows, settle(repeated_bits(rows, words)), words)
+    tested = settle(maybe_repeated(rows, settle(repeated_bits(rows, words)), words))
     single = tested.where(~F.col("maybe")).select(
         "doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
     )

@@ -13,7 +13,6 @@ Defined results: a text that is null or has no letter is ``und`` with score 0. W
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +32,6 @@ EPOCHS = 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
@@ -73,7 +71,7 @@ class Model:
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or text is None or not _LETTER.search(text):
+        if not self.languages or text is None or not any(c.isalpha() for c in text):
             return UNKNOWN, 0.0
         at, values = weigh(text, self.idf)
         p = softmax((values @ self.weights[at] + self.bias) / self.temperature)

@@ -8,8 +8,8 @@ whichever executor makes it. The copies are then put in the order of another has
 Means above ``PART`` are drawn as a sum of several smaller ones, since the distribution would underflow.
 
 Defined results: a null source is a source of its own. A source without a weight, or with one that is null, not
-finite or below zero, gets none and so gives no rows. A null id draws as the empty string; rows that share an id draw
-the same number. Empty input or no weight above zero gives no rows. The number of the copy comes in a column ``copy``
+finite or below zero, gets none and so gives no rows. A row without an id draws by a hash of all its columns, so
+that different ones draw and are placed apart; rows that share an id, or are equal without one, draw the same number. Empty input or no weight above zero gives no rows. The number of the copy comes in a column ``copy``
 (``copy_`` and so on if the documents have one).
 """
 
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm.common import attach, col, fresh, query, settle, table
+from burnish.llm.common import attach, col, fresh, query, row_hash, settle, table
 
 #: Largest mean that is drawn at once.
 PART = 16.0
@@ -88,11 +88,17 @@ def mix(
     per_source = per_source.select(*[F.col(n).alias(names[n]) for n in per_source.columns])
     keyed = docs.withColumn(names["key"], F.coalesce(F.concat(F.lit("s"), col(source_col).cast("string")), F.lit("n")))
     met = attach(keyed, per_source, names["key"], names["n_rows"], rows)
-    draw = lambda part: F.size(F.filter(F.col(names["cumulative"]), lambda c: c <= uniform(seed, col(id_col), part)))
+    # Rows without an id draw, and are placed, by all they hold. The number drawn is bound once, as the variable of a
+    # function over the one element of an array: within the filter it would be hashed anew for every step of the curve.
+    nameless = F.when(col(id_col).isNull(), row_hash(docs))
+    draw = lambda part: F.transform(
+        F.array(uniform(seed, F.coalesce(col(id_col).cast("string"), nameless.cast("string")), part)),
+        lambda u: F.size(F.filter(F.col(names["cumulative"]), lambda c: c <= u)),
+    )[0]
     copies = F.aggregate(F.sequence(F.lit(1), F.col(names["parts"])), F.lit(0), lambda n, part: n + draw(part))
     drawn = met.where(F.col(names["mean"]) > 0).withColumn(names["copies"], copies).where(F.col(names["copies"]) > 0)
     spread = drawn.withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["copies"]))))
-    place = F.xxhash64(F.lit(seed), col(id_col), F.col(names["copy"]))
+    place = F.xxhash64(F.lit(seed), col(id_col), F.col(names["copy"]), nameless)
     placed = spread.select(*[col(c) for c in docs.columns], names["copy"], place.alias(names["place"]))
     return placed.orderBy(names["place"], names["copy"]).drop(names["place"])
 

@@ -39,6 +39,12 @@ def test_awkward_texts(spark):
     assert (got[4].lang_pred, got[4].score) == (got[9].lang_pred, got[9].score)
 
 
+def test_number_signs_are_no_letters(spark):
+    model = language.train(rows(spark, SMALL))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(rows(spark, [("½", None), ("²③", None), ("1ª", None)]), model).collect()}
+    assert got[0] == got[1] == ("und", 0.0) and got[2][0] != "und"
+
+
 def test_nothing_to_learn_from_and_empty_table(spark):
     none = language.train(rows(spark, SMALL).where("doc_id < 0"))
     assert [r.lang_pred for r in language.identify(rows(spark, [("a", None)]), none).collect()] == ["und"]

@@ -7,6 +7,7 @@ import struct
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from burnish.llm import common, exact_dedup, mixing, warc
 from burnish.operators.scratch import new_folder
@@ -52,6 +53,27 @@ def test_drop_copies_keeps_one_row_of_texts_without_ids(spark, paths):
     assert sorted(((r.doc_id, r.text or "") for r in out.collect()), key=repr) == sorted([(None, "p"), (None, "q"), (None, ""), (1, "r"), (2, "s")], key=repr)
 
 
+def test_many_slices_give_the_same_and_move_no_row(spark, monkeypatch):
+    rows = common.settle(frame(spark, [(i, str(i % 3000)) for i in range(3100)]).select("doc_id", exact_dedup.text_digest("text").alias("digest")))
+    bloom = common.settle(exact_dedup.repeated_bits(rows, 1024))
+    whole = {r.doc_id for r in exact_dedup.maybe_repeated(rows, bloom, 1024).where("maybe").collect()}
+    monkeypatch.setattr(exact_dedup, "SLICE_WORDS", 64)
+    monkeypatch.setattr(exact_dedup, "SLICES_AT_ONCE", 5)
+    sliced = exact_dedup.maybe_repeated(rows, bloom, 1024)
+    assert sliced.count() == 3100 and {r.doc_id for r in sliced.where("maybe").collect()} == whole
+    plan = sliced._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 4
+
+
+def test_rows_without_ids_are_mixed_apart(spark):
+    df = spark.range(4000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('text ', id) AS text", "'s' AS source")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    out = mixing.mix(df, {"s": 1.0}, total=8000).select("text", "copy", F.spark_partition_id().alias("part")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    counts = Counter(r.text for r in out)
+    assert abs(len(out) - 8000) < 500 and len(set(counts.values())) > 4 and len({r.part for r in out}) > 1
+
+
 def test_only_possible_repeats_reach_the_second_pass(spark):
     rows = common.settle(frame(spark, [(i, str(i % 3000)) for i in range(3100)]).select("doc_id", exact_dedup.text_digest("text").alias("digest")))
     words = 1024
