@@ -14,8 +14,8 @@ _RANGE = 2**32
 
 
 def draw(key: Column, seed: int, purpose: str) -> Column:
-    """A number in [0, 1), uniform over keys and independent between purposes."""
-    digest = F.md5(F.concat(F.lit(f"{purpose}/{seed}/"), key.cast("string")))
+    """A number in [0, 1), uniform over keys and independent between purposes. All null keys draw the same number."""
+    digest = F.md5(F.concat(F.lit(f"{purpose}/{seed}/"), F.coalesce(key.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(_RANGE))
 
 

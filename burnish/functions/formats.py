@@ -20,6 +20,10 @@ DATE_LAYOUTS = (
     "yyyy-MM-dd'T'HH:mm:ss",
 )
 
+# Separators under which the order of day and month is voted on, and both orders.
+SEPARATORS = ("/", "-")
+ORDERS = (("M", "d", "yyyy"), ("d", "M", "yyyy"))
+
 # Strftime directives and the date pattern letters that mean the same.
 STRFTIME_LETTERS = {
     "Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE",
@@ -60,6 +64,45 @@ def parse_date(text: Column, layouts: Sequence[str] = DATE_LAYOUTS) -> Column:
     return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
+def is_date(text: Column, layouts: Sequence[str] = DATE_LAYOUTS) -> Column:
+    """Whether ``parse_date`` reads a text. Text without a digit is not tried."""
+    clean = F.concat(strip(text), F.lit(" Z"))
+    read = F.coalesce(*[F.try_to_timestamp(clean, F.lit(f"{layout} X")) for layout in layouts])
+    return F.when(text.rlike("[0-9]"), read.isNotNull()).otherwise(F.lit(False))
+
+
+def date_votes(text: Column) -> Column:
+    """An aggregate: (day, month) votes under each separator, from dates that can be read in one order only.
+
+    ``13/4/2021`` can only have its day first, ``4-13-2021`` only its month; ``3/4/2021`` says nothing.
+    """
+    votes = []
+    for separator in SEPARATORS:
+        shape = rf"^([0-9]{{1,2}}){separator}([0-9]{{1,2}}){separator}[0-9]{{4}}$"
+        one, two = (F.regexp_extract(strip(text), shape, i).try_cast("int") for i in (1, 2))
+        day_first = F.count_if(one.between(13, 31) & two.between(1, 12))
+        votes.append(F.struct(day_first.alias("day"), F.count_if(two.between(13, 31) & one.between(1, 12)).alias("month")))
+    return F.struct(*[v.alias(f"v{i}") for i, v in enumerate(votes)])
+
+
+def voted_layouts(votes: Sequence[tuple[int, int]], layouts: Sequence[str] = DATE_LAYOUTS) -> list[str]:
+    """The layouts with both orders of day and month under each separator, that of more votes first.
+
+    Without a majority the order stays as ``layouts`` has it, or else ``ORDERS`` has it. The other order follows, for
+    the values that only it can read.
+    """
+    tried = list(layouts)
+    for separator, (day, month) in zip(SEPARATORS, votes):
+        both = [separator.join(order) for order in ORDERS]
+        held = [x for x in tried if x in both]
+        ordered = held + [x for x in both if x not in held]
+        if day != month:
+            ordered = sorted(both, key=lambda x: x.startswith("d") != (day > month))
+        place = tried.index(held[0]) if held else len(tried)
+        tried[place:] = ordered + [x for x in tried[place:] if x not in both]
+    return tried
+
+
 def date_pattern(strftime: str) -> str:
     """Translate a strftime format to the pattern letters of ``date_format``."""
     out, plain, chars = [], "", iter(strftime)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from burnish.functions.numbers import numeric, strip_currency
 from burnish.functions.patterns import pattern as spark_pattern
 from burnish.functions.patterns import replacement as spark_replacement
 from burnish.functions.text import TEXT_OPERATIONS, standardize
+from burnish.operators.stats import DATE_VOTES, Need, measure
 
 FORMAT_TYPES = ("phone", "email", "date", "text_case", "strip_currency", "zip_code")
 CASES = ("lower", "upper", "title")
@@ -25,10 +26,14 @@ def normalize_format(
     format_type: str,
     output_format: str | None = None,
     layouts: Sequence[str] = formats.DATE_LAYOUTS,
+    by_column: bool = False,
+    stats: Mapping[Need, object] | None = None,
 ) -> DataFrame:
     """Rewrite a column in the canonical spelling of ``format_type``; nulls stay null.
 
     ``output_format`` is a strftime format for dates (default ``%Y-%m-%d``) and the case for ``text_case``.
+    With ``by_column`` the dates of the column that can be read in one order only decide whether those that can be read
+    in two have their day or their month first.
     """
     need_column(df, column)
     need_choice("format_type", format_type, FORMAT_TYPES)
@@ -39,6 +44,10 @@ def normalize_format(
         is_time = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
         if not is_time:
             _need_layouts(df, layouts)
+            if by_column:
+                need = Need(column, DATE_VOTES)
+                votes = stats[need] if stats and need in stats else measure(df, [need])[need]
+                layouts = formats.voted_layouts(votes, layouts)
         when = cell if is_time else formats.parse_date(text, layouts)
         return df.withColumn(column, F.date_format(when, shape))
     if format_type == "text_case":

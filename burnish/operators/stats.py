@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.errors import need_column
+from burnish.functions.formats import date_votes
 from burnish.functions.numbers import numeric, present
 from burnish.operators.keyfilter import hash_of, marked, packed_filter
 from burnish.operators.scratch import settle, settled
@@ -30,8 +31,8 @@ GUIDE_ROWS = 1_000_000
 MARGIN = 0.004
 IDLE_ROUNDS = 6
 
-MEAN, STD, MIN, MAX, MEDIAN, QUARTILES, MODE, WHOLE = (
-    "mean", "std", "min", "max", "median", "quartiles", "mode", "whole",
+MEAN, STD, MIN, MAX, MEDIAN, QUARTILES, MODE, WHOLE, DATE_VOTES = (
+    "mean", "std", "min", "max", "median", "quartiles", "mode", "whole", "date_votes",
 )
 _PROBABILITIES = {MEDIAN: (0.5,), QUARTILES: (0.25, 0.75)}
 
@@ -43,6 +44,8 @@ _PLAIN = {
     MAX: F.max,
     WHOLE: lambda x: F.count_if(x % 1 != 0) == 0,
 }
+# Statistics of the text of a column instead of its numbers.
+_OF_TEXT = {DATE_VOTES: date_votes}
 
 
 @dataclass(frozen=True)
@@ -57,14 +60,19 @@ def measure(df: DataFrame, needs: Sequence[Need], exact: bool = True) -> dict[Ne
     """Values for all needs: one fused pass, another one for quantiles, and one per mode."""
     needs = list(dict.fromkeys(needs))
     need_column(df, *[n.column for n in needs])
-    plain = [n for n in needs if n.kind in _PLAIN]
+    plain = [n for n in needs if n.kind in _PLAIN or n.kind in _OF_TEXT]
     asked: dict[str, list[float]] = {}
     for need in needs:
         asked.setdefault(need.column, []).extend(_PROBABILITIES.get(need.kind, ()))
     asked = {c: ps for c, ps in asked.items() if ps}
     found: dict[Need, object] = {}
     if plain or asked:
-        extra = [_PLAIN[n.kind](numeric(df, n.column)) for n in plain]
+        extra = [
+            _PLAIN[n.kind](numeric(df, n.column))
+            if n.kind in _PLAIN
+            else _OF_TEXT[n.kind](F.col(f"`{n.column}`").cast("string"))
+            for n in plain
+        ]
         got, values = quantiles(df, asked, exact, extra)
         found.update(zip(plain, values))
         for need in needs:

@@ -16,7 +16,7 @@ from burnish.operators.missing import MEASURED, fill_missing
 from burnish.operators.outliers import bounds_needed, clip_outliers
 from burnish.operators.references import fix_referential_integrity, merge_tables
 from burnish.operators.rows import drop_duplicates, drop_rows_by_condition
-from burnish.operators.stats import WHOLE, Need
+from burnish.operators.stats import DATE_VOTES, WHOLE, Need
 
 Parameters = Mapping[str, object]
 
@@ -37,6 +37,13 @@ def _cast_needs(df: DataFrame, p: Parameters) -> list[Need]:
     return [Need(column, WHOLE)] if checked and not whole else []
 
 
+def _format_needs(df: DataFrame, p: Parameters) -> list[Need]:
+    column = str(p["column"])
+    voted = p.get("format_type") == "date" and p.get("by_column") and column in df.columns
+    time = voted and isinstance(df.schema[column].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    return [Need(column, DATE_VOTES)] if voted and not time else []
+
+
 def _clip_needs(df: DataFrame, p: Parameters) -> list[Need]:
     return [] if p.get("bounds") or p.get("partition_by") else bounds_needed(str(p["column"]), str(p.get("method", "iqr")))
 
@@ -71,7 +78,7 @@ ACTIONS: dict[str, Action] = {
     "drop_duplicates": Action(drop_duplicates, keeps_rows=lambda p: False, streams=lambda p: False, heavy=True),
     "cast_column": Action(cast_column, needs=_cast_needs, edits=True),
     "rename_column": Action(rename_column),
-    "normalize_format": Action(normalize_format, edits=True),
+    "normalize_format": Action(normalize_format, needs=_format_needs, edits=True),
     "apply_regex": Action(apply_regex, edits=True),
     "drop_column": Action(drop_column),
     "drop_rows_by_condition": Action(drop_rows_by_condition, keeps_rows=lambda p: False),

@@ -4,6 +4,7 @@ from burnish.queries import (  # noqa: F401
     aggregates,
     columns_and_rows,
     groups,
+    growing,
     injection,
     marks,
     plans,

@@ -79,6 +79,24 @@ SELECT event_id, CASE event_id % 5
 FROM events
 """
 
+# Dates as text, their day first under slashes and their month first under dashes.
+SPLIT_DATES = """
+WITH d AS (SELECT o_orderkey AS k, CAST(day(o_orderdate) AS STRING) AS dd, CAST(month(o_orderdate) AS STRING) AS mm,
+  CAST(year(o_orderdate) AS STRING) AS yy FROM orders)
+SELECT k, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN dd || '/' || mm || '/' || yy ELSE mm || '-' || dd || '-' || yy END AS day
+FROM d
+"""
+
+# Numbers, truth values and dates that are stored as text.
+STORED_AS_TEXT = """
+SELECT o_orderkey AS k, ' ' || CAST(o_custkey AS STRING) AS customer, CAST(o_custkey % 8 AS STRING) || '.5' AS half,
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'Yes' ELSE 'no' END AS regular,
+  CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, '$' || CAST(o_custkey AS STRING) || '.00' AS due,
+  CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS STRING) ELSE 'none' END AS note,
+  CAST(o_custkey AS DOUBLE) AS points, CAST(NULL AS STRING) AS nothing
+FROM orders
+"""
+
 VIEWS = {
     "dirty_people": (PEOPLE, "customer"),
     "dirty_contacts": (CONTACTS, "customer"),
@@ -86,6 +104,8 @@ VIEWS = {
     "dirty_customers": (CUSTOMERS, "customer"),
     "gaps": (GAPS, "events"),
     "replies": (REPLIES, "events"),
+    "split_dates": (SPLIT_DATES, "orders"),
+    "stored_as_text": (STORED_AS_TEXT, "orders"),
 }
 
 
