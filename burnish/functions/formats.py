@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -30,6 +31,9 @@ STRFTIME_LETTERS = {
     "H": "HH", "I": "hh", "p": "a", "M": "mm", "S": "ss", "f": "SSSSSS", "j": "DDD",
 }
 
+# The parts of a layout: quoted text, runs of letters, and single other characters.
+_PARTS = re.compile(r"'[^']*'|[A-Za-z]+|[^'A-Za-z]")
+
 
 def phone(text: Column) -> Column:
     """``(XXX) XXX-XXXX`` for ten digits, or eleven that start with 1; other values are left alone."""
@@ -58,17 +62,40 @@ def parse_date(text: Column, layouts: Sequence[str] = DATE_LAYOUTS) -> Column:
 
     It is read as if written in UTC and taken as it stands, so gaps of the session's time zone do not shift it.
     """
-    clean = F.concat(strip(text), F.lit(" Z"))
-    instant = F.coalesce(*[F.try_to_timestamp(clean, F.lit(f"{layout} X")) for layout in layouts])
+    instant = F.coalesce(*[_instant(strip(text), layout) for layout in layouts])
     seconds = (F.unix_micros(instant) / F.lit(1_000_000).cast("decimal(18,0)")).cast("decimal(18,6)")
     return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
+def _instant(bare: Column, layout: str) -> Column:
+    """A time in UTC in one layout. Only text of its shape is tried, as every failure costs Spark an exception."""
+    read = F.try_to_timestamp(F.concat(bare, F.lit(" Z")), F.lit(f"{layout} X"))
+    shape = _shape(layout)
+    return F.when(bare.rlike(shape), read) if shape else read
+
+
+def _shape(layout: str) -> str | None:
+    """A pattern that all text in a layout matches, in linear time; None for layouts with uncommon parts."""
+    if any(c in "[]{}#0123456789" for c in layout) or "''" in layout:
+        return None
+    shape = ""
+    for part in _PARTS.findall(layout):
+        if part.startswith("'"):
+            shape += re.escape(part[1:-1])
+        elif not part.isalpha():
+            shape += re.escape(part)
+        elif set(part) <= set("yMdHhmsS") and "MMM" not in part:
+            shape += r"[+-]?[0-9]+" if len(set(part)) == 1 else "[0-9+-]+"
+        elif set(part) <= set("MEa"):
+            shape += r"\p{L}+\.?"
+        else:
+            return None
+    return f"(?iu)^{shape}$"
+
+
 def is_date(text: Column, layouts: Sequence[str] = DATE_LAYOUTS) -> Column:
-    """Whether ``parse_date`` reads a text. Text without a digit is not tried."""
-    clean = F.concat(strip(text), F.lit(" Z"))
-    read = F.coalesce(*[F.try_to_timestamp(clean, F.lit(f"{layout} X")) for layout in layouts])
-    return F.when(text.rlike("[0-9]"), read.isNotNull()).otherwise(F.lit(False))
+    """Whether ``parse_date`` reads a text."""
+    return F.coalesce(*[_instant(strip(text), layout) for layout in layouts]).isNotNull()
 
 
 def date_votes(text: Column) -> Column:

@@ -8,6 +8,7 @@ of a table merge to those of the whole.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,37 +30,45 @@ ANY = (1 << len(VALUE_TYPES)) - 1
 _MOST_EXACT = float(2**53)
 
 
-def _mask(df: DataFrame, column: str) -> Column:
-    """The types that a value can be read as, one bit each; null for a missing value."""
+def _tests(df: DataFrame, column: str) -> dict[str, Column]:
+    """What a value can be read as, by type; those of text start from ``number``, what it is as a number."""
     kind, value = df.schema[column].dataType, present(df, column)
-    whole = lambda x: (x % 1 == 0) & (F.abs(x) <= _MOST_EXACT)
-    holds = {"text": F.lit(True)}
     if isinstance(kind, T.StringType):
-        number = numeric(df, column)
-        holds |= {
-            "int": whole(number), "float": number.isNotNull(), "money": strip_currency(value).isNotNull(),
-            "datetime": number.isNull() & is_date(value), "bool": F.lower(strip(value)).isin(*TRUTH_WORDS),
-        }
-    elif isinstance(kind, T.IntegralType):
-        holds |= dict.fromkeys(("int", "float", "money"), F.lit(True))
-    elif isinstance(kind, T.NumericType):
-        holds |= {"int": whole(value.cast("double")), "float": F.lit(True), "money": F.lit(True)}
-    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        holds["datetime"] = F.lit(True)
-    elif isinstance(kind, T.BooleanType):
-        holds["bool"] = F.lit(True)
-    bits = F.lit(0)
-    for place, name in enumerate(VALUE_TYPES):
-        if name in holds:
-            bits = bits.bitwiseOR(F.when(holds[name], F.lit(1 << place)).otherwise(F.lit(0)))
-    return F.when(value.isNotNull(), bits)
+        return {
+            "number": numeric(df, column), "money": strip_currency(value).isNotNull(),
+            "datetime": is_date(value), "bool": F.lower(strip(value)).isin(*TRUTH_WORDS),
+        }
+    if isinstance(kind, T.IntegralType):
+        return dict.fromkeys(("int", "float", "money"), F.lit(True))
+    if isinstance(kind, T.NumericType):
+        return {"number": value.cast("double"), "money": F.lit(True)}
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return {"datetime": F.lit(True)}
+    return {"bool": F.lit(True)} if isinstance(kind, T.BooleanType) else {}
+
+
+def _mask(cell: str, names: Sequence[str]) -> Column:
+    """The types that a value can be read as, one bit each; null for a missing value."""
+    holds = {n: F.col(f"{cell}.{n}") for n in names} | {"text": F.lit(True)}
+    if "number" in holds:
+        number = holds["number"]
+        holds |= {"float": number.isNotNull(), "int": (number % 1 == 0) & (F.abs(number) <= _MOST_EXACT)}
+    bits = [F.when(holds[n], F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate(VALUE_TYPES) if n in holds]
+    return F.when(F.col(f"{cell}.held"), reduce(Column.bitwiseOR, bits))
 
 
 def type_masks(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows (column_name, stored_type, values, type_mask), one per column, from one pass without a shuffle of rows."""
     chosen = list(columns or df.columns)
     need_column(df, *chosen)
-    cells = [(F.bit_and(_mask(df, c)).alias(f"m{i}"), F.count(present(df, c)).alias(f"n{i}")) for i, c in enumerate(chosen)]
+    tests = [_tests(df, c) for c in chosen]
+    # The tests are columns of their own, so that each is taken once per value.
+    tested = df.select(*[
+        F.struct(present(df, c).isNotNull().alias("held"), *[x.alias(n) for n, x in tests[i].items()]).alias(f"c{i}")
+        for i, c in enumerate(chosen)
+    ])
+    masks = tested.select(*[_mask(f"c{i}", list(names)).alias(f"m{i}") for i, names in enumerate(tests)])
+    aggregates = [a for i in range(len(chosen)) for a in (F.bit_and(f"m{i}").alias(f"m{i}"), F.count(f"m{i}").alias(f"n{i}"))]
     rows = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -69,7 +78,7 @@ def type_masks(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
         )
         for i, c in enumerate(chosen)
     ]
-    return df.agg(*[a for pair in cells for a in pair]).select(F.inline(F.array(*rows)))
+    return masks.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
 def merge_masks(*parts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from burnish.errors import CleaningError
 from burnish.functions.draws import draw
-from burnish.functions.formats import DATE_LAYOUTS, voted_layouts
+from burnish.functions.formats import DATE_LAYOUTS, _instant, voted_layouts
 from burnish.operators.dictionaries import append_dictionary, decode, encode, extend_dictionary, load_dictionary
 from burnish.operators.formats import normalize_format
 from burnish.operators.inject import inject_nulls
@@ -102,6 +102,22 @@ def test_without_a_majority_nothing_changes(spark, values):
     assert [a for a, b in zip(got, want) if b] == [b for b in want if b]
 
 
+def test_only_text_of_the_shape_is_tried(spark):
+    """Reading with the shape of a layout checked first gives what Spark reads without."""
+    layouts = [*DATE_LAYOUTS, "yyyyMMdd", "dd.MM.yy", "yyyy[-MM]", "D/yyyy", "h:mm a d-M-yyyy", "yyyy'a''b'MM", "MMMM d yyyy"]
+    texts = [
+        "2021-03-04", "+2021-03-04", "3/4/2021", "3/4/21", "4-3-2021", "Mar 4, 2021", "mar 4, 2021", "March 4, 2021", "Mar. 4, 2021",
+        "2021-03-04 05:06:07", "2021-03-04T05:06:07", "2021-03-04t05:06:07", "20210304", "04.03.21", "2021", "2021-03",
+        "60/2021", "5:06 pm 4-3-2021", "2021a'b03", "March 4 2021", "", " ", "x", "1" * 5000, "1" * 5000 + "-", "2021-13-04", "٢٠٢١-٠٣-٠٤", "2021-03-04\n",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    plain = [F.try_to_timestamp(F.concat(F.col("x"), F.lit(" Z")), F.lit(f"{layout} X")).alias(f"p{i}") for i, layout in enumerate(layouts)]
+    shaped = [_instant(F.col("x"), layout).alias(f"s{i}") for i, layout in enumerate(layouts)]
+    rows = df.select("x", *plain, *shaped).collect()
+    assert [(r.x, layout) for r in rows for i, layout in enumerate(layouts) if r[f"p{i}"] != r[f"s{i}"]] == []
+    assert sum(r[f"p{i}"] is not None for r in rows for i in range(len(layouts))) >= 12
+
+
 def test_layouts_by_votes():
     assert voted_layouts([(0, 0), (0, 0)]) == [
         "yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "M-d-yyyy", *DATE_LAYOUTS[3:],
