@@ -10,6 +10,7 @@ from burnish.operators.formats import normalize_format
 from burnish.operators.scratch import new_folder, settle
 from burnish.plans.recipes import step
 from burnish.plans.runner import run_plan
+from burnish.quality.sketches import column_sketches, merge_sketches, profile_of
 from burnish.quality.types import TRUTH_WORDS, detect_value_types, merge_masks, type_masks, type_steps, value_types
 from burnish.queries.dirty import date_sql, dirty, money_sql, number_sql, people, strip_sql, with_views
 from burnish.queries.registry import query, read
@@ -149,3 +150,41 @@ def _(spark, sf):
     writer = kept.writeStream.format("parquet").option("checkpointLocation", new_folder(spark)).option("path", path)
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(kept.schema).parquet(path).select("user_id", "event_type")
+
+
+# --- sketches -------------------------------------------------------------------------------------------------
+
+_FEW = ("l_linenumber", "l_quantity", "l_discount", "l_returnflag")
+
+
+def _sketch_sql(column: str) -> str:
+    number = "NULL::DOUBLE" if column == "l_returnflag" else f"{column}::DOUBLE"
+    return (
+        f"SELECT '{column}' AS column_name, count({column}) AS \"values\", count(*) - count({column}) AS nulls, "
+        f"min({number}) AS low, max({number}) AS high, count(DISTINCT {column}) AS distinct_values, "
+        f"(SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY {column})) AS most FROM lineitem"
+    )
+
+
+@query("sketches_merged", " UNION ALL ".join(map(_sketch_sql, _FEW)))
+def _(spark, sf):
+    """The profile of columns with few values, for which sketches are exact, from the sketches of eight parts."""
+    lines = read(spark, sf, "lineitem").withColumn("part", F.col("l_orderkey") % 8)
+    parts = settle(column_sketches(lines, _FEW, ["part"]))
+    found = profile_of(merge_sketches(parts), most_frequent=1)
+    most = F.col("most_frequent")[0]["count"].alias("most")
+    return found.select("column_name", "values", "nulls", "low", "high", "distinct_values", most)
+
+
+@query("sketches_within_error", "SELECT 'l_extendedprice' AS column_name, true AS distinct_close, true AS ranks_close")
+def _(spark, sf):
+    """Whether distinct values and quantiles of a column with many values are within the stated error."""
+    lines, shares = read(spark, sf, "lineitem"), (0.1, 0.5, 0.9)
+    found = profile_of(merge_sketches(column_sketches(lines.withColumn("part", F.col("l_orderkey") % 8), ["l_extendedprice"], ["part"])), shares)
+    sketched, price = found.first(), F.col("l_extendedprice")
+    off = [F.abs(F.count_if(price <= q) / F.count("*") - share) for q, share in zip(sketched["quantiles"], shares)]
+    return lines.agg(
+        F.first(F.lit(sketched["column_name"])).alias("column_name"),
+        (F.abs(sketched["distinct_values"] / F.count_distinct(price) - 1) < 0.065).alias("distinct_close"),
+        (F.greatest(*off) < 0.02).alias("ranks_close"),
+    )
