@@ -3,15 +3,16 @@
 Spark deals out the documents; each task splits its texts into pre-tokens, and gives the different ones it does not
 remember to DuckDB. There a word is a set of rows (word, position, token). Each step of the recursive query joins
 neighbouring rows with the merge table, takes each word's pair of the smallest rank, the leftmost of these, and
-contracts it; words without a pair drop out, until none is left. Decoding joins token positions with the vocabulary and
-aggregates the bytes in order.
+contracts it; words without a pair drop out, until none is left. Decoding takes each id's bytes from the vocabulary, an
+Arrow column, in which the ids of a portion follow each other, and cuts the result at the ends of the documents.
 
 A step keeps its word's rows, so the work on a word grows with the square of its length. Words of more than
 ``LONG_WORD`` bytes are contracted table by table instead, and all places of the smallest pair at once where no merge
 with the new token could come before: then the order makes no difference.
 
-Memory is bounded: words remembered (``REMEMBERED`` in a task, ``OFTEN`` from task to task), bytes of text taken at a time (``BATCH_BYTES``, or one document),
-and DuckDB's own limit; it runs in one thread, without files unless it must spill.
+Memory is bounded: words that a worker remembers (``REMEMBERED`` of them, with ``REMEMBERED_CHARACTERS``), bytes of text
+taken at a time (``BATCH_BYTES``, or one document), rows that a recursive query makes (``CONTRACTED``) and DuckDB's own
+limit; it runs in one thread, without files unless it must spill.
 
 Defined results: null text counts as empty, and empty text has no tokens. Special tokens' strings are ordinary text.
 """
@@ -20,12 +21,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,33 +38,35 @@ from burnish.llm.common import col, in_python, query, table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD = 256
 REMEMBERED = 160_000
-OFTEN = 360_000
-BATCH_BYTES = 3 << 19
+REMEMBERED_CHARACTERS = 4 << 20
+BATCH_BYTES = 3 << 18
+#: Squares of the lengths of words that are contracted at once: their query makes at most half as many rows.
+CONTRACTED = 750_000
 MEMORY = "160MB"
 
-#: Rows are (word * 512 + place, token). The smallest rank, the place of its pair's left token, and that of the right
-#: one are packed into one number.
-CONTRACT = """
+#: A row is a cell: word, place (9 bits) and token (22 bits) in one number, and DONE once its word has no pair left. The
+#: smallest rank, the place of its pair's left token, and that of the right one are packed likewise.
+DONE = "(1::BIGINT << 62)"
+TOKEN = (1 << 22) - 1
+CONTRACT = f"""
 WITH RECURSIVE state AS (
-    SELECT 0 AS step, key, token FROM start
+    SELECT cell FROM start
     UNION ALL
-    SELECT step + 1, key, CASE WHEN key = spot THEN made ELSE token END
-    FROM state
-    JOIN (
-        SELECT word, (best >> 40)::INT AS made, (word << 9) + ((best >> 20) & 511) AS spot, (word << 9) + (best & 511) AS gone
+    SELECT CASE WHEN best IS NULL THEN cell + {DONE} WHEN cell >> 22 = spot THEN (spot << 22) | (best >> 18) ELSE cell END
+    FROM (SELECT cell FROM state WHERE cell < {DONE}) s
+    LEFT JOIN (
+        SELECT word, best, (word << 9) | ((best >> 9) & 511) AS spot, (word << 9) | (best & 511) AS gone
         FROM (
-            SELECT key >> 9 AS word, min((id::BIGINT << 40) | ((key & 511) << 20) | (after & 511)) AS best
-            FROM (SELECT key, token, lead(token) OVER o AS next, lead(key) OVER o AS after FROM state WINDOW o AS (ORDER BY key)) p
-            JOIN merges m ON m.a = p.token AND m.b = p.next
-            WHERE after >> 9 = key >> 9
-            GROUP BY key >> 9
+            SELECT cell >> 31 AS word, min((id::BIGINT << 18) | (((cell >> 22) & 511) << 9) | ((after >> 22) & 511)) AS best
+            FROM (SELECT cell, lead(cell) OVER (ORDER BY cell) AS after FROM state WHERE cell < {DONE}) p
+            JOIN pairs m ON m.pair = ((cell & {TOKEN}) << 22) | (after & {TOKEN})
+            WHERE after >> 31 = cell >> 31
+            GROUP BY cell >> 31
         )
-    ) ON key >> 9 = word
-    WHERE key <> gone
+    ) ON cell >> 31 = word
+    WHERE gone IS NULL OR cell >> 22 <> gone
 )
-SELECT list(token ORDER BY key) AS ids
-FROM state JOIN (SELECT key >> 9 AS word, max(step) AS last FROM state GROUP BY 1) ON word = key >> 9 AND step = last
-GROUP BY word ORDER BY word
+SELECT cell - {DONE} AS cell FROM state WHERE cell >= {DONE} ORDER BY cell
 """
 
 #: One step on a single long word: the places of the smallest pair, every second one of a run that overlaps itself.
@@ -84,29 +90,53 @@ LEFT JOIN chosen c ON c.n = s.n
 WHERE s.n - 1 NOT IN (SELECT n FROM chosen)
 """
 
-DECODE = """
-SELECT doc, array_to_string(list(piece ORDER BY place), '') AS hex
-FROM coded JOIN vocabulary USING (id) GROUP BY doc
-"""
-
 
-class Often:
-    """Words that were met by two tasks or more of a worker, with their tokens: the first OFTEN of them, oldest out."""
+class Remembered:
+    """Numbered words with their tokens. Beyond the limits, those stay that most portions of text held, of these the newest."""
 
     def __init__(self):
-        self.words: dict[str, bytes] = {}
-        self.met = np.zeros(1 << 22, bool)
-
-    def meet(self, words: set[str], tokens: dict[str, bytes]) -> None:
-        listed = list(words)
-        at = np.fromiter(map(hash, listed), np.int64, len(listed)) & (len(self.met) - 1)
-        self.words.update((listed[i], tokens[listed[i]]) for i in np.flatnonzero(self.met[at]))
-        self.met[at] = True
-        if self.met.mean() > 0.5:
-            self.met[:] = False
-        if len(self.words) > OFTEN:
-            for word in list(self.words)[: OFTEN // 10]:
-                del self.words[word]
+        self.number: dict[str, int] = {}
+        #: All tokens one after the other, where each word's begin and end, and in how many portions it was (255: or more).
+        self.tokens = np.zeros(0, np.int32)
+        self.ends = np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.uint8)
+        self.characters = 0
+
+    def add(self, words: list[str], tokens: list[bytes]) -> None:
+        """Take words that are not in yet, with their tokens as the bytes of 32-bit integers."""
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.tokens = np.concatenate([self.tokens, np.frombuffer(b"".join(tokens), np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(t) // 4 for t in tokens], dtype=np.int64)])
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.uint8)])
+        self.characters += sum(map(len, words))
+
+    def meet(self, numbers: np.ndarray) -> None:
+        """Note that a portion holds these words."""
+        here = np.zeros(len(self.met), bool)
+        here[numbers] = True
+        self.met += here & (self.met < 255)
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of these words one after the other, and the ends of the words, from 0 on."""
+        starts = self.ends[numbers]
+        lengths = self.ends[numbers + 1] - starts
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return self.tokens[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)], ends
+
+    def forget(self) -> None:
+        """Beyond the limits, go down to half of them."""
+        if len(self.number) <= REMEMBERED and self.characters <= REMEMBERED_CHARACTERS:
+            return
+        words = list(self.number)
+        order = np.lexsort((-np.arange(len(words)), -self.met.astype(np.int64)))[: REMEMBERED // 2]
+        sizes = np.array([len(words[i]) for i in order.tolist()], np.int64)
+        stay = np.sort(order[np.cumsum(sizes) <= REMEMBERED_CHARACTERS // 2])
+        lengths = np.diff(self.ends)[stay]
+        self.tokens = self.gather(stay)[0]
+        self.ends = np.concatenate([[0], np.cumsum(lengths)])
+        self.met = self.met[stay] >> 1
+        self.number = {words[i]: n for n, i in enumerate(stay.tolist())}
+        self.characters = sum(map(len, self.number))
 
 
 class Vocabulary:
@@ -116,37 +146,37 @@ class Vocabulary:
         import regex
 
         with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.split = regex.compile(pattern).findall
-        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.decimals = list(map(str, range(max(self.ranks.values()) + 1)))
-        merges = [
-            (left, right, rank)
-            for piece, rank in self.ranks.items()
-            for i in range(1, len(piece))
-            if (left := self.ranks.get(piece[:i])) is not None and (right := self.ranks.get(piece[i:])) is not None
-        ]
-        early = {t for left, right, rank in merges for t in (left, right) if rank < t}
-        a, b, made = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
-        self.merges = pa.table({"a": a, "b": b, "id": made, "early": [m[2] in early for m in merges]})
-        self.pieces = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [p.hex() for p in self.ranks]})
-        self.often = Often()
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        a, b, made = array("i"), array("i"), array("i")
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                if (left := ranks.get(piece[:i])) is not None and (right := ranks.get(piece[i:])) is not None:
+                    a.append(left), b.append(right), made.append(rank)
+        a, b, made = (np.array(x, np.int32) for x in (a, b, made))
+        early = np.isin(made, np.concatenate([a[made < a], b[made < b]]))
+        self.merges = pa.table({"a": a, "b": b, "id": made, "early": early})
+        #: By id: its bytes, empty if no token has it, and itself in decimal with a comma. The last is for unknown ids.
+        pieces = [b""] * (max(ranks.values()) + 2)
+        for piece, rank in ranks.items():
+            pieces[rank] = piece
+        self.pieces = pa.array(pieces, pa.large_binary())
+        self.decimals = pa.array([b"%d," % i for i in range(len(pieces))], pa.large_binary())
+        self.remembered = Remembered()
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary, with DuckDB and the words it remembers; made for a task."""
+    """Encoder and decoder of one vocabulary, with its DuckDB; made for a task."""
 
     def __init__(self, vocabulary: Vocabulary):
         import duckdb
 
-        self.ranks, self.split, self.single, self.decimals = (getattr(vocabulary, n) for n in ("ranks", "split", "single", "decimals"))
-        #: Tokens of words, as the bytes of 32-bit integers: of those used lately, before, and often.
-        self.known: dict[str, bytes] = {}
-        self.known_before: dict[str, bytes] = {}
-        self.often = vocabulary.often
+        self.split, self.single, self.pieces, self.decimals = (getattr(vocabulary, n) for n in ("split", "single", "pieces", "decimals"))
+        self.remembered = vocabulary.remembered
         self.db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": MEMORY})
         self._load("merges", vocabulary.merges)
-        self._load("vocabulary", vocabulary.pieces)
+        self.db.execute("CREATE TEMP TABLE pairs AS SELECT (a::BIGINT << 22) | b AS pair, id FROM merges")
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -157,14 +187,12 @@ class Codec:
         """The tokens of each word."""
         lengths = np.array([len(w) for w in words], np.int64)
         places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        key = np.repeat(np.arange(len(words)) << 9, lengths) + places
-        self._load("start", pa.table({"key": key, "token": self.single[np.frombuffer(b"".join(words), np.uint8)]}))
-        out = []
-        for chunk in self.db.sql(CONTRACT).to_arrow_table().column("ids").chunks:
-            ends = (chunk.offsets.to_numpy() - chunk.offsets[0].as_py()) * 4
-            flat = chunk.flatten().to_numpy().astype(np.int32).tobytes()
-            out += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        return out
+        cells = ((np.repeat(np.arange(len(words)) << 9, lengths) + places) << 22) | self.single[np.frombuffer(b"".join(words), np.uint8)]
+        self._load("start", pa.table({"cell": cells}))
+        cells = self.db.sql(CONTRACT).to_arrow_table().column("cell").to_numpy()
+        flat = (cells & TOKEN).astype(np.int32).tobytes()
+        ends = [0, *(np.cumsum(np.bincount(cells >> 31, minlength=len(words))) * 4).tolist()]
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def _contract_long(self, word: bytes) -> bytes:
         self._load("long_state", pa.table({"place": np.arange(len(word)), "token": self.single[np.frombuffer(word, np.uint8)]}))
@@ -175,48 +203,57 @@ class Codec:
                 return np.array(tokens, np.int32).tobytes()
             self.db.execute(LONG_APPLY)
 
-    def _learn(self, words: set[str]) -> None:
-        """Remember the tokens of ``words``, all of them in ``known``."""
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED // 2:
-            self.known, self.known_before = {}, self.known
-            new = words
-        before = new & self.known_before.keys()
-        self.known.update((w, self.known_before[w]) for w in before)
-        common = (new - before) & self.often.words.keys()
-        self.known.update((w, self.often.words[w]) for w in common)
-        fresh = new - before - common
-        ranks, pairs = self.ranks, [(word, word.encode()) for word in fresh]
-        self.known.update((word, np.int32(ranks[raw]).tobytes()) for word, raw in pairs if raw in ranks)
-        pairs = [p for p in pairs if p[1] not in ranks]
-        short = [p for p in pairs if len(p[1]) <= LONG_WORD]
-        for i in range(0, len(short), 20_000):
-            words, raws = zip(*short[i : i + 20_000], strict=True)
-            self.known.update(zip(words, self._contract(raws), strict=True))
-        self.known.update((word, self._contract_long(raw)) for word, raw in pairs if len(raw) > LONG_WORD)
-        self.often.meet(fresh, self.known)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Per text its ids."""
-        split = [self.split(t) for t in texts]
-        self._learn(set().union(*split))
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in split]
-
-    def listed(self, ids: np.ndarray) -> bytes:
-        """The ids in decimal, joined by commas."""
-        return ",".join(map(self.decimals.__getitem__, ids.tolist())).encode()
-
-    def decode(self, coded: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each list of ids."""
-        lengths = np.array([len(c) for c in coded], np.int64)
-        places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        doc = np.repeat(np.arange(len(coded), dtype=np.int32), lengths)
-        ids = np.concatenate([*coded, np.zeros(0, np.int32)]).astype(np.int32)
-        self.db.register("coded", pa.table({"doc": doc, "place": places.astype(np.int32), "id": ids}))
-        out = dict(self.db.execute(DECODE).fetchall())
-        self.db.unregister("coded")
-        return [bytes.fromhex(out.get(i, "")) for i in range(len(coded))]
+    def _learn(self, words: list[str]) -> None:
+        """Remember the tokens of ``words``, which are different and new."""
+        raws = [word.encode() for word in words]
+        whole = pc.index_in(pa.array(raws, pa.large_binary()), value_set=self.pieces).fill_null(-1).to_numpy()
+        tokens = [whole[i : i + 1].tobytes() for i in range(len(words))]
+        rest = np.flatnonzero(whole < 0).tolist()
+        short = [i for i in rest if len(raws[i]) <= LONG_WORD]
+        for a, b in ranges((len(raws[i]) ** 2 for i in short), CONTRACTED):
+            for i, found in zip(short[a:b], self._contract([raws[i] for i in short[a:b]]), strict=True):
+                tokens[i] = found
+        for i in rest:
+            if len(raws[i]) > LONG_WORD:
+                tokens[i] = self._contract_long(raws[i])
+        self.remembered.add(words, tokens)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the ends of the texts, from 0 on."""
+        words, ends = [], [0]
+        for text in texts:
+            words += self.split(text)
+            ends.append(len(words))
+        number = self.remembered.number
+        numbers = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            numbers[missing] = np.fromiter(map(number.__getitem__, new), np.int64, len(new))
+        self.remembered.meet(numbers)
+        ids, upto = self.remembered.gather(numbers)
+        self.remembered.forget()
+        return ids, upto[ends]
+
+    def _taken(self, values: pa.LargeBinaryArray, ids: np.ndarray, ends: np.ndarray) -> tuple[memoryview, list[int]]:
+        """The values of all ids, joined, and where each list's end, from 0 on."""
+        if not len(ids):
+            return memoryview(b""), [0] * len(ends)
+        found = values.take(pa.array(ids))
+        offsets = np.frombuffer(found.buffers()[1], np.int64)[found.offset :]
+        return memoryview(found.buffers()[2] or b""), offsets[ends].tolist()
+
+    def listed(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Per list its ids in decimal, joined by commas."""
+        data, ends = self._taken(self.decimals, ids, ends)
+        return [bytes(data[a : max(a, b - 1)]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Per list the bytes of its ids; ids without a token have none."""
+        last = len(self.pieces) - 1
+        data, ends = self._taken(self.pieces, np.where((ids >= 0) & (ids < last), ids, last), ends)
+        return [bytes(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _vocabularies: dict[tuple[str, str], Vocabulary] = {}
@@ -224,7 +261,7 @@ _vocabularies: dict[tuple[str, str], Vocabulary] = {}
 
 @contextmanager
 def codec_of(path: str, pattern: str) -> Iterator[Codec]:
-    """A codec for one task. Workers outlive tasks: they keep the vocabulary and frequent words, and give back the rest."""
+    """A codec for one task. Workers outlive tasks: they keep the vocabulary and its words, and give back the rest."""
     if (path, pattern) not in _vocabularies:
         _vocabularies[path, pattern] = Vocabulary(path, pattern)
     codec = Codec(_vocabularies[path, pattern])
@@ -232,7 +269,6 @@ def codec_of(path: str, pattern: str) -> Iterator[Codec]:
         yield codec
     finally:
         codec.db.close()
-        codec.known, codec.known_before = {}, {}
 
 
 class Tokenizer:
@@ -250,16 +286,27 @@ class Tokenizer:
         return self._path or public_tokenizers.path(RANKS), self._pattern or public_tokenizers.PATTERN
 
 
+def ranges(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of things of these sizes that have about ``most`` together, with at least one thing in each."""
+    start = at = size = 0
+    for at, own in enumerate(sizes, 1):
+        if at - 1 > start and size + own > most:
+            yield start, at - 1
+            start, size = at - 1, 0
+        size += own
+    if start < at:
+        yield start, at
+
+
 def portions(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``most`` characters, with at least one text in each."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+    return ranges(map(len, texts), most)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of about BATCH_BYTES of text: only one part at a time is made Python's strings."""
+    for a, b in ranges(pc.binary_length(batch.column("text")).to_pylist(), BATCH_BYTES):
+        yield batch.slice(a, b - a)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -277,10 +324,10 @@ def encode(docs: DataFrame, tokenizer: Tokenizer | None = None, id_col: str = "d
                 yield from encoded(batch, codec)
 
     def encoded(batch: pa.RecordBatch, codec: Codec) -> Iterator[pa.RecordBatch]:
-        texts = batch.column("text").to_pylist()
-        for a, b in portions(texts, BATCH_BYTES):
-            ids = pa.array(codec.encode(texts[a:b]), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], ids], ["doc_id", "ids"])
+        for part in _parts(batch):
+            ids, ends = codec.encode(part.column("text").to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
 
     rows = _texts(docs, id_col, text_col)
     return in_python(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -297,7 +344,8 @@ def decode(coded: DataFrame, tokenizer: Tokenizer | None = None, id_col: str = "
 
     def decoded(batch: pa.RecordBatch, codec: Codec) -> pa.RecordBatch:
         lists = [np.array(x or [], np.int32) for x in batch.column("ids").to_pylist()]
-        data = pa.array(codec.decode(lists), pa.binary())
+        ends = np.cumsum([0, *map(len, lists)])
+        data = pa.array(codec.decode(np.concatenate([*lists, np.zeros(0, np.int32)]), ends), pa.binary())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), data], ["doc_id", "data"])
 
     rows = coded.select(col(id_col).alias("doc_id"), col(ids_col).cast("array<int>").alias("ids"))
@@ -315,16 +363,14 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer | None = None, id_col: str
 
     def both_ways(batch: pa.RecordBatch, codec: Codec) -> Iterator[pa.RecordBatch]:
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        texts = batch.column("text").to_pylist()
-        for a, b in portions(texts, BATCH_BYTES):
-            coded = codec.encode(texts[a:b])
-            back = codec.decode(coded)
+        for part in _parts(batch):
+            ids, ends = codec.encode(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id")[a:b],
-                    pa.array([len(ids) for ids in coded], pa.int64()),
-                    pa.array([sha(codec.listed(ids)) for ids in coded]),
-                    pa.array([sha(data) for data in back]),
+                    part.column("doc_id"),
+                    pa.array(np.diff(ends), pa.int64()),
+                    pa.array([sha(x) for x in codec.listed(ids, ends)], pa.string()),
+                    pa.array([sha(x) for x in codec.decode(ids, ends)], pa.string()),
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )

@@ -87,6 +87,51 @@ def test_long_words_step_by_step(library):
         assert codec._contract_long(w.encode()) == codec._contract([w.encode()])[0]
 
 
+def codec():
+    return Codec(Vocabulary(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN))
+
+
+LETTERED = str.maketrans("0123456789", "ghijklmnop")
+
+
+def test_few_words_are_contracted_at_once_if_they_are_long(monkeypatch):
+    most = []
+    monkeypatch.setattr(Codec, "_contract", lambda self, words: most.append(sum(len(w) ** 2 for w in words)) or [bytes(8) for _ in words])
+    codec().encode([" ".join(f"{n:x}".translate(LETTERED) * 40 for n in range(70_000, 71_000))])
+    assert sum(most) > 3_000_000 and max(most) < 1_000_000
+
+
+def test_words_are_forgotten_by_number_and_size_and_the_ids_stay_right(library, monkeypatch):
+    monkeypatch.setattr("burnish.llm.bpe.REMEMBERED", 40)
+    monkeypatch.setattr("burnish.llm.bpe.REMEMBERED_CHARACTERS", 300)
+    own, texts = codec(), [*filter(None, random_texts(300, seed=6)), "x" * 400]
+    for i in range(0, len(texts), 7):
+        ids, ends = own.encode(texts[i : i + 7])
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [library.encode_ordinary(t) for t in texts[i : i + 7]]
+        assert own.decode(ids, ends) == [t.encode() for t in texts[i : i + 7]]
+        assert len(own.remembered.number) <= 40 and own.remembered.characters == sum(map(len, own.remembered.number)) <= 300
+
+
+def test_frequent_words_outlast_others(monkeypatch):
+    monkeypatch.setattr("burnish.llm.bpe.REMEMBERED", 40)
+    own, asked = codec(), []
+    plain = Codec._contract
+    monkeypatch.setattr(Codec, "_contract", lambda self, words: asked.extend(words) or plain(self, words))
+    for i in range(20):
+        own.encode([f" Qzxqoften Qzxqalways{''.join(f' Qz{n}xq'.translate(LETTERED) for n in range(i * 15, i * 15 + 15))}"])
+    assert asked.count(b" Qzxqoften") == asked.count(b" Qzxqalways") == 1 and len(asked) == 302
+
+
+def test_decoding_asks_no_database(spark, library):
+    own, texts = codec(), ["", "ab cd", "", "éé\n"]
+    ids, ends = own.encode(texts)
+    own.db.close()
+    assert own.decode(ids, ends) == [t.encode() for t in texts]
+    assert own.listed(ids, ends) == [",".join(map(str, library.encode_ordinary(t))).encode() for t in texts]
+    odd = spark.createDataFrame([(1, [-1, 10**6, *library.encode_ordinary("ab"), 50_256]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert sorted((r.doc_id, bytes(r.data)) for r in decode(odd).collect()) == [(1, b"ab"), (2, b""), (3, b"")]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert count_tokens(none).count() == round_trip(none).count() == encode(none).count() == 0
