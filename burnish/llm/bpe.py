@@ -25,7 +25,6 @@ from array import array
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import cached_property
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +32,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm.common import col, in_python, query, table
+from burnish.llm.common import SMALL_BATCH_BYTES, col, in_python, query, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD = 256
 REMEMBERED = 160_000
 REMEMBERED_CHARACTERS = 4 << 20
 BATCH_BYTES = 3 << 18
+#: Words of a portion that are Python's strings at once (or those of one text).
+STRINGS = 1 << 14
 #: Squares of the lengths of words that are contracted at once: their query makes at most half as many rows.
 CONTRACTED = 750_000
 MEMORY = "160MB"
@@ -92,29 +93,40 @@ WHERE s.n - 1 NOT IN (SELECT n FROM chosen)
 
 
 class Remembered:
-    """Numbered words with their tokens. Beyond the limits, those stay that most portions of text held, of these the newest."""
+    """Numbered words with their tokens. Beyond the limits, those stay that most portions of text held, of these the newest.
+
+    A worker holds this for as long as it lives, also while it works for other stages: words are an Arrow column, not
+    Python's strings, which take some ten times as much.
+    """
 
     def __init__(self):
-        self.number: dict[str, int] = {}
+        self.words = pa.array([], pa.large_string())
         #: All tokens one after the other, where each word's begin and end, and in how many portions it was (255: or more).
         self.tokens = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)
         self.met = np.zeros(0, np.uint8)
         self.characters = 0
 
-    def add(self, words: list[str], tokens: list[bytes]) -> None:
+    @property
+    def number(self) -> dict[str, int]:
+        """The number of each word."""
+        return {word: n for n, word in enumerate(self.words.to_pylist())}
+
+    def find(self, words: pa.LargeStringArray) -> np.ndarray:
+        """The number of each of these words, -1 for those that are not in."""
+        return np.array(pc.index_in(words, value_set=self.words).fill_null(-1), np.int64)
+
+    def add(self, words: pa.LargeStringArray, tokens: list[bytes]) -> None:
         """Take words that are not in yet, with their tokens as the bytes of 32-bit integers."""
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.words = pa.concat_arrays([self.words, words])
         self.tokens = np.concatenate([self.tokens, np.frombuffer(b"".join(tokens), np.int32)])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(t) // 4 for t in tokens], dtype=np.int64)])
         self.met = np.concatenate([self.met, np.zeros(len(words), np.uint8)])
-        self.characters += sum(map(len, words))
+        self.characters += pc.sum(pc.utf8_length(words)).as_py() or 0
 
     def meet(self, numbers: np.ndarray) -> None:
-        """Note that a portion holds these words."""
-        here = np.zeros(len(self.met), bool)
-        here[numbers] = True
-        self.met += here & (self.met < 255)
+        """Note that a portion holds these words, which are different."""
+        self.met[numbers] += self.met[numbers] < 255
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of these words one after the other, and the ends of the words, from 0 on."""
@@ -125,18 +137,17 @@ class Remembered:
 
     def forget(self) -> None:
         """Beyond the limits, go down to half of them."""
-        if len(self.number) <= REMEMBERED and self.characters <= REMEMBERED_CHARACTERS:
+        if len(self.words) <= REMEMBERED and self.characters <= REMEMBERED_CHARACTERS:
             return
-        words = list(self.number)
-        order = np.lexsort((-np.arange(len(words)), -self.met.astype(np.int64)))[: REMEMBERED // 2]
-        sizes = np.array([len(words[i]) for i in order.tolist()], np.int64)
-        stay = np.sort(order[np.cumsum(sizes) <= REMEMBERED_CHARACTERS // 2])
+        sizes = pc.utf8_length(self.words).to_numpy()
+        order = np.lexsort((-np.arange(len(sizes)), -self.met.astype(np.int64)))[: REMEMBERED // 2]
+        stay = np.sort(order[np.cumsum(sizes[order]) <= REMEMBERED_CHARACTERS // 2])
         lengths = np.diff(self.ends)[stay]
         self.tokens = self.gather(stay)[0]
         self.ends = np.concatenate([[0], np.cumsum(lengths)])
         self.met = self.met[stay] >> 1
-        self.number = {words[i]: n for n, i in enumerate(stay.tolist())}
-        self.characters = sum(map(len, self.number))
+        self.words = self.words.take(pa.array(stay))
+        self.characters = int(sizes[stay].sum())
 
 
 class Vocabulary:
@@ -203,36 +214,43 @@ class Codec:
                 return np.array(tokens, np.int32).tobytes()
             self.db.execute(LONG_APPLY)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: pa.LargeStringArray) -> None:
         """Remember the tokens of ``words``, which are different and new."""
-        raws = [word.encode() for word in words]
-        whole = pc.index_in(pa.array(raws, pa.large_binary()), value_set=self.pieces).fill_null(-1).to_numpy()
+        raws = words.cast(pa.large_binary())
+        whole = pc.index_in(raws, value_set=self.pieces).fill_null(-1).to_numpy()
+        lengths = pc.binary_length(raws).to_numpy()
         tokens = [whole[i : i + 1].tobytes() for i in range(len(words))]
-        rest = np.flatnonzero(whole < 0).tolist()
-        short = [i for i in rest if len(raws[i]) <= LONG_WORD]
-        for a, b in ranges((len(raws[i]) ** 2 for i in short), CONTRACTED):
-            for i, found in zip(short[a:b], self._contract([raws[i] for i in short[a:b]]), strict=True):
+        short = np.flatnonzero((whole < 0) & (lengths <= LONG_WORD))
+        for a, b in ranges((lengths[short] ** 2).tolist(), CONTRACTED):
+            for i, found in zip(short[a:b].tolist(), self._contract(raws.take(pa.array(short[a:b])).to_pylist()), strict=True):
                 tokens[i] = found
-        for i in rest:
-            if len(raws[i]) > LONG_WORD:
-                tokens[i] = self._contract_long(raws[i])
+        for i in np.flatnonzero((whole < 0) & (lengths > LONG_WORD)).tolist():
+            tokens[i] = self._contract_long(raws[i].as_py())
         self.remembered.add(words, tokens)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and the ends of the texts, from 0 on."""
-        words, ends = [], [0]
+    def _words(self, texts: list[str]) -> tuple[pa.LargeStringArray, list[int]]:
+        """The words of all texts, and the ends of the texts, from 0 on; few of them at a time are Python's strings."""
+        done, words, ends, before = [], [], [0], 0
         for text in texts:
             words += self.split(text)
-            ends.append(len(words))
-        number = self.remembered.number
-        numbers = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+            ends.append(before + len(words))
+            if len(words) >= STRINGS:
+                done.append(pa.array(words, pa.large_string()))
+                words, before = [], ends[-1]
+        return pa.concat_arrays([*done, pa.array(words, pa.large_string())]), ends
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the ends of the texts, from 0 on."""
+        words, ends = self._words(texts)
+        coded = words.dictionary_encode()
+        numbers = self.remembered.find(coded.dictionary)
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
-            new = [words[i] for i in missing.tolist()]
-            self._learn(list(dict.fromkeys(new)))
-            numbers[missing] = np.fromiter(map(number.__getitem__, new), np.int64, len(new))
+            known = len(self.remembered.words)
+            self._learn(coded.dictionary.take(pa.array(missing)))
+            numbers[missing] = np.arange(known, known + len(missing))
         self.remembered.meet(numbers)
-        ids, upto = self.remembered.gather(numbers)
+        ids, upto = self.remembered.gather(numbers[coded.indices.to_numpy()])
         self.remembered.forget()
         return ids, upto[ends]
 
@@ -330,7 +348,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer | None = None, id_col: str = "d
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
 
     rows = _texts(docs, id_col, text_col)
-    return in_python(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return in_python(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>", SMALL_BATCH_BYTES)
 
 
 def decode(coded: DataFrame, tokenizer: Tokenizer | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -349,7 +367,7 @@ def decode(coded: DataFrame, tokenizer: Tokenizer | None = None, id_col: str = "
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), data], ["doc_id", "data"])
 
     rows = coded.select(col(id_col).alias("doc_id"), col(ids_col).cast("array<int>").alias("ids"))
-    return in_python(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, data binary")
+    return in_python(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, data binary", SMALL_BATCH_BYTES)
 
 
 def round_trip(docs: DataFrame, tokenizer: Tokenizer | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,7 +395,7 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer | None = None, id_col: str
 
     rows = _texts(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return in_python(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_python(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", SMALL_BATCH_BYTES)
 
 
 @query("op9_byte_bpe")

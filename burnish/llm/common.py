@@ -19,6 +19,9 @@ HOT_ROWS = 10_000
 
 #: Bytes of rows that go to a Python worker at once (or one row): long texts count, not rows.
 BATCH_BYTES = 8 << 20
+#: The same for work that takes texts in smaller portions anyway. The JVM's buffer for a batch grows to twice its size, is
+#: copied as it grows, and what is freed stays with the allocator of the thread that asked for it.
+SMALL_BATCH_BYTES = 2 << 20
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,10 +84,10 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def in_python(df: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers, which get some BATCH_BYTES of rows at a time."""
+def in_python(df: DataFrame, work: Callable, schema: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the workers, which get some ``batch_bytes`` of rows at a time."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
 
     def run(batches):
         try:

@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm.common import attach, col, fresh, in_python, is_small, query, row_hash, settle, table, without
+from burnish.llm.common import SMALL_BATCH_BYTES, attach, col, fresh, in_python, is_small, query, row_hash, settle, table, without
 from burnish.llm.components import components
-from burnish.llm.shingles import portions, shingle_sets
+from burnish.llm.shingles import forget_powers, portions, shingle_sets
 
 WORDS = 5
 #: Similarity, as a fraction of whole numbers so that no rounding decides.
@@ -70,11 +70,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, list[np.ndarray], list[bytes]]]:
     """Per portion of documents: their ids, shingles, and the 16 bytes that stand for each set."""
-    for batch in batches:
-        texts = [t.as_py().encode() for t in batch.column("text")]
-        for a, b in portions(texts):
-            sets = shingle_sets(texts[a:b], words)
-            yield batch.column("doc_id")[a:b], sets, [hashlib.md5(s.tobytes()).digest() for s in sets]
+    try:
+        for batch in batches:
+            texts = [t.as_py().encode() for t in batch.column("text")]
+            for a, b in portions(texts):
+                sets = shingle_sets(texts[a:b], words)
+                yield batch.column("doc_id")[a:b], sets, [hashlib.md5(s.tobytes()).digest() for s in sets]
+    finally:
+        forget_powers()
 
 
 def _node(key: bytes) -> int:
@@ -107,7 +110,7 @@ def survey(docs: DataFrame, words: int) -> DataFrame:
                 block.clear()
         yield frequent()
 
-    return settle(in_python(docs, run, "doc_id long, n long, node long, shingle long, seen long"))
+    return settle(in_python(docs, run, "doc_id long, n long, node long, shingle long, seen long", SMALL_BATCH_BYTES))
 
 
 def shingle_rows(docs: DataFrame, words: int, frequent, prefix: bool) -> DataFrame:
@@ -131,7 +134,7 @@ def shingle_rows(docs: DataFrame, words: int, frequent, prefix: bool) -> DataFra
             lists = pa.array([s.view(np.int64) for s, _ in out], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*columns, lists], ["node", "n", "common", "shingles"])
 
-    return in_python(docs, run, "node long, n long, common long, shingles array<long>")
+    return in_python(docs, run, "node long, n long, common long, shingles array<long>", SMALL_BATCH_BYTES)
 
 
 def may_have_partner(docs: DataFrame, words: int, frequent) -> DataFrame:
@@ -174,7 +177,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
             columns = [both[0], flat(1), flat(2), flat(3), both[1] == 1, flat(5)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "n", "k", "head", "middle"])
 
-    return in_python(whole, run, "shingle long, node long, n long, k long, head boolean, middle long")
+    return in_python(whole, run, "shingle long, node long, n long, k long, head boolean, middle long", SMALL_BATCH_BYTES)
 
 
 def choose(n: int, df: np.ndarray) -> tuple[int, int]:
@@ -253,7 +256,8 @@ def crowd_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """
     rows = settle(rows.select("shingle", "node", "label", "n"))
     if rows.isEmpty():
-        return sets.sparkSession.createDataFrame([], "a long, b long")
+        # Of the empty rows, as a table made in Python would start a second set of Python workers in every executor.
+        return rows.select(F.col("node").alias("a"), F.col("label").alias("b"))
     hubs = rows.groupBy("shingle").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size"))
     joined = attach(rows, settle(hubs), "shingle", "size", rows.count()).select("a", F.col("node").alias("b")).distinct()
     crowds = components(joined).withColumnRenamed("label", "crowd")

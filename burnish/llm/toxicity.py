@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm.common import col, fresh, in_python, is_small, query, settle, table
+from burnish.llm.common import SMALL_BATCH_BYTES, col, fresh, in_python, is_small, query, settle, table
 from burnish.llm.language import remainder
 
 INSULTS = ("idiot", "moron", "imbecile", "scum", "loser", "stupid", "worthless", "pathetic", "disgusting", "trash", "clown", "dumb")
@@ -379,7 +379,7 @@ def keep_civil(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_c
     of_text = F.xxhash64(col(text_col).cast("string"))
     rows = docs.select(col(id_col).alias("doc_id"), of_text.alias("text_key"), col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rejected = settle(in_python(rows, run, f"doc_id {kind}, text_key long").select(F.col("doc_id").alias(lost), F.col("text_key").alias(key)))
+    rejected = settle(in_python(rows, run, f"doc_id {kind}, text_key long", SMALL_BATCH_BYTES).select(F.col("doc_id").alias(lost), F.col("text_key").alias(key)))
     side = F.broadcast(rejected) if is_small(rejected) else rejected
     return docs.join(side, col(id_col).eqNullSafe(F.col(lost)) & (of_text == F.col(key)), "left_anti")
 

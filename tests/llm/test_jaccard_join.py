@@ -112,3 +112,21 @@ def test_empty_table_and_null_ids(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (None, None), (3, "a b c d e f")]
     got = sorted(map(tuple, jj.near_duplicates(frame(spark, rows)).collect()), key=repr)
     assert got == sorted([(None, 2, 3), (3, 2, 3), (None, 0, None), (3, 2, 3)], key=repr)
+
+
+def test_no_links_are_told_without_python(spark):
+    prefix = spark.range(3).selectExpr("id AS shingle", "id AS node", "6L AS n", "1L AS k", "true AS head", "0 AS middle")
+    labels, sets = spark.range(0).selectExpr("id AS node", "id AS label"), spark.range(3).selectExpr("id AS node", "6L AS n", "array(id) AS shingles")
+    none = jj.cross_links(prefix, labels, sets)
+    assert "ExistingRDD" not in none._jdf.queryExecution().toString()
+    assert none.dtypes == [("a", "bigint"), ("b", "bigint")] and none.collect() == []
+
+
+def test_powers_do_not_outlive_the_task():
+    import pyarrow as pa
+
+    from burnish.llm import shingles
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b c d e f g"])], ["doc_id", "text"])
+    assert len(list(jj._sets(iter([batch]), 5))) == 1
+    assert shingles._powers.cache_info().currsize == 0

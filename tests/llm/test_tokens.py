@@ -122,6 +122,26 @@ def test_frequent_words_outlast_others(monkeypatch):
     assert asked.count(b" Qzxqoften") == asked.count(b" Qzxqalways") == 1 and len(asked) == 302
 
 
+def test_remembered_words_take_little_memory():
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+
+    own, text = codec(), " ".join(f"{n:x}".translate(LETTERED) for n in range(65_536, 95_536))
+    own.encode(["warm up"])
+    gc.collect()
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    ids, ends = own.encode([text])
+    assert own.decode(ids, ends) == [text.encode()]
+    del ids, ends
+    gc.collect()
+    taken = tracemalloc.get_traced_memory()[0] + max(0, pa.total_allocated_bytes() - before)
+    tracemalloc.stop()
+    assert len(own.remembered.number) > 25_000 and taken < 2_500_000
+
+
 def test_decoding_asks_no_database(spark, library):
     own, texts = codec(), ["", "ab cd", "", "éé\n"]
     ids, ends = own.encode(texts)
